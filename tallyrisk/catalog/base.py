@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tallyrisk.session import shared_dir, tune
 
@@ -14,43 +14,32 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# Sums of doubles differ in the last bits with the order of addition. Both sides therefore keep 7
-# significant digits. The rounding limit is 0.5363 instead of 0.5, because means of cents often
-# lie exactly on a half, where the last bit would decide.
-DIGITS = 7
-SHIFT = 0.4637
-TINY = 1e-9
-
-
-def tidy_column(c: Column) -> Column:
-    e = F.floor(F.log10(F.abs(c))).cast("double")
-    up = F.pow(F.lit(10.0), F.lit(DIGITS - 1.0) - e)
-    down = F.pow(F.lit(10.0), e - F.lit(DIGITS - 1.0))
-    small = F.floor(c * up + F.lit(SHIFT)).cast("double") / up
-    large = F.floor(c / down + F.lit(SHIFT)).cast("double") * down
-    return F.when(F.abs(c) < TINY, F.lit(0.0)).when(e <= DIGITS - 1, small).otherwise(large)
+# Sums of doubles differ in the last bits with the order of addition. Both sides therefore keep
+# single precision (24 bits), and rests of a subtraction below TINY count as zero.
+TINY = "1e-9"
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({f"{c}": tidy_column(F.col(f"`{c}`")) for c in doubles})
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    if not doubles:
+        return df
+    return df.selectExpr(
+        *[
+            f"CASE WHEN abs(`{c}`) < {TINY} THEN 0D ELSE CAST(CAST(`{c}` AS FLOAT) AS DOUBLE) END AS `{c}`" if c in doubles else f"`{c}`"
+            for c in df.columns
+        ]
+    )
 
 
 def tidy_sql(sql: str, doubles: Sequence[str]) -> str:
     """Wrap a SELECT so that the named columns are rounded like ``tidy`` does."""
     if not doubles:
         return sql
-    parts = []
-    for name in doubles:
-        c = f'CAST("{name}" AS DOUBLE)'
-        e = f"floor(log10(abs({c})))"
-        up, down = f"pow(10.0, {DIGITS - 1} - {e})", f"pow(10.0, {e} - {DIGITS - 1})"
-        parts.append(
-            f"CASE WHEN abs({c}) < {TINY} THEN 0.0::DOUBLE "
-            f"WHEN {e} <= {DIGITS - 1} THEN floor({c} * {up} + {SHIFT}) / {up} "
-            f'ELSE floor({c} / {down} + {SHIFT}) * {down} END AS "{name}"'
-        )
-    return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql}) AS raw_result"
+    cells = [
+        f'CASE WHEN abs("{c}") < {TINY} THEN 0::DOUBLE ELSE CAST(CAST(CAST("{c}" AS DOUBLE) AS FLOAT) AS DOUBLE) END AS "{c}"'
+        for c in doubles
+    ]
+    return f"SELECT * REPLACE ({', '.join(cells)}) FROM ({sql}) AS raw_result"
 
 
 def query(name: str, sql: str | None = None, doubles: str | Sequence[str] = ()) -> Callable[[Query], Query]:

@@ -27,7 +27,7 @@ STANDINS: dict[str, tuple[str, dict[str, str]]] = {
             "FLAG_OWN_CAR": "CASE WHEN c_nationkey % 3 = 0 THEN 'N' ELSE 'Y' END",
             "AMT_INCOME_TOTAL": "c_acctbal * 2100",
             "AMT_CREDIT": "abs(c_acctbal) * 20",
-            "AMT_ANNUITY": "floor(abs(c_acctbal) / 1000) * 12000",
+            "AMT_ANNUITY": "CAST(floor(abs(c_acctbal) / 1000) * 12000 AS DOUBLE)",
             "AMT_GOODS_PRICE": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE abs(c_acctbal) * 18 END",
             "CNT_FAM_MEMBERS": "CAST(c_custkey % 5 AS DOUBLE)",
             "DAYS_BIRTH": "CAST(-(7000 + (c_custkey * 37) % 20000) AS DOUBLE)",

@@ -145,11 +145,15 @@ def slice_aggregate(
     aliases of ``aggs``."""
     member = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in slices.items()]))
     rows = df.where(F.col(key).isNotNull()).withColumn("__slice", F.explode(member))
-    # One struct per (key, subset) keeps the pivot to a single column per subset.
+    # One struct per (key, subset) keeps the pivot to a single column per subset. Each subset holds
+    # one struct per key, so ``first`` has nothing to choose.
     cells = rows.groupBy(key, "__slice").agg(*aggs)
     packed = cells.select(key, "__slice", F.struct(*names).alias("__cell"))
     wide = packed.groupBy(key).agg(
-        *[F.max(F.when(F.col("__slice") == name, F.col("__cell"))).alias(f"__{i}") for i, name in enumerate(slices)]
+        *[
+            F.first(F.when(F.col("__slice") == name, F.col("__cell")), ignorenulls=True).alias(f"__{i}")
+            for i, name in enumerate(slices)
+        ]
     )
     return wide.select(
         key,
