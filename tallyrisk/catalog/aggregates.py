@@ -205,7 +205,7 @@ _GROUP = {"AMT_CREDIT": ["mean", "std", "median"], "AMT_ANNUITY": ["mean"]}
 )
 def group_stats_broadcast(spark, sf):
     rows = standin(spark, sf, "application").select("SK_ID_CURR", "OCCUPATION_TYPE", "AMT_CREDIT", "AMT_ANNUITY")
-    return A.with_group_stats(rows, "OCCUPATION_TYPE", _GROUP).drop("AMT_CREDIT", "AMT_ANNUITY")
+    return A.with_group_stats(rows, ["OCCUPATION_TYPE"], _GROUP).drop("AMT_CREDIT", "AMT_ANNUITY")
 
 
 @query(
@@ -218,7 +218,7 @@ def group_stats_broadcast(spark, sf):
 def group_stats_derived_key(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left")
-    stats = A.with_group_stats(orders, "n_lines", {"o_totalprice": ["mean"]}, "LL_")
+    stats = A.with_group_stats(orders, ["n_lines"], {"o_totalprice": ["mean"]}, "LL_")
     return stats.select("o_orderkey", "n_lines", "LL_N_LINES_O_TOTALPRICE_MEAN")
 
 

@@ -131,3 +131,21 @@ def assign_folds(spark, sf):
 @query("holdout_split")
 def holdout_split(spark, sf):
     return E.holdout(_rows(spark, sf).drop("fold"), ["id"], "y")
+
+
+_SIZES = f"{SCORED}, s AS (SELECT y, count(*) AS n FROM scored GROUP BY y)"
+
+
+@query(
+    "fold_sizes",
+    f"""{_SIZES} SELECT y, CAST(fold AS INT) AS fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS n FROM s, range(5) t(fold)""",
+)
+def fold_sizes(spark, sf):
+    folds = E.assign_folds(_rows(spark, sf).drop("fold"), ["id"], 5, label="y")
+    return folds.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("holdout_sizes", f"{_SIZES} SELECT y, n, CAST(floor(n * 0.1 + 0.5) AS BIGINT) AS n_valid FROM s")
+def holdout_sizes(spark, sf):
+    rows = E.holdout(_rows(spark, sf).drop("fold"), ["id"], "y")
+    return rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"))

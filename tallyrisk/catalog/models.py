@@ -1,0 +1,134 @@
+"""Training, tuning and scoring with MLlib. Results depend on the engine's optimiser: rows-only checks,
+apart from the sizes that are known beforehand."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyrisk.catalog.base import query, table
+from tallyrisk.catalog.standins import STANDINS, cte
+from tallyrisk.functions.json_body import feature_map, parsed
+from tallyrisk.operators.clean import align
+from tallyrisk.operators.evaluate import assign_folds, holdout
+from tallyrisk.operators.running import fit_medians
+from tallyrisk.plans import training as T
+from tallyrisk.session import scratch_path, settle
+
+FEATURES = ["value", "k", "hour", "weekday", "user"]
+
+
+def labelled(spark, sf):
+    """One row per event: key, label, five features."""
+    label = STANDINS["scored"][1]["y"]
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("id"),
+        F.expr(label).alias("label"),
+        "value",
+        feature_map(parsed("props"))["k"].alias("k"),
+        F.hour("ts").cast("double").alias("hour"),
+        F.weekday("ts").cast("double").alias("weekday"),
+        F.col("user_id").cast("double").alias("user"),
+    )
+
+
+def _split(spark, sf):
+    """Weighted training rows with a validation flag, and the held-out tenth."""
+    rows = settle(holdout(T.with_class_weight(labelled(spark, sf)), ["id"], "label"))
+    return rows.where("NOT is_valid"), rows.where("is_valid"), rows
+
+
+def _metrics(scored):
+    return T.evaluate_scores(settle(scored.select("label", "score")))
+
+
+@query("train_logreg")
+def train_logreg(spark, sf):
+    train, test, _ = _split(spark, sf)
+    return _metrics(T.with_probability(T.logistic(FEATURES).fit(train), test))
+
+
+@query("train_rf")
+def train_rf(spark, sf):
+    rows = settle(holdout(T.with_class_weight(labelled(spark, sf), balanced=True), ["id"], "label"))
+    model = T.random_forest(FEATURES, numTrees=30).fit(rows.where("NOT is_valid"))
+    return _metrics(T.with_probability(model, rows.where("is_valid")))
+
+
+@query("train_gbt")
+def train_gbt(spark, sf):
+    _, test, rows = _split(spark, sf)
+    model = T.boosted_trees(FEATURES, validation="is_valid", maxIter=30, stepSize=0.1).fit(rows)
+    return _metrics(T.with_probability(model, test))
+
+
+@query("train_mlp")
+def train_mlp(spark, sf):
+    train, test, _ = _split(spark, sf)
+    return _metrics(T.with_probability(T.neural_net(FEATURES, maxIter=30).fit(train), test))
+
+
+@query("compare_models")
+def compare_models(spark, sf):
+    train, test, _ = _split(spark, sf)
+    estimators = {
+        "logistic": T.logistic(FEATURES),
+        "random_forest": T.random_forest(FEATURES, numTrees=20),
+        "boosted_trees": T.boosted_trees(FEATURES, maxIter=15, stepSize=0.1),
+    }
+    return T.compare_models(estimators, train, test)
+
+
+@query("tune_grid")
+def tune_grid(spark, sf):
+    rows = settle(assign_folds(T.with_class_weight(labelled(spark, sf)), ["id"], 3, label="label"))
+    _, table_ = T.grid_search(T.logistic(FEATURES, maxIter=50), T.GRIDS["logistic"], rows, k=3)
+    return table_.select("trial", F.to_json("parameters").alias("parameters"), "auc")
+
+
+@query("tune_cost")
+def tune_cost(spark, sf):
+    rows = settle(assign_folds(T.with_class_weight(labelled(spark, sf)), ["id"], 2, label="label"))
+    space = {**T.SEARCH_SPACE, "maxIter": (5, 15, "int"), "maxDepth": (3, 6, "int")}
+    trials = T.cost_search(T.boosted_trees, space, rows, FEATURES, n_trials=3, folds=2)
+    return trials.select("trial", F.to_json("parameters").alias("parameters"), "mean_cost")
+
+
+@query("cv_submission")
+def cv_submission(spark, sf):
+    rows = T.with_class_weight(labelled(spark, sf)).withColumn("is_test", F.col("hour") >= 20)
+    found = T.cross_validate(T.logistic(FEATURES, maxIter=50), rows.where("NOT is_test"), FEATURES, ["id"], k=3, test=rows.where("is_test"))
+    return found.test_scores
+
+
+@query("feature_importances")
+def feature_importances(spark, sf):
+    rows = T.with_class_weight(labelled(spark, sf))
+    found = T.cross_validate(T.boosted_trees(FEATURES, maxIter=10, stepSize=0.1), rows, FEATURES, ["id"], k=2)
+    from tallyrisk.operators.evaluate import top_importances
+
+    return top_importances(found.importances)
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    train, _, rows = _split(spark, sf)
+    medians = fit_medians(train, FEATURES)
+    model = T.logistic(FEATURES).fit(align(train, FEATURES, medians, keep=["label", "weight"]))
+    path = scratch_path(spark, "model")
+    T.save_bundle(spark, T.ModelBundle(model, FEATURES, medians, "events-logistic-1"), path)
+    return T.score_batch(rows, T.load_bundle(spark, path), keep=["id"])
+
+
+@query("smote")
+def smote(spark, sf):
+    return T.smote(labelled(spark, sf), FEATURES, "id")
+
+
+@query(
+    "smote_class_counts",
+    f"""{cte("scored")}, c AS (SELECT count(*) FILTER (WHERE y = 0) AS neg, count(*) FILTER (WHERE y = 1) AS pos FROM scored)
+    SELECT CAST(0 AS INT) AS label, false AS synthetic, neg AS n FROM c UNION ALL SELECT 1, false, pos FROM c
+    UNION ALL SELECT CASE WHEN pos <= neg THEN 1 ELSE 0 END, true, abs(neg - pos) FROM c WHERE neg <> pos""",
+)
+def smote_class_counts(spark, sf):
+    return T.smote(labelled(spark, sf), FEATURES, "id").groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))

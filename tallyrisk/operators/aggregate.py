@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyrisk.functions.scalar import clean_name
 from tallyrisk.operators.running import exact_quantiles, long_form
+from tallyrisk.session import settle
 
 Spec = Mapping[str, Sequence[str]]
 
@@ -182,14 +183,36 @@ def sliced_stats(
 # --- statistics brought back to rows --------------------------------------------------------
 
 
-def with_group_stats(df: DataFrame, group: str, spec: Spec, prefix: str = "GRP_") -> DataFrame:
-    """Group statistics on every row; rows with a null group get null.
+def group_stats(df: DataFrame, groups: Sequence[str], spec: Spec) -> DataFrame:
+    """Statistics of several grouping columns in one pass: rows (group, group_value, stats)."""
+    cells = F.array(*[F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("group_value")) for g in groups])
+    rows = df.select(F.explode(cells).alias("__g"), *spec).select("__g.*", *spec).where("group_value IS NOT NULL")
+    result = rows.groupBy("group", "group_value").agg(*build_aggs(spec))
+    medians = [c for c, stats in spec.items() if "median" in stats]
+    if medians:
+        keys = ["group", "group_value"]
+        found = exact_quantiles(long_form(rows, medians, keys), "value", {"median": 0.5}, [*keys, "feature"])
+        wide = found.groupBy(*keys).pivot("feature", medians).agg(F.first("median"))
+        result = result.join(wide.select(*keys, *[F.col(c).alias(out_name("", c, "median")) for c in medians]), keys, "left")
+    return result
+
+
+def with_group_stats(df: DataFrame, groups: Sequence[str], spec: Spec, prefix: str = "GRP_") -> DataFrame:
+    """Group statistics on every row as ``<prefix><GROUP>_<COL>_<STAT>``; a null group gets null.
 
     Aggregate and left join instead of a window: a window would pull all rows of a hot group into
     one task. The aggregated side is broadcast by AQE when its measured size allows it; else
     AQE splits the skewed partitions of the row side."""
-    stats = aggregate_by(df, group, spec, f"{prefix}{group}_")
-    return df.join(stats, group, "left")
+    if not groups:
+        return df
+    stats = settle(group_stats(df, groups, spec))  # read once per group below
+    names = [c for c in stats.columns if c not in ("group", "group_value")]
+    for g in groups:
+        own = stats.where(F.col("group") == g).select(
+            F.col("group_value").alias("__value"), *[F.col(c).alias(f"{prefix}{g}_{c}".upper()) for c in names]
+        )
+        df = df.withColumn("__key", F.col(g).cast("string")).join(own, F.col("__key") == F.col("__value"), "left").drop("__key", "__value")
+    return df
 
 
 def with_group_total(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:

@@ -96,10 +96,7 @@ def application_features(df: DataFrame, groups: Sequence[str] = GROUP_COLUMNS) -
     """Cleaned applicants with measures and group statistics."""
     rows = application_measures(clean_applications(df))
     stats = {c: s for c, s in GROUP_STATS.items() if c in rows.columns}
-    for group in groups:
-        if group in rows.columns:
-            rows = A.with_group_stats(rows, group, stats)
-    return rows
+    return A.with_group_stats(rows, [g for g in groups if g in rows.columns], stats)
 
 
 # --- bureau ---------------------------------------------------------------------------------

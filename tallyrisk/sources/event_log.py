@@ -8,6 +8,10 @@ from tallyrisk.functions.json_body import is_object, parsed
 from tallyrisk.sources.schemas import API_CALL_COLUMNS, API_CALLS, MODEL_RUNS, MONITORING_RUNS
 
 
+# Fixed value: times in JSON keep their microseconds.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def create_tables(spark: SparkSession, calls: str = "api_calls", runs: str = "monitoring_runs") -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {calls} ({API_CALLS}) USING parquet")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {runs} ({MONITORING_RUNS}) USING parquet")
@@ -39,7 +43,7 @@ def append_events(events: DataFrame, table: str = "api_calls") -> None:
 def append_json(events: DataFrame, path: str) -> None:
     """Append as JSON Lines; an event without a time gets the current one."""
     stamped = events.withColumn("timestamp", F.coalesce(F.col("timestamp").cast("timestamp"), F.current_timestamp()))
-    stamped.write.mode("append").json(path)
+    stamped.write.mode("append").options(**JSON_OPTIONS).json(path)
 
 
 def read_json_log(spark: SparkSession, path: str) -> DataFrame:

@@ -90,7 +90,7 @@ def csv_pair_features(df: DataFrame, names: Sequence[str], medians: Mapping[str,
     pairs = F.arrays_zip(F.slice(heads, 1, shorter).alias("k"), F.slice(body, 1, shorter).alias("v"))
     # On a repeated name the last value counts.
     lookup = F.map_from_arrays(F.lit(list(names)), F.transform(F.lit(list(names)), lambda n: F.get(
-        F.transform(F.filter(F.reverse(pairs), lambda p: p["0"] == n), lambda p: p["1"]), 0)))
+        F.transform(F.filter(F.reverse(pairs), lambda p: p["k"] == n), lambda p: p["v"]), 0)))
     with_map = df.withColumn("__cells", lookup)
     return with_map.select(
         *[c for c in df.columns if c not in (columns, values)],
