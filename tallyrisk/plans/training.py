@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,7 +36,7 @@ from tallyrisk.operators.evaluate import (
     threshold_curve,
 )
 from tallyrisk.operators.running import in_chunks, ranked
-from tallyrisk.operators.score import decide, request_features, rule_score, RULE_MODEL_VERSION
+from tallyrisk.operators.score import RULE_MODEL_VERSION, decide, request_features, rule_score
 from tallyrisk.session import settle
 from tallyrisk.sources.schemas import MODEL_BUNDLE
 from tallyrisk.sources.tables import optional
@@ -254,7 +254,7 @@ def draw(space: Mapping[str, tuple], rng: random.Random) -> dict[str, float | in
 
 
 def cost_search(
-    make: type | object,
+    make: Callable[..., Pipeline],
     space: Mapping[str, tuple],
     train: DataFrame,
     features: Sequence[str],
@@ -305,7 +305,8 @@ def _neighbours(rare: DataFrame, features: Sequence[str], key: str, k: int, line
         placed = in_chunks(points.withColumn("spot", spot), ["spot", "id"])
         other = F.struct("id", "z", "x")
         near = [F.lag(other, i).over(line) for i in range(1, k + 1)] + [F.lead(other, i).over(line) for i in range(1, k + 1)]
-        found.append(placed.select("id", "z", "x", F.explode(F.array_compact(F.array(*near))).alias("o")))
+        lined = placed.select("id", "z", "x", F.array(*near).alias("near"))
+        found.append(lined.select("id", "z", "x", F.explode(F.array_compact("near")).alias("o")))
     gap = F.aggregate(F.zip_with("z", F.col("o.z"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
     pairs = reduce(DataFrame.unionByName, found).select("id", "x", F.col("o.id").alias("other"), F.col("o.x").alias("ox"), gap.alias("gap"))
     # The list per row holds at most 2 * k * lines entries by construction.
