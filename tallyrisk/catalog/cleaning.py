@@ -304,8 +304,7 @@ def json_extract_features(spark, sf):
     THEN array_to_string(list_sort(json_keys(body)), ',') END AS keys FROM bodies""",
 )
 def json_sorted_keys(spark, sf):
-    variant = J.parsed("body")
-    keys = F.when(J.is_object(variant), J.sorted_keys(F.col("body")))
+    keys = F.when(J.is_object(F.col("body")), J.sorted_keys(F.col("body")))
     return _bodies(spark, sf).select("c_custkey", F.array_join(keys, ",").alias("keys"))
 
 

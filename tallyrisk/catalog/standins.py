@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyrisk.catalog.base import table
-from tallyrisk.functions.json_body import feature_map, parsed, payload_hash, sorted_keys
+from tallyrisk.functions.json_body import with_body_columns
 
 REFERENCE_DAY = "2001-08-02"
 
@@ -217,8 +217,7 @@ def cte(*names: str) -> str:
 
 def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log records with the full log schema."""
-    logs = standin(spark, sf_dir, "logs")
-    body = F.col("body")
+    logs = with_body_columns(standin(spark, sf_dir, "logs"))
     return logs.select(
         "id",
         F.col("ts").cast("timestamp").alias("timestamp"),
@@ -227,9 +226,9 @@ def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status_code",
         "latency_ms",
         "inference_ms",
-        payload_hash(body).alias("payload_hash"),
-        sorted_keys(body).alias("payload_keys"),
-        feature_map(parsed(body)).alias("input_features"),
+        "payload_hash",
+        "payload_keys",
+        "input_features",
         "score",
         "decision",
         F.lit("demo-0.1.0").alias("model_version"),

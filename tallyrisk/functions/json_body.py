@@ -14,27 +14,31 @@ def parsed(body: Column | str) -> Column:
     return F.try_parse_json(F.col(body) if isinstance(body, str) else body)
 
 
-def is_object(variant: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
+def starts_with(body: Column) -> Column:
+    """First character of the JSON text: it tells the kind of a valid JSON value."""
+    return F.substring(F.btrim(body, F.lit(" \t\r\n")), 1, 1)
+
+
+def is_object(body: Column) -> Column:
+    """The text is a JSON object. The first character decides cheaply, then the text must parse."""
+    return F.coalesce((starts_with(body) == "{") & parsed(body).isNotNull(), F.lit(False))
 
 
 def feature_map(variant: Column, limit: int = MAX_FEATURES) -> Column:
     """Numbers and booleans (as 0/1) of the nested ``features`` object, or of the body itself.
     Text, nulls, lists and nested objects are left out. Anything but an object gives an empty map."""
-    nested = F.try_variant_get(variant, "$.features", "variant")
-    source = F.when(is_object(nested), nested).when(is_object(variant), variant)
-    entries = F.map_entries(F.try_variant_get(source, "$", "map<string,variant>"))
-    typed = F.transform(
+    nested = F.try_variant_get(variant, "$.features", "map<string,variant>")
+    entries = F.map_entries(F.coalesce(nested, F.try_variant_get(variant, "$", "map<string,variant>")))
+    named = F.transform(
         entries,
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            F.when(F.schema_of_variant(e["value"]) == "BOOLEAN", F.try_variant_get(e["value"], "$", "boolean").cast("double"))
-            .when(F.schema_of_variant(e["value"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(e["value"], "$", "double"))
-            .alias("value"),
-        ),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("kind")),
     )
-    numbers = F.array_sort(F.filter(typed, lambda e: e["value"].isNotNull()))
-    return F.coalesce(F.map_from_entries(F.slice(numbers, 1, limit)), F.create_map().cast(_NUMBER_MAP))
+    numeric = F.filter(named, lambda e: e["kind"].rlike("^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    typed = F.transform(
+        numeric, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "double").alias("value"))
+    )
+    # The entries of an object arrive sorted by key.
+    return F.coalesce(F.map_from_entries(F.slice(typed, 1, limit)), F.create_map().cast(_NUMBER_MAP))
 
 
 def sorted_keys(body: Column) -> Column:
@@ -42,38 +46,36 @@ def sorted_keys(body: Column) -> Column:
     return F.array_sort(F.json_object_keys(body))
 
 
-def payload_hash(body: Column) -> Column:
+def payload_hash(body: Column, variant: Column | None = None) -> Column:
     """SHA-256 of the key-sorted JSON text. Other JSON values are hashed by their type name,
     unreadable text by the whole text."""
-    variant = parsed(body)
-    kind = F.schema_of_variant(variant)
+    variant = parsed(body) if variant is None else variant
+    first = starts_with(body)
     kind_name = (
-        F.when(F.startswith(kind, F.lit("ARRAY")), "list")
-        .when(kind == "STRING", "str")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind == "VOID", "NoneType")
-        .when(kind == "BIGINT", "int")
-        .otherwise("float")
+        F.when(first == "[", "list")
+        .when(first == '"', "str")
+        .when(first.isin("t", "f"), "bool")
+        .when(first == "n", "NoneType")
+        .when(body.rlike("[.eE]"), "float")
+        .otherwise("int")
     )
     text = (
         F.when(variant.isNull(), F.to_json(F.struct(body.alias("raw_payload"))))
-        .when(is_object(variant), F.to_json(variant))
+        .when(first == "{", F.to_json(variant))
         .otherwise(F.to_json(F.struct(kind_name.alias("payload_type"))))
     )
     return F.when(F.length(F.coalesce(body, F.lit(""))) > 0, F.sha2(text, 256))
 
 
 def with_body_columns(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``payload_hash``, ``payload_keys`` and ``input_features`` for a body column."""
+    """Add ``payload_hash``, ``payload_keys`` and ``input_features`` for a body column. The body is
+    parsed once per row."""
     text = F.col(body)
-    variant = parsed(text)
-    return df.withColumns(
-        {
-            "payload_hash": payload_hash(text),
-            "payload_keys": F.when(is_object(variant), sorted_keys(text)),
-            "input_features": feature_map(variant),
-        }
-    )
+    once = df.withColumn("__variant", parsed(text))
+    variant = F.col("__variant")
+    keys = F.when(variant.isNotNull() & (starts_with(text) == "{"), sorted_keys(text))
+    added = {"payload_hash": payload_hash(text, variant), "payload_keys": keys, "input_features": feature_map(variant)}
+    return once.withColumns(added).drop("__variant")
 
 
 def features_long(df: DataFrame, keys: list[str], features: str = "input_features") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyrisk.operators.running import exact_quantiles, running_totals
+from tallyrisk.operators.running import quantiles_of_counts, running_totals
 from tallyrisk.session import settle
 
 # Significance limit of the drift test, and the width below which the series of
@@ -20,10 +20,12 @@ def side_counts(reference: DataFrame, current: DataFrame, n_reference: Column |
     marked = reference.select("feature", "value", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("c")).unionByName(
         current.select("feature", "value", F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("c"))
     )
-    counts = marked.groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    # The raw rows are read once; everything below works on the counts per distinct value.
+    counts = settle(marked.groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur")))
     sizes = counts.groupBy("feature").agg(F.sum("n_ref").alias("s_ref"), F.sum("n_cur").alias("s_cur"))
     common = sizes.where("s_ref > 0 AND s_cur > 0")
-    medians = exact_quantiles(reference, "value", {"value": 0.5}, ["feature"])
+    of_reference = counts.where("n_ref > 0").select("feature", "value", F.col("n_ref").alias("n"))
+    medians = quantiles_of_counts(of_reference, {"value": 0.5}, ["feature"])
     as_long = [F.lit(n).cast("long") if isinstance(n, int) else n.cast("long") for n in (n_reference, n_current)]
     absent = medians.join(common, "feature").select(
         "feature", "value", (as_long[0] - F.col("s_ref")).alias("n_ref"), (as_long[1] - F.col("s_cur")).alias("n_cur")

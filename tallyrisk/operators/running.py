@@ -103,6 +103,13 @@ def exact_quantiles(
         .groupBy(*groups, F.col(value).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return quantiles_of_counts(counts, quantiles, groups, method)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, quantiles: Mapping[str, float], groups: Sequence[str] = (), method: str = "linear"
+) -> DataFrame:
+    """Quantiles of rows that are given as (groups, value, n), one row per value."""
     run = running_totals(counts, ["value"], ["n"], groups)
     picks = []
     for name, p in quantiles.items():

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyrisk.functions import scalar as S
 from tallyrisk.operators import aggregate as A
 from tallyrisk.operators.joins import attach_children, members_of, pairs_with
-from tallyrisk.operators.windows import last_k, trend_slopes
+from tallyrisk.operators.windows import last_k, last_non_null, trend_aggs
 
 CLIENT = "SK_ID_CURR"
 CREDIT = "SK_ID_BUREAU"
@@ -183,18 +183,14 @@ def bureau_features(bureau: DataFrame, balance: DataFrame | None = None, vocab:
         **{f"LAST{m}M": F.col("DAYS_CREDIT") >= -30 * m for m in BUREAU_MONTHS},
     }
     wide = A.sliced_stats(rows, CLIENT, _slices("BUREAU", parts), spec, vocab)
-    newest = F.struct("DAYS_CREDIT", CREDIT)
-    overdue = F.when(F.col("AMT_CREDIT_MAX_OVERDUE").isNotNull(), newest)
-    active = F.col("CREDIT_ACTIVE") == "Active"
-    more = rows.where(F.col(CLIENT).isNotNull()).groupBy(CLIENT).agg(
-        F.max_by("AMT_CREDIT_MAX_OVERDUE", overdue).alias("BUREAU_LAST_LOAN_MAX_OVERDUE"),
-        A.ratio_of_sums("AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM").alias("BUREAU_DEBT_OVER_CREDIT"),
-        F.try_divide(
-            F.coalesce(F.sum(F.when(active, F.col("AMT_CREDIT_SUM_DEBT"))), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(active, F.col("AMT_CREDIT_SUM"))), F.lit(0.0)),
-        ).alias("BUREAU_ACTIVE_DEBT_OVER_CREDIT"),
-    )
-    return wide.join(more, CLIENT)
+    order = F.struct("DAYS_CREDIT", CREDIT)
+    overdue = last_non_null(bureau, CLIENT, "AMT_CREDIT_MAX_OVERDUE", order, "BUREAU_LAST_LOAN_MAX_OVERDUE")
+    debt, credit = "AMT_CREDIT_SUM_DEBT_SUM", "AMT_CREDIT_SUM_SUM"
+    ratios = [
+        ("BUREAU_DEBT_OVER_CREDIT", f"BUREAU_{debt}", f"BUREAU_{credit}"),
+        ("BUREAU_ACTIVE_DEBT_OVER_CREDIT", f"BUREAU_ACTIVE_{debt}", f"BUREAU_ACTIVE_{credit}"),
+    ]
+    return with_ratios(wide, ratios).join(overdue, CLIENT, "left")
 
 
 # --- previous applications --------------------------------------------------------------------
@@ -350,6 +346,12 @@ INSTALMENT_STATS = {
 INSTALMENT_MONTHS = [36, 60]
 TREND_ROWS = [12, 24, 60, 120]
 OVERPAID = 1.05
+INSTALMENT_LAST = {
+    "PAYMENT_RATIO": "INS_LAST_PAYMENT_RATIO",
+    "PAYMENT_DIFFERENCE": "INS_LAST_PAYMENT_DIFF",
+    "DPD": "INS_LAST_DPD",
+    "PAID_OVER_AMOUNT": "INS_LAST_PAID_OVER_AMOUNT",
+}
 
 
 def instalment_measures(payments: DataFrame) -> DataFrame:
@@ -406,22 +408,14 @@ def instalment_features(payments: DataFrame) -> DataFrame:
     """Payments per client: all, last 36 and 60 months, trends, newest payment."""
     rows = instalment_rows(payments)
     parts = {f"LAST{m}M": F.col("DAYS_INSTALMENT") >= -30 * m for m in INSTALMENT_MONTHS}
-    wide = A.sliced_stats(rows, CLIENT, _slices("INS", parts), INSTALMENT_STATS)
-    counts = rows.where(F.col(CLIENT).isNotNull()).groupBy(CLIENT).agg(F.count(F.lit(1)).alias("INS_COUNT"))
-    slim = rows.where(F.col(CLIENT).isNotNull()).select(
-        CLIENT, LOAN, "NUM_INSTALMENT_NUMBER", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT",
-        "DPD", "PAID_OVER_AMOUNT", "PAYMENT_RATIO", "PAYMENT_DIFFERENCE",
-    )
-    newest = newest_instalment()
-    trends = trend_slopes(slim, CLIENT, newest, ["DPD", "PAID_OVER_AMOUNT"], TREND_ROWS, "INS_")
-    last = last_k(slim, CLIENT, newest, 1).select(
-        CLIENT,
-        F.col("PAYMENT_RATIO").alias("INS_LAST_PAYMENT_RATIO"),
-        F.col("PAYMENT_DIFFERENCE").alias("INS_LAST_PAYMENT_DIFF"),
-        F.col("DPD").alias("INS_LAST_DPD"),
-        F.col("PAID_OVER_AMOUNT").alias("INS_LAST_PAID_OVER_AMOUNT"),
-    )
-    return attach_children(wide, [counts, trends, last], CLIENT)
+    spec = {**INSTALMENT_STATS, CLIENT: ["size"]}
+    wide = A.sliced_stats(rows, CLIENT, _slices("INS", parts), spec)
+    size = f"{CLIENT}_SIZE"
+    wide = wide.withColumnRenamed(f"INS_{size}", "INS_COUNT").drop(*[f"INS_{part}_{size}" for part in parts])
+    recent = last_k(rows.where(F.col(CLIENT).isNotNull()), CLIENT, newest_instalment(), max(TREND_ROWS))
+    newest = [F.max(F.when(F.col("rn") == 1, F.col(c))).alias(name) for c, name in INSTALMENT_LAST.items()]
+    more = recent.groupBy(CLIENT).agg(*trend_aggs(["DPD", "PAID_OVER_AMOUNT"], TREND_ROWS, "INS_"), *newest)
+    return attach_children(wide, [more], CLIENT)
 
 
 # --- credit card -----------------------------------------------------------------------------------

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a live session. Skewed join partitions are split by AQE,
 # also where that costs one more shuffle, so that a hot key never ends up in a single task.
+# The JVM does not compile methods above 8000 bytes of bytecode: the wide aggregates run faster
+# without whole-stage code than as one interpreted method.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

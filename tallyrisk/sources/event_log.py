@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyrisk.functions.json_body import is_object, parsed
+from tallyrisk.functions.json_body import parsed, starts_with
 from tallyrisk.sources.schemas import API_CALL_COLUMNS, API_CALLS, MODEL_RUNS, MONITORING_RUNS
 
 
@@ -53,11 +53,10 @@ def read_json_log(spark: SparkSession, path: str) -> DataFrame:
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Mark raw log lines: ``blank``, ``malformed``, ``other`` (valid JSON, no object) or ``event``."""
     text = F.trim(F.col(column))
-    variant = parsed(text)
     kind = (
         F.when(F.length(text) == 0, F.lit("blank"))
-        .when(variant.isNull(), F.lit("malformed"))
-        .when(is_object(variant), F.lit("event"))
+        .when(parsed(text).isNull(), F.lit("malformed"))
+        .when(starts_with(text) == "{", F.lit("event"))
         .otherwise(F.lit("other"))
     )
     return lines.withColumn("kind", kind)
