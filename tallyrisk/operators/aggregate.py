@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyrisk.functions.scalar import clean_name
+from tallyrisk.operators.joins import LOOKUP_ROWS, spread_join
 from tallyrisk.operators.running import exact_quantiles, long_form
 from tallyrisk.session import settle
 
@@ -201,24 +202,25 @@ def with_group_stats(df: DataFrame, groups: Sequence[str], spec: Spec, prefix: s
     """Group statistics on every row as ``<prefix><GROUP>_<COL>_<STAT>``; a null group gets null.
 
     Aggregate and left join instead of a window: a window would pull all rows of a hot group into
-    one task. The aggregated side is broadcast by AQE when its measured size allows it; else
-    AQE splits the skewed partitions of the row side."""
+    one task."""
     if not groups:
         return df
     stats = settle(group_stats(df, groups, spec))  # read once per group below
+    small = stats.count() <= LOOKUP_ROWS
     names = [c for c in stats.columns if c not in ("group", "group_value")]
     for g in groups:
         own = stats.where(F.col("group") == g).select(
             F.col("group_value").alias("__value"), *[F.col(c).alias(f"{prefix}{g}_{c}".upper()) for c in names]
         )
-        df = df.withColumn("__key", F.col(g).cast("string")).join(own, F.col("__key") == F.col("__value"), "left").drop("__key", "__value")
+        keyed = df.withColumn("__value", F.col(g).cast("string"))
+        df = (keyed.join(F.broadcast(own), "__value", "left") if small else spread_join(keyed, own, ["__value"])).drop("__value")
     return df
 
 
 def with_group_total(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """Sum of ``column`` per key list on every row (null sums count as 0)."""
     totals = df.groupBy(*keys).agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
-    return df.join(totals, list(keys), "left")
+    return spread_join(df, totals, keys)
 
 
 def ratio_of_sums(numerator: str, denominator: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyrisk.operators.joins import lookup_join
 from tallyrisk.operators.running import quantiles_of_counts, running_totals
 from tallyrisk.session import settle
 
@@ -30,7 +31,7 @@ def side_counts(reference: DataFrame, current: DataFrame, n_reference: Column |
     absent = medians.join(common, "feature").select(
         "feature", "value", (as_long[0] - F.col("s_ref")).alias("n_ref"), (as_long[1] - F.col("s_cur")).alias("n_cur")
     )
-    present = counts.join(common.select("feature"), "feature", "left_semi")
+    present = lookup_join(counts, common.select("feature"), ["feature"], "left_semi")
     both = present.unionByName(absent.where("n_ref > 0 OR n_cur > 0"))
     return both.groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
@@ -65,7 +66,7 @@ def drift_tests(counts: DataFrame, level: float = DRIFT_LEVEL) -> DataFrame:
     both divided by the reference standard deviation."""
     counts = settle(counts)  # used four times below
     valid = feature_validity(counts).where("is_valid").select("feature")
-    rows = counts.join(valid, "feature", "left_semi")
+    rows = lookup_join(counts, valid, ["feature"], "left_semi")
     run = running_totals(rows, ["value"], ["n_ref", "n_cur"], ["feature"], next_of="value")
     f_ref = (F.col("n_ref_before") + F.col("n_ref")) / F.col("n_ref_total")
     f_cur = (F.col("n_cur_before") + F.col("n_cur")) / F.col("n_cur_total")
@@ -77,7 +78,7 @@ def drift_tests(counts: DataFrame, level: float = DRIFT_LEVEL) -> DataFrame:
         (F.sum(F.col("value") * F.col("n_cur")) / F.sum("n_cur")).alias("mean_cur"),
     )
     away = F.col("value") - F.col("mean_ref")
-    found = run.join(means, "feature").groupBy("feature").agg(
+    found = lookup_join(run, means, ["feature"], "inner").groupBy("feature").agg(
         F.max("n_ref_total").cast("double").alias("n"),
         F.max("n_cur_total").cast("double").alias("m"),
         F.max("mean_ref").alias("mean_ref"),

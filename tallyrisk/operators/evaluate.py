@@ -16,8 +16,9 @@ COST_FP = 1
 
 
 def coarse_thresholds() -> list[float]:
-    """0.10, 0.15 ... 0.90 with the rounding of start + i * step."""
-    return [0.1 + i * 0.05 for i in range(17)]
+    """0.10, 0.15 ... 0.90 with the float noise of a numeric range (its step is second minus first)."""
+    step = (0.1 + 0.05) - 0.1
+    return [0.1 + i * step for i in range(17)]
 
 
 def fine_thresholds(points: int = 100) -> list[float]:

@@ -5,7 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tallyrisk.session import settle
+
+# A key with more rows than this is spread over several tasks.
+ROWS_PER_TASK = 4_000_000
+# A table with at most this many rows is small enough to broadcast (rows are a key and some numbers).
+LOOKUP_ROWS = 200_000
+_NULL_SPREAD = 1024
 
 
 def attach_children(client: DataFrame, children: Sequence[DataFrame], key: str) -> DataFrame:
@@ -24,13 +32,54 @@ def join_chain(frames: Sequence[DataFrame], keys: str | Sequence[str | list[str]
     return result
 
 
+def _mixer(df: DataFrame) -> Column:
+    """Number that spreads rows: the same again for a recomputed task, different for copies of a
+    row in different input partitions."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in plain])
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Join rows to a table with one row per key (``left``, ``inner`` or ``left_semi``), whatever
+    share of the rows a key holds.
+
+    AQE does not split this join: the aggregate that makes the table shares its shuffle with the
+    join. So keys with more than ``limit`` rows are found first - there are at most
+    count(rows) / limit of them, which bounds the broadcast - their rows are dealt out to salts, and
+    their table row is repeated once per salt. Rows with a null key are dealt out as well."""
+    keys = list(keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    hot = settle(counts.select(*keys, F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return rows.join(per_key, keys, how)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    salt = F.when(no_key, F.pmod(_mixer(rows), F.lit(_NULL_SPREAD))).otherwise(
+        F.coalesce(F.pmod(_mixer(rows), F.col("__parts")), F.lit(0))
+    )
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("int")).drop("__parts")
+    last = F.coalesce(F.col("__parts"), F.lit(1)) - 1
+    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.join(copies.drop("__parts"), [*keys, "__salt"], how).drop("__salt")
+
+
+def lookup_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``spread_join`` for a table that is usually small: it is written once and counted, and
+    broadcast if it has at most ``LOOKUP_ROWS`` rows."""
+    stored = settle(per_key)
+    if stored.count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(stored), list(keys), how)
+    return spread_join(rows, stored, keys, how)
+
+
 def members_of(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_semi")
 
 
 def pairs_with(df: DataFrame, pair: Sequence[str], per_item: DataFrame, item: str) -> DataFrame:
     """Distinct key pairs with the aggregates of one of the keys."""
-    return df.select(*pair).distinct().join(per_item, item, "left")
+    return spread_join(df.select(*pair).distinct(), per_item, [item])
 
 
 def union_tables(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyrisk.functions import scalar as S
 from tallyrisk.operators import aggregate as A
-from tallyrisk.operators.joins import attach_children, members_of, pairs_with
+from tallyrisk.operators.joins import attach_children, lookup_join, members_of, pairs_with
 from tallyrisk.operators.windows import last_k, last_non_null, trend_aggs
 
 CLIENT = "SK_ID_CURR"
@@ -166,7 +166,7 @@ def bureau_rows(bureau: DataFrame, balance: DataFrame | None) -> DataFrame:
     per_length = rows.where(F.col("BB_MONTHS_BALANCE_SIZE").isNotNull()).groupBy("BB_MONTHS_BALANCE_SIZE").agg(
         F.avg("AMT_CREDIT_SUM").alias("LL_AMT_CREDIT_SUM_MEAN"), F.avg("STATUS_12345").alias("LL_STATUS_12345_MEAN")
     )
-    return rows.join(per_length, "BB_MONTHS_BALANCE_SIZE", "left")
+    return lookup_join(rows, per_length, ["BB_MONTHS_BALANCE_SIZE"])
 
 
 def bureau_features(bureau: DataFrame, balance: DataFrame | None = None, vocab: Vocab | None = None) -> DataFrame:
