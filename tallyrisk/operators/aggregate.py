@@ -30,34 +30,34 @@ def out_name(prefix: str, column: str, stat: str) -> str:
     return f"{prefix}{clean_name(column)}_{stat}".upper()
 
 
-def stat_column(column: str, stat: str, order: Column | None = None) -> Column:
-    """One aggregate of the stat vocabulary. A sum over nulls only is 0; ``first``/``last`` skip
-    nulls and need an order."""
-    c = F.col(column)
-    if stat == "sum":
-        return F.coalesce(F.sum(c), F.lit(0))
-    if stat == "size":
-        return F.count(F.lit(1))
+# Aggregates are written as SQL text: a wide table has hundreds, and text costs one call to the
+# JVM each. A sum over nulls only is 0.
+_STATS = {
+    "min": "min({c})",
+    "max": "max({c})",
+    "mean": "avg({c})",
+    "sum": "coalesce(sum({c}), 0)",
+    "var": "var_samp({c})",
+    "std": "stddev_samp({c})",
+    "count": "count({c})",
+    "size": "count(1)",
+    "nunique": "count(DISTINCT {c})",
+}
+
+
+def stat_column(column: str, stat: str, name: str, order: Column | None = None) -> Column:
+    """One aggregate of the stat vocabulary. ``first``/``last`` skip nulls and need an order."""
     if stat in ("first", "last"):
         if order is None:
             raise ValueError("first/last need an order")
         pick = F.min_by if stat == "first" else F.max_by
-        return pick(c, F.when(c.isNotNull(), order))
-    makers = {
-        "min": F.min,
-        "max": F.max,
-        "mean": F.avg,
-        "var": F.var_samp,
-        "std": F.stddev_samp,
-        "count": F.count,
-        "nunique": F.count_distinct,
-    }
-    return makers[stat](c)
+        return pick(F.col(column), F.when(F.col(column).isNotNull(), order)).alias(name)
+    return F.expr(f"{_STATS[stat].format(c=f'`{column}`')} AS `{name}`")
 
 
 def build_aggs(spec: Spec, prefix: str = "", order: Column | None = None) -> list[Column]:
     return [
-        stat_column(column, stat, order).alias(out_name(prefix, column, stat))
+        stat_column(column, stat, out_name(prefix, column, stat), order)
         for column, stats in spec.items()
         for stat in stats
         if stat != "median"
@@ -124,8 +124,8 @@ def share_aggs(vocab: Mapping[str, Sequence[str]], prefix: str = "", with_null:
     out = []
     for column, values in vocab.items():
         for value in [*values, *([None] if with_null else [])]:
-            label = "nan" if value is None else value
-            out.append(F.avg(indicator(column, value)).alias(out_name(prefix, f"{column}_{label}", "mean")))
+            name = out_name(prefix, f"{column}_{'nan' if value is None else value}", "mean")
+            out.append(F.avg(indicator(column, value)).alias(name))
     return out
 
 
@@ -152,14 +152,10 @@ def slice_aggregate(
     cells = rows.groupBy(key, "__slice").agg(*aggs)
     packed = cells.select(key, "__slice", F.struct(*names).alias("__cell"))
     wide = packed.groupBy(key).agg(
-        *[
-            F.first(F.when(F.col("__slice") == name, F.col("__cell")), ignorenulls=True).alias(f"__{i}")
-            for i, name in enumerate(slices)
-        ]
+        *[F.expr(f"first(IF(__slice = '{name}', __cell, NULL), true) AS __{i}") for i, name in enumerate(slices)]
     )
-    return wide.select(
-        key,
-        *[F.col(f"__{i}.{n}").alias(f"{name}_{n}" if name else n) for i, name in enumerate(slices) for n in names],
+    return wide.selectExpr(
+        key, *[f"__{i}.`{n}` AS `{name}_{n}`" for i, name in enumerate(slices) for n in names]
     )
 
 

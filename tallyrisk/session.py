@@ -20,6 +20,10 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Set when a session is built: call sites are not recorded for every column expression, which would
+# take most of the time needed to describe a table of a thousand columns.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -32,7 +36,7 @@ def build_session(app: str = "tallyrisk", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
