@@ -28,7 +28,7 @@ def join_left_child_aggs(spark, sf):
         .agg(F.sum("n").alias("N_LINES"), F.sum("q").alias("QUANTITY"))
     )
     client = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return J.attach_children(client, [per_order, per_line], "c_custkey")
+    return J.spread_joins(client, [per_order, per_line], ["c_custkey"])
 
 
 _CHAIN = "SELECT n_nationkey, n_name, r_name, s_suppkey, s_acctbal FROM nation {how} JOIN region ON n_regionkey = r_regionkey {how} JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON n_nationkey = s_nationkey"

@@ -100,14 +100,14 @@ def vocabulary(df: DataFrame, column: str, limit: int = 20) -> list[str] | None:
 
 def vocabularies(df: DataFrame, columns: Sequence[str], limit: int = 20) -> dict[str, list[str]]:
     """Vocabularies of all low-cardinality columns in one pass over the data. The collected sets
-    hold at most ``limit + 1`` values per column, because the values are made distinct first and
-    counted before anything is collected."""
+    hold at most ``limit`` values per column, because the values are made distinct first and counted
+    before anything is collected; the counts have one row per column."""
     if not columns:
         return {}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     distinct = df.select(F.inline(cells)).where("value IS NOT NULL").distinct()
     sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
-    rows = distinct.join(sizes, "column").select("column", "value").collect()
+    rows = distinct.join(F.broadcast(sizes), "column").select("column", "value").collect()
     found: dict[str, list[str]] = {}
     for r in rows:
         found.setdefault(r["column"], []).append(r["value"])

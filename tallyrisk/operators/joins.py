@@ -17,7 +17,7 @@ _NULL_SPREAD = 1024
 
 
 def attach_children(client: DataFrame, children: Sequence[DataFrame], key: str) -> DataFrame:
-    """Left join of tables with one row per key; every client row survives once."""
+    """Left join of tables that all have one row per key; see ``spread_joins`` for raw client rows."""
     return reduce(lambda left, right: left.join(right, key, "left"), children, client)
 
 
@@ -39,29 +39,48 @@ def _mixer(df: DataFrame) -> Column:
     return F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in plain])
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", limit: int = ROWS_PER_TASK) -> DataFrame:
-    """Join rows to a table with one row per key (``left``, ``inner`` or ``left_semi``), whatever
+def _hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows and the number of tasks they need; at most
+    count(rows) / limit of them."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    return settle(counts.select(*keys, F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__parts")))
+
+
+def spread_joins(
+    rows: DataFrame,
+    tables: Sequence[DataFrame],
+    keys: Sequence[str],
+    how: str = "left",
+    limit: int = ROWS_PER_TASK,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Join rows to tables with one row per key (``left``, ``inner`` or ``left_semi``), whatever
     share of the rows a key holds.
 
-    AQE does not split this join: the aggregate that makes the table shares its shuffle with the
-    join. So keys with more than ``limit`` rows are found first - there are at most
-    count(rows) / limit of them, which bounds the broadcast - their rows are dealt out to salts, and
-    their table row is repeated once per salt. Rows with a null key are dealt out as well."""
+    AQE does not split such a join: the aggregate that makes the table shares its shuffle with the
+    join. So the hot keys are found first (the bound on their number bounds the broadcast), their
+    rows are dealt out to salts, and their table row is repeated once per salt. Rows with a null key
+    are dealt out as well. ``counted`` may name a cheaper table with at least the same keys."""
     keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
-    hot = settle(counts.select(*keys, F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__parts")))
+    hot = _hot_keys(counted if counted is not None else rows, keys, limit)
     if hot.isEmpty():
-        return rows.join(per_key, keys, how)
+        return reduce(lambda left, right: left.join(right, keys, how), tables, rows)
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     salt = F.when(no_key, F.pmod(_mixer(rows), F.lit(_NULL_SPREAD))).otherwise(
         F.coalesce(F.pmod(_mixer(rows), F.col("__parts")), F.lit(0))
     )
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("int")).drop("__parts")
+    result = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("int")).drop("__parts")
     last = F.coalesce(F.col("__parts"), F.lit(1)) - 1
-    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
-    return dealt.join(copies.drop("__parts"), [*keys, "__salt"], how).drop("__salt")
+    for per_key in tables:
+        copies = per_key.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
+        result = result.join(copies.drop("__parts"), [*keys, "__salt"], how)
+    return result.drop("__salt")
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", limit: int = ROWS_PER_TASK) -> DataFrame:
+    return spread_joins(rows, [per_key], keys, how, limit)
 
 
 def lookup_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

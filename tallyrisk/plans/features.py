@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyrisk.functions import scalar as S
 from tallyrisk.operators import aggregate as A
-from tallyrisk.operators.joins import attach_children, lookup_join, members_of, pairs_with
+from tallyrisk.operators.joins import attach_children, lookup_join, members_of, pairs_with, spread_join, spread_joins
 from tallyrisk.operators.windows import last_k, last_non_null, trend_aggs
 
 CLIENT = "SK_ID_CURR"
@@ -160,7 +160,7 @@ def bureau_rows(bureau: DataFrame, balance: DataFrame | None) -> DataFrame:
     if balance is None:
         return rows
     months = month_aggregates(balance)
-    rows = rows.join(months, CREDIT, "left")
+    rows = spread_joins(rows, [months], [CREDIT], counted=bureau)
     arrears = [c for c in months.columns if c in {f"BB_STATUS_{s}_MEAN" for s in ARREARS}]
     rows = rows.withColumn("STATUS_12345", S.row_sum(arrears) if arrears else F.lit(0.0))
     per_length = rows.where(F.col("BB_MONTHS_BALANCE_SIZE").isNotNull()).groupBy("BB_MONTHS_BALANCE_SIZE").agg(
@@ -242,7 +242,7 @@ def open_loan_repayment(rows: DataFrame, payments: DataFrame) -> DataFrame:
         F.coalesce(F.sum("AMT_INSTALMENT"), F.lit(0.0)).alias("due"),
         F.coalesce(F.sum("AMT_PAYMENT"), F.lit(0.0)).alias("paid"),
     )
-    joined = open_loans.select(LOAN, CLIENT).join(paid, LOAN, "left")
+    joined = spread_join(open_loans.select(LOAN, CLIENT), paid, [LOAN])
     return joined.groupBy(CLIENT).agg(F.avg(S.safe_ratio("paid", "due")).alias("PREVIOUS_TOTAL_REPAYMENT_RATIO"))
 
 
@@ -526,5 +526,6 @@ def client_table(tables: Mapping[str, DataFrame], groups: Sequence[str] = GROUP_
         children.append(instalment_features(tables["installments_payments"]))
     if get("credit_card_balance") is not None:
         children.append(card_features(tables["credit_card_balance"]))
-    joined = attach_children(application_features(tables["application"], groups), children, CLIENT)
+    applicants = tables["application"]
+    joined = spread_joins(application_features(applicants, groups), children, [CLIENT], counted=applicants)
     return cross_ratios(joined)

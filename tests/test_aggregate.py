@@ -89,6 +89,15 @@ def test_copies_of_one_row_are_dealt_out(spark):
     assert spread.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_several_tables_are_joined_with_one_salt(spark):
+    rows = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("k"), "id")
+    a = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    b = rows.where("k > 1000").groupBy("k").agg(F.max("id").alias("m"))
+    want = rows.join(a, "k", "left").join(b, "k", "left")
+    got = J.spread_joins(rows, [a, b], ["k"], limit=100)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_big_lookup_tables_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(J, "LOOKUP_ROWS", 10)
     rows = spark.range(100).withColumnRenamed("id", "k")
