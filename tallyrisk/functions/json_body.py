@@ -24,16 +24,21 @@ def is_object(body: Column) -> Column:
     return F.coalesce((starts_with(body) == "{") & parsed(body).isNotNull(), F.lit(False))
 
 
-def feature_map(variant: Column, limit: int = MAX_FEATURES) -> Column:
+def cells(variant: Column, path: str = "$") -> Column:
+    """The object at a path as a map of its members, sorted by key; null if there is no object."""
+    return F.try_variant_get(variant, path, "map<string,variant>")
+
+
+def feature_map(variant: Column, limit: int = MAX_FEATURES, own: Column | None = None) -> Column:
     """Numbers and booleans (as 0/1) of the nested ``features`` object, or of the body itself.
     Text, nulls, lists and nested objects are left out. Anything but an object gives an empty map."""
-    nested = F.try_variant_get(variant, "$.features", "map<string,variant>")
-    entries = F.map_entries(F.coalesce(nested, F.try_variant_get(variant, "$", "map<string,variant>")))
+    entries = F.map_entries(F.coalesce(cells(variant, "$.features"), cells(variant) if own is None else own))
     named = F.transform(
         entries,
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("kind")),
     )
-    numeric = F.filter(named, lambda e: e["kind"].rlike("^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    plain = ["BOOLEAN", "BIGINT", "DOUBLE", "FLOAT"]
+    numeric = F.filter(named, lambda e: e["kind"].isin(plain) | F.startswith(e["kind"], F.lit("DECIMAL")))
     typed = F.transform(
         numeric, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "double").alias("value"))
     )
@@ -71,11 +76,14 @@ def with_body_columns(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``payload_hash``, ``payload_keys`` and ``input_features`` for a body column. The body is
     parsed once per row."""
     text = F.col(body)
-    once = df.withColumn("__variant", parsed(text))
-    variant = F.col("__variant")
-    keys = F.when(variant.isNotNull() & (starts_with(text) == "{"), sorted_keys(text))
-    added = {"payload_hash": payload_hash(text, variant), "payload_keys": keys, "input_features": feature_map(variant)}
-    return once.withColumns(added).drop("__variant")
+    variant, own = F.col("__variant"), F.col("__own")
+    once = df.withColumn("__variant", parsed(text)).withColumn("__own", cells(variant))
+    added = {
+        "payload_hash": payload_hash(text, variant),
+        "payload_keys": F.array_sort(F.map_keys(own)),
+        "input_features": feature_map(variant, own=own),
+    }
+    return once.withColumns(added).drop("__variant", "__own")
 
 
 def features_long(df: DataFrame, keys: list[str], features: str = "input_features") -> DataFrame:
