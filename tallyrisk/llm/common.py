@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,6 +40,26 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Sequence]]
     return df.mapInArrow(run, schema)
 
 
+class PerWorker:
+    """An object that each Python worker makes once from what the driver read, and keeps over tasks.
+    The source is broadcast; it must have a bound that does not grow with the data."""
+
+    KEPT = 4
+
+    def __init__(self, spark: SparkSession, source, make: Callable):
+        self.key = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps((source, make)))
+
+    def get(self):
+        kept = sys.__dict__.setdefault("_tallyrisk_llm", {})
+        if self.key not in kept:
+            source, make = cloudpickle.loads(self.packed.value)
+            while len(kept) >= self.KEPT:
+                kept.pop(next(iter(kept)))
+            kept[self.key] = make(source)
+        return kept[self.key]
+
+
 def write_out(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and
     later reads see exactly these rows, also after an executor is lost."""

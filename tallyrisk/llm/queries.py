@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyrisk.llm import byte_bpe, licenses, token_count
+from tallyrisk.llm import byte_bpe, licenses, simhash_dedup, suffix_dedup, token_count, toxicity
 from tallyrisk.llm.common import prepare, table
 
 QUERIES = {}
@@ -16,6 +16,10 @@ SQL = {}
 TOKEN_LIMIT = 2048
 COUNT_FILE = "word_bpe_49k.json"
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+TOXIC_FROM = 0.3
+SIMHASH_SHINGLE = 4
+SIMHASH_RADIUS = 4
+REPEAT_BYTES = 100
 
 
 def query(fn):
@@ -29,6 +33,18 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_FILE))
@@ -51,3 +67,15 @@ def op4_byte_bpe(spark, sf_dir):
 @query
 def op6_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash_dedup(spark, sf_dir):
+    classes = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_RADIUS)
+    return classes.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), REPEAT_BYTES)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
