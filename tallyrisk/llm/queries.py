@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyrisk.llm import byte_bpe, licenses, simhash_dedup, suffix_dedup, token_count, toxicity
+from tallyrisk.llm import byte_bpe, decontaminate, licenses, sharding, simhash_dedup, suffix_dedup, syncmers, token_count, toxicity, warc
 from tallyrisk.llm.common import prepare, table
 
 QUERIES = {}
@@ -20,6 +20,7 @@ TOXIC_FROM = 0.3
 SIMHASH_SHINGLE = 4
 SIMHASH_RADIUS = 4
 REPEAT_BYTES = 100
+SHARDS = 16
 
 
 def query(fn):
@@ -51,6 +52,14 @@ def op2_token_counts(spark, sf_dir):
     return token_count.flag_long(counts, TOKEN_LIMIT)
 
 
+@query
+def op3_sharding(spark, sf_dir):
+    shards = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op4_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path(BPE_FILE)
@@ -64,6 +73,32 @@ def op4_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op5_warc(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_records(index, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base 32 takes five bits a character: four characters from each five hexadecimal digits of the digest.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+SQL["op5_warc"] = f"""
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
 @query
 def op6_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -75,6 +110,16 @@ def op7_simhash_dedup(spark, sf_dir):
     return classes.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_syncmers(spark, sf_dir):
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_suffix_dedup(spark, sf_dir):
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), REPEAT_BYTES)
