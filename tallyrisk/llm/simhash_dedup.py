@@ -182,6 +182,9 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents whose id is the smallest of their class, one row each; all columns stay. Rows without an id
     cannot be told apart and all stay."""
-    heads = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.join(heads, F.col(doc_id) == F.col("__head"), "left_semi").dropDuplicates([doc_id])
+    heads = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__head")).agg(F.count(F.lit(1)).alias("__rows"))
+    heads = write_out(heads, "simhash-heads")
+    named = docs.join(heads, F.col(doc_id) == F.col("__head"), "left_semi")
+    if not heads.where("__rows > 1").isEmpty():
+        named = named.dropDuplicates([doc_id])
     return named.unionByName(docs.where(F.col(doc_id).isNull()))

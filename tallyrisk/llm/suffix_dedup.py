@@ -316,13 +316,27 @@ def _context_rows(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs.select("doc", keyed.alias("wanted"), "text"), run, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, digest of the input text, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row.
+def cut_documents(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with all their columns, the text without the repeated bytes (a character cut in two is dropped) and, if
+    there is such a column, its n_chars. Rows that lose all of their text go."""
+    cut = remove_repeats(docs, width, doc_id, text, carry=True).where("n_removed < n_bytes or n_bytes = 0")
+    kept = F.col("kept_text")
+    columns = {text: F.when(F.col(f"row.{text}_null"), F.lit(None)).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.char_length(kept).cast(field_type(docs, "n_chars"))
+    return cut.select(*[(columns[c] if c in columns else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, digest of the input text, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row;
+    ``carry`` adds kept_text and the row's other columns as a struct.
 
     The texts go through two shuffles: one to cut contexts, one to cut the removed ranges out."""
     if not isinstance(field_type(docs, doc_id), (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError("ids are whole numbers: their order says which text is earlier")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] + [F.col(text).isNull().alias(f"{text}_null")]
+    row = F.struct(*others)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([row.alias("row")] if carry else []))
     own = own.withColumn("digest", F.unhex(F.sha2("text", 256)))
     last = F.lit((1 << 63) - 1)
     narrow = own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
@@ -357,6 +371,7 @@ def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: st
         (F.col("first_id").isNull() & (F.octet_length("text") >= width)).alias("copy"),
         F.coalesce(F.col("ranges.start"), F.array().cast("array<long>")).alias("starts"),
         F.coalesce(F.col("ranges.end"), F.array().cast("array<long>")).alias("ends"),
+        *(["row"] if carry else []),
     )
     return _cut(flat, field_type(docs, doc_id))
 
@@ -380,6 +395,9 @@ def _cut(docs: DataFrame, id_type: T.DataType) -> DataFrame:
         T.StructField("n_spans", T.LongType()),
         T.StructField("kept", T.BinaryType()),
     ])
+    carry = "row" in docs.columns
+    if carry:
+        schema = schema.add("kept_text", T.StringType()).add("row", field_type(docs, "row"))
 
     def run(batch):
         sizes, cuts = [], []
@@ -388,6 +406,7 @@ def _cut(docs: DataFrame, id_type: T.DataType) -> DataFrame:
             sizes.append(len(data))
             cuts.append((len(data), 1, b"") if copy else cut_ranges(data, starts, ends) if starts else (0, 0, data))
         removed, spans, kept = zip(*cuts) if cuts else ((), (), ())
-        return {"doc_id": batch.column(0), "digest": batch.column(1), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
+        out = {"doc_id": batch.column(0), "digest": batch.column(1), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
+        return out | {"kept_text": [k.decode("utf-8", "ignore") for k in kept], "row": batch.column(6)} if carry else out
 
     return map_arrow(docs, run, schema)

@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text is lower-cased, runs of white space become one space, and each distinct n-gram of 4, 5 or 6
-characters sets one of 2^18 hashed features. Spark's naive Bayes gives the log-count ratio of each
-feature, logistic regression is trained on the scaled features, and a document's score is
-sigmoid(bias + sum of weight * ratio over its features). The whole text counts, whatever its length.
+characters sets one of 2^18 hashed features. The log-count ratio of a feature is the log of its smoothed share
+of the documents of class 1 over that of class 0; logistic regression is trained on the scaled features, and a
+document's score is sigmoid(bias + sum of weight * ratio over its features). Features of fewer than
+MIN_DOCS labelled documents are left out. The whole text counts, whatever its length.
 
 The fit may use a bounded sample of the labelled rows (``max_rows``, the rows with the smallest hash of their
 id); scoring reads every row and needs no shuffle.
@@ -20,7 +21,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -31,14 +33,15 @@ BITS = 18
 LENGTHS = (4, 5, 6)
 # Labelled rows that are learnt from, at most.
 MAX_ROWS = 40_000
-REGULARISATION = 0.0003
+MIN_DOCS = 8
+REGULARISATION = 0.001
 ITERATIONS = 100
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
 
 def features_of(text: str) -> np.ndarray:
-    """The distinct hashed features of a text, in order of first use of none: an unordered set."""
+    """The hashed features of a text, with repeats."""
     codes = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     found = []
     rolled = codes
@@ -109,9 +112,13 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
         return ToxicityModel(math.log(share / (1 - share)), empty)
     tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts.values()) // 500))
     vectors = rows.repartition(tasks).select("label", _sparse("features").alias("features"))
-    theta = NaiveBayes(smoothing=1.0).fit(vectors).theta.toArray()
-    ratio = theta[1] - theta[0]
-    # A feature that no row has says nothing.
+    # At most one row for each hashed feature.
+    seen = rows.select("label", F.explode("features").alias("feature")).groupBy("feature")
+    seen = seen.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= MIN_DOCS)
+    ratio = np.zeros(1 << BITS)
+    for r in seen.collect():
+        toxic = math.log((r["toxic"] + 1) / (counts[1.0] + 2))
+        ratio[r["feature"]] = toxic - math.log((r["all"] - r["toxic"] + 1) / (counts[0.0] + 2))
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="features", outputCol="scaled").transform(vectors)
     model = LogisticRegression(
         featuresCol="scaled", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False
@@ -132,6 +139,20 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
     return map_arrow(chosen, run, schema)
 
 
+def keep_below(docs: DataFrame, model: ToxicityModel, threshold: float, text: str = "text") -> DataFrame:
+    """The rows whose text scores under the threshold, with all their columns."""
+    shared = PerWorker(docs.sparkSession, model, lambda model: (model, Distinct()))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        own, distinct = shared.get()
+        for batch in batches:
+            mild = [own.score(distinct(features_of(x or ""))) < threshold for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(mild, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the id as text, modulo 4, is 2 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
