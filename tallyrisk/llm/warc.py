@@ -112,8 +112,11 @@ def _with_originals(pages: DataFrame, page_id: str, url: str, html: str, least:
     groups = narrow.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     groups = write_out(groups.where("copies > 1"), "warc-groups")
     later = spread_lookup(narrow, groups, "sha1", "copies", F.xxhash64("page_id"), ROWS_PER_TASK).where("page_id <> first_id")
-    later = later.select("page_id", "sha1", F.col("first_id").alias("refers_to")).distinct()
-    return rows.join(later, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
+    originals = later.select("page_id", "sha1", F.col("first_id").alias("refers_to")).distinct()
+    # Keyed by the id alone, as the archives are, so that the payloads are shuffled once.
+    originals = originals.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha1", "refers_to"))).alias("originals"))
+    joined = rows.repartition("page_id").join(originals, "page_id", "left")
+    return joined.select("page_id", "url", "html", F.try_element_at("originals", "sha1").alias("refers_to"))
 
 
 def write_archives(
@@ -122,7 +125,7 @@ def write_archives(
     """Write the pages; returns the index. ``least``: payload bytes from which equal payloads become revisits."""
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    ready = _with_originals(pages, page_id, url, html, least).repartition(F.col("page_id")).sortWithinPartitions("page_id", F.sha1("html"))
+    ready = _with_originals(pages, page_id, url, html, least).sortWithinPartitions("page_id", F.sha1("html"))
     fields = to_arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
