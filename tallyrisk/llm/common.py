@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -73,15 +74,23 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-def spread_lookup(rows: DataFrame, per_key: DataFrame, key: str, copies: str, salt: F.Column, share: int) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are written: it acts when the driver's
+    JVM collects its garbage, which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spread_lookup(rows: DataFrame, per_key: DataFrame, key: str | list[str], copies: str, salt: F.Column, share: int) -> DataFrame:
     """Inner join of many rows to a table with one row per key, whatever share of the rows a key
     holds: a key with more than ``share`` rows (column ``copies`` of the table) has its table row
     repeated, and its rows are dealt out by ``salt``. The number of such keys is at most
     count(rows) / share, so the salted part of the table never has more rows than the table plus that."""
+    key = [key] if isinstance(key, str) else key
     parts = F.greatest(F.lit(1), F.ceil(F.col(copies) / F.lit(share))).cast("int")
-    hot = per_key.where(F.col(copies) > share).select(key, parts.alias("__parts"))
+    hot = per_key.where(F.col(copies) > share).select(*key, parts.alias("__parts"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
         "__salt", F.coalesce(F.pmod(salt, F.col("__parts")), F.lit(0)).cast("int")
     )
     repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.drop("__parts").join(repeated, [key, "__salt"]).drop("__salt")
+    return dealt.drop("__parts").join(repeated, [*key, "__salt"]).drop("__salt")

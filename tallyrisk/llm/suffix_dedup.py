@@ -9,7 +9,7 @@ string of W bytes has one anchor, the K bytes of smallest hash in it, and equal
 anchors at the same offset. What decides on the strings around an anchor is its context, W - K bytes to
 the left and W - K to the right of it. So
 
-1. each distinct text gives its anchors with the hash of the context (narrow rows);
+1. each text gives its anchors with the hash of the context (narrow rows), equal ones collapsed in the task;
 2. equal contexts are collapsed to the earliest: all strings of the others are repeated;
 3. anchors that still have several contexts get the bytes of these, gathered into chunks;
 4. in a chunk, the suffixes are sorted and intervals are expanded breadth first: the classes of suffixes
@@ -18,10 +18,10 @@ the left and W - K to the right of it. So
 5. anchors with very many contexts are spread over chunks; these hand on one representative for
    each class, and a second grouping finds the earliest of all chunks.
 
-Exact copies of a whole text are settled before, by digest. Defined cases: a null text is empty; texts shorter
-than W bytes lose nothing; rows that repeat both id and text are one document and are treated alike; among rows
-with one id and different texts the smaller digest counts as earlier; a null id comes after
-all others; an empty table gives an empty table; further columns are ignored.
+The anchors are computed twice, which costs less than keeping them. Defined cases: a null text is empty; texts
+shorter than W bytes lose nothing; rows that repeat both id and text are one document and are treated alike;
+among rows with one id and different texts the smaller digest counts as earlier; a null id comes after all
+others; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyrisk.llm.common import field_type, map_arrow, spread_lookup, write_out
+from tallyrisk.llm.common import field_type, map_arrow, release, spread_lookup, write_out
+from tallyrisk.operators.running import ranked
 
 K = 32
 # Contexts of one anchor in one chunk, and bytes of a chunk.
 GROUP = 2048
 CHUNK_BYTES = 1 << 18
 ROWS_PER_TASK = 100_000
+# Anchors that a task collapses at a time before they are shuffled.
+COLLAPSE = 1_000_000
 # Bytes that are anchored at a time, which bounds memory for very long texts.
 STRETCH = 1 << 22
 
@@ -206,18 +209,44 @@ def repeats_in_chunk(contexts: list[bytes], ids: np.ndarray, places: np.ndarray,
     return runs, handed
 
 
-def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
+_ANCHOR = ("doc", "anchor", "context", "place", "copies")
+
+
+def _collapse(parts: list[tuple]) -> list[np.ndarray]:
+    """The earliest of equal contexts, with their number."""
+    doc, anchor, context, place = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((place, doc, context, anchor))
+    doc, anchor, context, place = doc[by], anchor[by], context[by], place[by]
+    head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]))))
+    return [doc[head], anchor[head], context[head], place[head], np.diff(np.concatenate((head, [len(doc)])))]
+
+
+def _anchor_rows(texts: DataFrame, width: int, collapse: bool) -> DataFrame:
     own = Anchors(width)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in (_ANCHOR if collapse else _ANCHOR[:4])])
+    names = schema.names
 
-    def run(batch):
-        parts = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hashes, contexts, places = own.of(np.frombuffer(text.encode("utf-8"), dtype=np.uint8))
-            parts.append((np.full(len(places), doc, dtype=np.int64), hashes.view(np.int64), contexts.view(np.int64), places))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
-        return dict(zip(("doc", "anchor", "context", "place"), columns))
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return map_arrow(texts, run, T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "anchor", "context", "place")]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes, contexts, places = own.of(np.frombuffer(text.encode("utf-8"), dtype=np.uint8))
+                if len(places):
+                    parts.append((np.full(len(places), doc, dtype=np.int64), hashes.view(np.int64), contexts.view(np.int64), places))
+                    held += len(places)
+            if parts and not collapse:
+                yield out([np.concatenate(x) for x in zip(*parts)])
+                parts = []
+            elif held >= COLLAPSE:
+                yield out(_collapse(parts))
+                parts, held = [], 0
+        if parts:
+            yield out(_collapse(parts))
+
+    return texts.mapInArrow(run, schema)
 
 
 def _chunk_rows(contexts: DataFrame, width: int) -> DataFrame:
@@ -259,21 +288,26 @@ def _chunk_rows(contexts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
-    """(doc, start, end) byte ranges of distinct texts (columns doc, a unique order number, and text) that
-    are covered by earlier strings; ranges may overlap."""
-    anchors = write_out(_anchor_rows(texts, width), "suffix-anchors")
-    first = anchors.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all"))
-    repeated = kinds.where("all > 1")
-    marked = write_out(first.join(repeated.withColumnRenamed("anchor", "a"), F.col("anchor") == F.col("a")).drop("a", "all"), "suffix-contexts")
+    """(doc, start, end) byte ranges of texts (columns doc, the place in the order of documents, and text) that are
+    covered by earlier strings; ranges may overlap."""
+    spark = texts.sparkSession
+    # One shuffle, by anchor: it serves the contexts and the counts over them.
+    dealt = _anchor_rows(texts, width, collapse=True).repartition("anchor")
+    first = dealt.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.sum("copies").alias("copies"))
+    same = Window.partitionBy("anchor")
+    counted = first.withColumns({"kinds": F.count(F.lit(1)).over(same), "all": F.sum("copies").over(same)})
+    marked = write_out(counted.where("all > 1").drop("all"), "suffix-contexts")
+    release(spark)
 
     # All but the earliest of equal contexts are repeated over their whole length.
-    many = marked.where("copies > 1").select("anchor", "context", "first", "copies").withColumn("key", F.struct("anchor", "context"))
-    rows = anchors.withColumn("key", F.struct("anchor", "context")).select("key", "doc", "place")
-    later = spread_lookup(rows, many.select("key", "first", "copies"), "key", "copies", F.xxhash64("doc", "place"), ROWS_PER_TASK)
+    many = marked.where("copies > 1").select("anchor", "context", "first", "copies")
+    rows = _anchor_rows(texts, width, collapse=False)
+    later = spread_lookup(rows, many, ["anchor", "context"], "copies", F.xxhash64("doc", "place"), ROWS_PER_TASK)
     later = later.where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place"))).select(
         "doc", (F.col("place") - (width - K)).alias("start"), (F.col("place") + width).alias("end")
     )
+    later = write_out(later, "suffix-later")
+    release(spark)
 
     # The earliest of each context, where an anchor has several.
     open_ones = marked.where("kinds > 1").select(
@@ -287,6 +321,7 @@ def repeated_spans(texts: DataFrame, width: int) -> DataFrame:
     contexts = _context_rows(wanted.join(texts, "doc"), width)
     contexts = contexts.repartition("group").sortWithinPartitions("group")
     found = write_out(_chunk_rows(contexts, width), "suffix-chunks")
+    release(spark)
     inside = found.where("digest is null").select("doc", "start", "end")
     handed = found.where("digest is not null")
     heads = handed.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"))
@@ -328,7 +363,7 @@ def cut_documents(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str
 
 
 def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, digest of the input text, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row;
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row;
     ``carry`` adds kept_text and the row's other columns as a struct.
 
     The texts go through two shuffles: one to cut contexts, one to cut the removed ranges out."""
@@ -337,40 +372,23 @@ def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: st
     others = [F.col(f"`{c}`") for c in docs.columns if c != text] + [F.col(text).isNull().alias(f"{text}_null")]
     row = F.struct(*others)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([row.alias("row")] if carry else []))
-    own = own.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    last = F.lit((1 << 63) - 1)
-    narrow = own.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = narrow.where(F.col("n_bytes") >= width).groupBy("digest").agg(
-        F.min(F.coalesce("doc_id", last)).alias("first_id"), F.count(F.lit(1)).alias("copies")
-    )
-    firsts = write_out(firsts, "suffix-firsts")
-    # Order numbers equal the ids; only where an id has several texts they are told apart below.
-    clash = firsts.groupBy("first_id").count().where("count > 1").limit(1).count() > 0
-    if clash:
-        from tallyrisk.operators.running import ranked
-
-        firsts = write_out(ranked(firsts, ["first_id", "digest"]).withColumnRenamed("position", "doc").drop("group_size"), "suffix-order")
-    else:
-        firsts = firsts.withColumn("doc", F.col("first_id"))
-    heads = firsts.select(F.col("digest").alias("d"), F.col("first_id"), "doc")
-    keyed = own.withColumn("__id", F.coalesce("doc_id", last))
-    # The earliest row of each text; its id says where it is, so no copy is read for it.
-    texts = keyed.join(heads, (F.col("__id") == F.col("first_id")) & (F.col("digest") == F.col("d")))
-    texts = texts.select("doc", "text")
-    if docs.select(doc_id).groupBy(doc_id).count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc"])
-
+    own = own.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    digest = F.sha2("text", 256)
+    clash = own.groupBy("doc").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+    if not clash.isEmpty():
+        # Ids with several texts: order numbers take the place of ids.
+        order = ranked(own.select(F.col("doc").alias("id"), digest.alias("digest")).distinct(), ["id", "digest"])
+        numbered = own.join(order, (F.col("doc") == F.col("id")) & (digest == F.col("digest")))
+        own = write_out(numbered.withColumn("doc", F.col("position")).select(own.columns), "suffix-numbered")
+    texts = own.select("doc", "text")
     spans = repeated_spans(texts, width)
     ranges = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    by_text = heads.join(ranges, "doc", "left").select(F.col("first_id"), "d", "ranges")
-    joined = keyed.join(by_text, (F.col("__id") == F.col("first_id")) & (F.col("digest") == F.col("d")), "left")
-    flat = joined.select(
+    none = F.array().cast("array<long>")
+    flat = own.join(ranges, "doc", "left").select(
         "doc_id",
-        "digest",
         "text",
-        (F.col("first_id").isNull() & (F.octet_length("text") >= width)).alias("copy"),
-        F.coalesce(F.col("ranges.start"), F.array().cast("array<long>")).alias("starts"),
-        F.coalesce(F.col("ranges.end"), F.array().cast("array<long>")).alias("ends"),
+        F.coalesce(F.col("ranges.start"), none).alias("starts"),
+        F.coalesce(F.col("ranges.end"), none).alias("ends"),
         *(["row"] if carry else []),
     )
     return _cut(flat, field_type(docs, doc_id))
@@ -389,7 +407,6 @@ def cut_ranges(data: bytes, starts: list[int], ends: list[int]) -> tuple[int, in
 def _cut(docs: DataFrame, id_type: T.DataType) -> DataFrame:
     schema = T.StructType([
         T.StructField("doc_id", id_type),
-        T.StructField("digest", T.BinaryType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()),
@@ -401,12 +418,12 @@ def _cut(docs: DataFrame, id_type: T.DataType) -> DataFrame:
 
     def run(batch):
         sizes, cuts = [], []
-        for text, copy, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+        for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
             data = text.encode("utf-8")
             sizes.append(len(data))
-            cuts.append((len(data), 1, b"") if copy else cut_ranges(data, starts, ends) if starts else (0, 0, data))
+            cuts.append(cut_ranges(data, starts, ends) if starts else (0, 0, data))
         removed, spans, kept = zip(*cuts) if cuts else ((), (), ())
-        out = {"doc_id": batch.column(0), "digest": batch.column(1), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
-        return out | {"kept_text": [k.decode("utf-8", "ignore") for k in kept], "row": batch.column(6)} if carry else out
+        out = {"doc_id": batch.column(0), "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept": kept}
+        return out | {"kept_text": [k.decode("utf-8", "ignore") for k in kept], "row": batch.column(4)} if carry else out
 
     return map_arrow(docs, run, schema)
