@@ -110,9 +110,10 @@ def find_cuts(ends: DataFrame, shards: int) -> list[int]:
     total = ends.agg(F.max("end_bytes")).first()[0]
     if total is None:
         return []
-    windows, known = [(0, total)], {total}
+    windows, known, unit = [(0, total)], {total}, 2 * total
     while True:
-        unit = max(1, -(-sum(b - a + 1 for a, b in windows) // GRID))
+        # Each round at least halves the unit, and the windows are some units wide, so the cells stay few.
+        unit = max(1, min(unit // 2, -(-sum(b - a + 1 for a, b in windows) // GRID)))
         inside = F.lit(False)
         for a, b in windows:
             inside = inside | F.col("end_bytes").between(a, b)
@@ -121,7 +122,7 @@ def find_cuts(ends: DataFrame, shards: int) -> list[int]:
             .groupBy(F.floor(F.col("end_bytes") / unit))
             .agg(F.min("end_bytes").alias("low"), F.max("end_bytes").alias("high"), F.count(F.lit(1)).alias("n"))
             .collect()
-        )  # at most GRID cells and one more for each window
+        )  # about GRID cells
         known |= {r[c] for r in cells for c in ("low", "high")}
         grid = Grid(list(known), [(r["low"], r["high"]) for r in cells if r["n"] > 2])
         feasible = grid.smallest(shards, total, hopeful=False)
