@@ -175,14 +175,13 @@ def _runs(spark, sf):
     "error_rate latency_p95_ms",
 )
 def mon_history_json(spark, sf):
-    return M.run_history(_runs(spark, sf))
+    return M.run_history(_runs(spark, sf), limit=50)
 
 
 @query(
     "mon_history_counts",
-    f"""WITH {_RUNS}, newest AS (SELECT * FROM runs ORDER BY run_at DESC, id DESC LIMIT 50)
-    SELECT count(*) AS runs_count, count(*) FILTER (WHERE coalesce(drift LIKE '%true%', false)) AS drift_enabled_runs,
-    count(*) FILTER (WHERE NOT coalesce(drift LIKE '%true%', false)) AS drift_disabled_runs FROM newest""",
+    f"""WITH {_RUNS} SELECT count(*) AS runs_count, count(*) FILTER (WHERE coalesce(drift LIKE '%true%', false)) AS drift_enabled_runs,
+    count(*) FILTER (WHERE NOT coalesce(drift LIKE '%true%', false)) AS drift_disabled_runs FROM runs""",
 )
 def mon_history_counts(spark, sf):
     return M.run_history(_runs(spark, sf)).agg(

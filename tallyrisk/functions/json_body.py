@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Fixed value: at most this many features are kept per request, in key order.
-MAX_FEATURES = 3000
-
 _NUMBER_MAP = "map<string,double>"
 
 
@@ -29,9 +26,10 @@ def cells(variant: Column, path: str = "$") -> Column:
     return F.try_variant_get(variant, path, "map<string,variant>")
 
 
-def feature_map(variant: Column, limit: int = MAX_FEATURES, own: Column | None = None) -> Column:
+def feature_map(variant: Column, limit: int | None = None, own: Column | None = None) -> Column:
     """Numbers and booleans (as 0/1) of the nested ``features`` object, or of the body itself.
-    Text, nulls, lists and nested objects are left out. Anything but an object gives an empty map."""
+    Text, nulls, lists and nested objects are left out. Anything but an object gives an empty map.
+    A limit, if asked for, keeps the first features in key order."""
     entries = F.map_entries(F.coalesce(cells(variant, "$.features"), cells(variant) if own is None else own))
     named = F.transform(
         entries,
@@ -43,7 +41,7 @@ def feature_map(variant: Column, limit: int = MAX_FEATURES, own: Column | None =
         numeric, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "double").alias("value"))
     )
     # The entries of an object arrive sorted by key.
-    return F.coalesce(F.map_from_entries(F.slice(typed, 1, limit)), F.create_map().cast(_NUMBER_MAP))
+    return F.coalesce(F.map_from_entries(typed if limit is None else F.slice(typed, 1, limit)), F.create_map().cast(_NUMBER_MAP))
 
 
 def sorted_keys(body: Column) -> Column:

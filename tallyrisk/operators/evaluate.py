@@ -173,27 +173,32 @@ def _shuffle_key(keys: Sequence[str], seed: int) -> Column:
 
 def assign_folds(df: DataFrame, keys: Sequence[str], k: int, seed: int = 1001, label: str | None = None) -> DataFrame:
     """Fold 0..k-1 per row. Plain: by key hash. With a label: rows of each class are dealt out in
-    hash order, so class sizes per fold differ by at most one. ``keys`` must identify a row."""
+    hash order, so class sizes per fold differ by at most one; rows without a label get no fold."""
     if label is None:
         return df.withColumn("fold", F.pmod(_shuffle_key(keys, seed), F.lit(k)).cast("int"))
-    placed = ranked(
-        df.select(*keys, F.col(label).alias("__label"), _shuffle_key(keys, seed).alias("__mix")),
-        ["__mix", *keys],
-        ["__label"],
+    placed = _numbered(df, keys, label, seed)
+    fold = F.when(F.col(label).isNotNull(), F.pmod(F.col("position"), F.lit(k)).cast("int"))
+    return placed.select(*df.columns, fold.alias("fold"))
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], label: str, seed: int) -> DataFrame:
+    """The rows with their position in hash order among the rows of their class; rows without a label are
+    a class of their own, so none is lost, and repeated keys get positions of their own."""
+    marked = df.withColumns(
+        {
+            "__unlabelled": F.col(label).isNull(),
+            "__class": F.coalesce(F.col(label).cast("string"), F.lit("")),
+            "__mix": _shuffle_key(keys, seed),
+        }
     )
-    folds = placed.select(*keys, F.pmod(F.col("position"), F.lit(k)).cast("int").alias("fold"))
-    return df.join(folds, list(keys))
+    return ranked(marked, ["__mix", *keys], ["__unlabelled", "__class"])
 
 
 def holdout(df: DataFrame, keys: Sequence[str], label: str, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Add ``is_valid``: the first ``share`` of every class in hash order."""
-    placed = ranked(
-        df.select(*keys, F.col(label).alias("__label"), _shuffle_key(keys, seed).alias("__mix")),
-        ["__mix", *keys],
-        ["__label"],
-    )
-    marks = placed.select(*keys, (F.col("position") < F.round(F.col("group_size") * F.lit(share))).alias("is_valid"))
-    return df.join(marks, list(keys))
+    """Add ``is_valid``: the first ``share`` of every class in hash order; null for rows without a label."""
+    placed = _numbered(df, keys, label, seed)
+    first = F.col("position") < F.round(F.col("group_size") * F.lit(share))
+    return placed.select(*df.columns, F.when(F.col(label).isNotNull(), first).alias("is_valid"))
 
 
 def cv_metrics(df: DataFrame, label: str, score: str, fold: str = "fold", points: int = 100) -> DataFrame:

@@ -133,9 +133,11 @@ def drift_windows(logs: DataFrame, order: list[Column] | None = None) -> DataFra
     return top.withColumn("side", side).where(F.col("side").isNotNull())
 
 
-def run_history(runs: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest runs with numbers read from their JSON documents."""
-    newest = runs.orderBy(F.col("run_at").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(limit)
+def run_history(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Runs with numbers read from their JSON documents: all, or the newest for a trend."""
+    newest = runs
+    if limit is not None:
+        newest = runs.orderBy(F.col("run_at").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(limit)
     return newest.select(
         "id",
         "run_at",

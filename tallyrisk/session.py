@@ -22,7 +22,11 @@ RUNTIME_CONF = {
 
 # Set when a session is built: call sites are not recorded for every column expression, which would
 # take most of the time needed to describe a table of a thousand columns.
-START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.ui.enabled": "false"}
+START_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -78,8 +78,10 @@ def backfill(spark: SparkSession, path: str, table: str = "api_calls", skip_know
         raise ValueError(f"malformed log line in {path}")
     events = clean_lines(lines)
     if skip_known:
-        stored = spark.table(table).select("timestamp", "payload_hash")
-        events = events.join(stored, ["timestamp", "payload_hash"], "left_anti")
+        stored = spark.table(table).select(F.col("timestamp").alias("__time"), F.col("payload_hash").alias("__hash")).distinct()
+        # Events without a body have no hash; they are known by their time alone.
+        same = F.col("timestamp").eqNullSafe(F.col("__time")) & F.col("payload_hash").eqNullSafe(F.col("__hash"))
+        events = events.join(stored, same, "left_anti")
     count = events.count()
     append_events(events, table)
     return count
