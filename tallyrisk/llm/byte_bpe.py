@@ -2,11 +2,12 @@
 
 A token sequence is the BPE encoding of its bytes exactly if each token encodes to itself and each two
 neighbours, joined, encode to those two. That condition is local, so the merges compile into a
-nondeterministic transducer: walk the trie of token bytes, and at a token's end go back to the root
-if the token may follow the one before. Each prefix of the input has one accepted segmentation, so
-a determinised state holds few configurations (open tokens, trie node). States are made when first
-met and interned; a token is emitted as soon as all configurations agree on it, which a dictionary's
-longest token bounds. The input is read once, byte by byte, in time linear in its length.
+transducer over bytes: each prefix of the input has one segmentation, whose last token is settled by
+the tokens that end here and the token closed before each of them. The part that follows the bytes is an
+automaton on the tokens' trie (its state: the longest suffix of the input that may still grow into a token);
+its moves are determinised when first met, and so are the verdicts on (token before, token). A future
+token can begin only inside that suffix, so tokens before the point where all its places agree are
+emitted; the lookahead is bounded by the longest token, and the input is read once in linear time.
 
 Decoding goes token by token through a UTF-8 state machine: what a token completes is emitted, the rest
 (at most three bytes) is the state.
@@ -24,12 +25,14 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyrisk.llm.common import field_type, map_arrow
+from tallyrisk.llm.common import PerWorker, field_type, map_arrow
 
 # Entries kept per Python worker. When the newer half of the pieces is full, it replaces the older half; the
 # tables of the machines are emptied when full and grow again. Results do not depend on these.
-CACHE_PIECES = 400_000
-CACHE_STATES = 1_000_000
+CACHE_PIECES = 300_000
+CACHE_STATES = 400_000
+# Bytes of a piece after which settled tokens are emitted.
+EMIT_BYTES = 4096
 _NEVER = 1 << 60
 _ROOT = 0
 
@@ -43,35 +46,44 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte
-        self.token_at = [-1]
+        self.child: dict[int, int] = {}  # node << 8 | byte, by the trie
+        self.depth = [0]
+        ends = {}
         for token, i in ranks.items():
             node = _ROOT
             for b in token:
                 step = node << 8 | b
                 if step not in self.child:
-                    self.child[step] = len(self.token_at)
-                    self.token_at.append(-1)
+                    self.child[step] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.child[step]
-            self.token_at[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+            ends[node] = i
+        self.follows: dict[int, bool] = {}
         self.edges: dict[int, list[tuple[bytes, int, int]]] = {}
-        self.alone = {i for i in ranks.values() if self.may_follow(-1, i)}
-        self._forget()
-
-    def _forget(self) -> None:
-        """Start again with the initial state only."""
-        self.states: list[tuple] = []
-        self.known: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(-1, (((), _ROOT),))
-
-    def _state(self, last: int, configs: tuple) -> int:
-        key = (last, configs)
-        if key not in self.known:
-            self.known[key] = len(self.states)
-            self.states.append(key)
-        return self.known[key]
+        self._suffixes(ends)
+        self.moves: dict[int, tuple[int, tuple]] = {}
+
+    def _suffixes(self, ends: dict[int, int]) -> None:
+        """For each node its longest proper suffix in the trie, and (token, length) of the tokens that end there,
+        longest first, if they encode to themselves."""
+        self.shorter = [_ROOT] * len(self.depth)
+        self.closing: list[tuple[tuple[int, int], ...]] = [()] * len(self.depth)
+        for step, node in sorted(self.child.items(), key=lambda x: self.depth[x[1]]):
+            parent, byte = step >> 8, step & 255
+            if parent != _ROOT:
+                self.shorter[node] = self._go(self.shorter[parent], byte)
+            token = ends.get(node)
+            own = ((token, self.depth[node]),) if token is not None and len(self.merged(self.bytes_of[token])) == 1 else ()
+            self.closing[node] = own + self.closing[self.shorter[node]]
+
+    def _go(self, node: int, byte: int) -> int:
+        while True:
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if node == _ROOT:
+                return _ROOT
+            node = self.shorter[node]
 
     def merged(self, data: bytes, below: int = _NEVER) -> list[bytes]:
         """The symbols after all merges with a rank under ``below``."""
@@ -106,73 +118,73 @@ class Transducer:
         return left, b"".join(rest)
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether b may stand after a; a = -1 asks whether b encodes to itself. Two tokens stay apart if no
-        merge across their border has its turn while both its symbols are there; of equal ranks the
-        left place comes first."""
-        got = self.follows.get((a, b))
-        if got is None:
-            if len(self.follows) >= CACHE_STATES:
-                self.follows.clear()
-            if a < 0:
-                got = self.merged(self.bytes_of[b]) == [self.bytes_of[b]]
+        """Whether the tokens a and b stay apart: no merge across their border has its turn while both its
+        symbols are there; of equal ranks the left place comes first."""
+        left, right = self._edge(a, 1), self._edge(b, 0)
+        i = j = 0
+        while i < len(left) and j < len(right):
+            (x, made_x, gone_x), (y, made_y, gone_y) = left[i], right[j]
+            rank = self.ranks.get(x + y)
+            if rank is not None and rank < gone_x and rank <= gone_y:
+                return False
+            if made_x >= made_y:
+                i += 1
             else:
-                left, right = self._edge(a, 1), self._edge(b, 0)
-                got, i, j = True, 0, 0
-                while i < len(left) and j < len(right):
-                    (x, made_x, gone_x), (y, made_y, gone_y) = left[i], right[j]
-                    rank = self.ranks.get(x + y)
-                    if rank is not None and rank < gone_x and rank <= gone_y:
-                        got = False
-                        break
-                    if made_x >= made_y:
-                        i += 1
-                    else:
-                        j += 1
-            self.follows[a, b] = got
-        return got
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are settled by this byte."""
-        last, configs = self.states[state]
-        after, closed = [], None  # ordered by where the open token began, so equal sets are equal tuples
-        for open_tokens, node in configs:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            after.append((open_tokens, node))
-            token = self.token_at[node]
-            if token in self.alone and ((prior := open_tokens[-1] if open_tokens else last) < 0 or self.may_follow(prior, token)):
-                closed = (open_tokens + (token,), _ROOT)
-        if closed:
-            after.append(closed)
-        out = after[0][0]
-        for open_tokens, _ in after[1:]:
-            if not out:
-                break
-            n = 0
-            while n < len(out) and n < len(open_tokens) and out[n] == open_tokens[n]:
-                n += 1
-            out = out[:n]
-        if out:
-            last, after = out[-1], [(o[len(out) :], node) for o, node in after]
-        return self._state(last, tuple(after)), out
+                j += 1
+        return True
+
+    def _settled(self, closed: list[int], suffix: int) -> int:
+        """The last place that the segmentations of all places in the open suffix share."""
+        places = set(range(len(closed) - 1 - suffix, len(closed)))
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - len(self.bytes_of[closed[last]]))
+        return places.pop()
+
+    def _path(self, closed: list[int], place: int) -> list[int]:
+        out = []
+        while place > 0:
+            out.append(closed[place])
+            place -= len(self.bytes_of[closed[place]])
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece, which is merged on its own."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) >= CACHE_STATES:
-            self._forget()
-        state, out = self.start, []
-        for b in piece:
-            move = self.moves.get(state << 8 | b)
+        if len(self.moves) + len(self.follows) >= CACHE_STATES:
+            self.moves, self.follows = {}, {}
+        moves, follows = self.moves, self.follows
+        closed, node, place, out = [-1], _ROOT, 0, []  # closed[i]: the last token of the first i bytes
+        for byte in piece:
+            step = node << 8 | byte
+            move = moves.get(step)
             if move is None:
-                move = self.moves[state << 8 | b] = self._move(state, b)
-            state = move[0]
-            out += move[1]
-        out += next(o for o, node in self.states[state][1] if node == _ROOT)
-        return out
+                node = self._go(node, byte)
+                move = moves[step] = (node, self.closing[node])
+            node, closing = move
+            place += 1
+            for token, length in closing:
+                if length > place:
+                    continue  # begins before what is already emitted
+                before = closed[place - length]
+                if before >= 0:
+                    fits = follows.get(before << 20 | token)
+                    if fits is None:
+                        fits = follows[before << 20 | token] = self.may_follow(before, token)
+                    if not fits:
+                        continue
+                closed.append(token)
+                break
+            if place >= EMIT_BYTES:
+                at = self._settled(closed, self.depth[node])
+                if at > 0:
+                    out += self._path(closed, at)
+                    closed = closed[at:]
+                    place -= at
+        return out + self._path(closed, len(closed) - 1)
 
 
 class Encoder:
@@ -239,35 +251,43 @@ def utf8_step(held: bytes, data: bytes) -> tuple[str, bytes]:
 
 
 class StreamDecoder:
-    """Ids to text, a token at a time; the machine's moves by (state, token) are kept when first met."""
+    """Ids to text in blocks; the machine's moves by (state, token) are kept when first met."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        # What each token yields in the empty state, if it ends there too.
+        first = {i: utf8_step(b"", data) for i, data in bytes_of.items()}
+        self.whole = {i: text for i, (text, held) in first.items() if not held}
 
     def text(self, ids: list[int]) -> str:
-        held, out, moves = b"", [], self.moves
+        held, out, moves, whole = b"", [], self.moves, self.whole.get
         if len(moves) >= CACHE_STATES:
             moves.clear()
-        for i in ids:
-            move = moves.get((held, i))
-            if move is None:
-                move = moves[held, i] = utf8_step(held, self.bytes_of[i])
-            out.append(move[0])
-            held = move[1]
-        return "".join(out) + ("�" if held else "")
+        for at in range(0, len(ids), 64):
+            block = ids[at : at + 64]
+            if not held:
+                texts = [whole(i) for i in block]
+                if None not in texts:
+                    out += texts
+                    continue
+            for i in block:
+                move = moves.get((held, i))
+                if move is None:
+                    move = moves[held, i] = utf8_step(held, self.bytes_of[i])
+                out.append(move[0])
+                held = move[1]
+        return "".join(out) + ("\ufffd" if held else "")
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (packed little-endian unsigned 32-bit integers) of each whole text. The rank
     file is read by the driver and broadcast; rows are not shuffled."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    own: list[Encoder] = []
+    encoder = PerWorker(docs.sparkSession, read_ranks(path), lambda ranks: Encoder(ranks, pattern))
 
     def run(batch):
-        if not own:
-            own.append(Encoder(ranks.value, pattern))
-        ids = [own[0].packed(x or "") for x in batch.column(1).to_pylist()]
+        packed = encoder.get().packed
+        ids = [packed(x or "") for x in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     schema = T.StructType([
@@ -280,15 +300,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``text``, decoded from the packed ``ids``."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
-    own: list[StreamDecoder] = []
+    decoder = PerWorker(encoded.sparkSession, {i: t for t, i in read_ranks(path).items()}, StreamDecoder)
     names = encoded.columns
 
     def run(batch):
-        if not own:
-            own.append(StreamDecoder({i: t for t, i in ranks.value.items()}))
+        decode = decoder.get().text
         packed = batch.column(names.index("ids")).to_pylist()
-        texts = [own[0].text(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in packed]
+        texts = [decode(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in packed]
         return {**{c: batch.column(k) for k, c in enumerate(names)}, "text": texts}
 
     return map_arrow(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
