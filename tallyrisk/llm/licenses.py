@@ -17,7 +17,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyrisk.llm.common import field_type, map_arrow
+from tallyrisk.llm.common import PerWorker, field_type, map_arrow
 
 # Phrases that count as base places, and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -189,12 +189,11 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> dict:
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: number of words, base places with first and last start, labels, score, the tag
     expressions that were read, and whether they all allow permissive use (null without any). No shuffle."""
-    own: list[ahocorasick.Automaton] = []
+    shared = PerWorker(docs.sparkSession, None, lambda _: build_automaton())
 
     def run(batch):
-        if not own:
-            own.append(build_automaton())
-        rows = [scan(x or "", own[0]) for x in batch.column(1).to_pylist()]
+        automaton = shared.get()
+        rows = [scan(x or "", automaton) for x in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), **{f.name: [r[f.name] for r in rows] for f in schema.fields[1:]}}
 
     schema = T.StructType([

@@ -21,7 +21,7 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyrisk.llm.common import field_type, map_arrow
+from tallyrisk.llm.common import PerWorker, field_type, map_arrow
 
 # Words kept with their count, per Python worker: when the newer half is full, it replaces the older half.
 CACHE_WORDS = 400_000
@@ -99,7 +99,7 @@ class WordTokenizer:
         self.added = [x["content"] for x in spec["added_tokens"]]
 
 
-class Counter49k:
+class WordCounter:
     """Counts the tokens of texts; one per Python worker."""
 
     def __init__(self, tokenizer: WordTokenizer):
@@ -137,14 +137,12 @@ class Counter49k:
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes and n_tokens of each whole text, by the tokenizer file at ``path``. The merges
     (one file, read by the driver) are broadcast; rows are not shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(WordTokenizer(path))
-    own: list[Counter49k] = []
+    counter = PerWorker(docs.sparkSession, WordTokenizer(path), WordCounter)
 
     def run(batch):
-        if not own:
-            own.append(Counter49k(shared.value))
+        count = counter.get().of_text
         texts = [x or "" for x in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "n_bytes": [len(x.encode("utf-8")) for x in texts], "n_tokens": [own[0].of_text(x) for x in texts]}
+        return {"doc_id": batch.column(0), "n_bytes": [len(x.encode("utf-8")) for x in texts], "n_tokens": [count(x) for x in texts]}
 
     schema = T.StructType([
         T.StructField("doc_id", field_type(docs, doc_id)),
