@@ -5,8 +5,9 @@ are linked if their fingerprints differ in at most r bits; classes are the conne
 
 Search: the 64 bits form a ring of r + 1 segments. If two fingerprints differ in at most r bits, then from
 some segment on every chain of l consecutive segments differs in at most floor(l * r / (r + 1)) = l - 1
-bits. So that segment is equal, and of the next, which may differ in one bit, one half is equal: these
-two parts are the join key (2 keys a segment). Longer chains prune the candidates before the full distance.
+bits. So that segment is equal, the next differs in one bit at most, and it and the one after it in two. With
+both cut in halves, either the next is equal, or one half of it and one half of the one after it are: five
+keys a segment, of about 26 bits for r = 4. Longer chains prune the candidates before the full distance.
 
 Work is done on distinct fingerprints, so exact copies cost one row. Within a key no pairs are enumerated
 while they can be told from representatives: first each member is compared with up to four of the key's
@@ -75,15 +76,17 @@ def _bits(fp: Column, start: int, width: int) -> Column:
 
 
 def ring_keys(fp: Column, radius: int) -> Column:
-    """Array of (segment number, key): the segment and one half of the next."""
+    """Array of (segment number, key): the hash of the segment and two halves of the following ones. Keys that share
+    a hash are compared too, which does no harm."""
     ring = segments(radius)
     keys = []
     for i, (start, width) in enumerate(ring):
-        next_start, next_width = ring[(i + 1) % len(ring)]
-        low = next_width // 2
-        for half, (a, w) in enumerate(((next_start, low), (next_start + low, next_width - low))):
-            value = F.shiftleft(_bits(fp, start, width), w).bitwiseOR(_bits(fp, a, w))
-            keys.append(F.struct(F.lit(2 * i + half).alias("part"), value.alias("key")))
+        halves = []
+        for a, w in (ring[(i + 1) % len(ring)], ring[(i + 2) % len(ring)]):
+            halves += [(a, w // 2), (a + w // 2, w - w // 2)]
+        for kind, (p, q) in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))):
+            cells = [_bits(fp, start, width), _bits(fp, *halves[p]), _bits(fp, *halves[q])]
+            keys.append(F.struct(F.lit(i).alias("part"), F.xxhash64(F.lit(5 * i + kind), *cells).alias("id")))
     return F.array(*keys)
 
 
@@ -101,7 +104,7 @@ def chain_holds(x: Column, part: Column, radius: int) -> Column:
         for length in range(len(ring)):
             total = total + F.bit_count(x.bitwiseAND(F.lit(_mask(*ring[(i + length) % len(ring)])).cast("long")))
             ok = ok & (total <= length)
-        tests = F.when(F.shiftright(part, 1) == i, ok).otherwise(tests)
+        tests = F.when(part == i, ok).otherwise(tests)
     return tests
 
 
@@ -114,14 +117,13 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     """(node, root) of the components of fingerprints (column fp, each once) that have a partner within the radius."""
     members = distinct.select("fp", F.inline(ring_keys(F.col("fp"), radius)))
     spread = F.xxhash64("fp")
-    picked = members.groupBy("part", "key").agg(
+    picked = members.groupBy("id").agg(
+        F.first("part").alias("part"),
         F.count(F.lit(1)).alias("n"),
         F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", spread), F.max_by("fp", spread))).alias("picks"),
     )
-    shared = picked.where("n > 1").withColumn("id", F.xxhash64("part", "key")).select("id", "part", "n", "picks")
-    # The id of a key is a hash; two keys that share one are compared too, which does no harm.
-    shared = write_out(shared.groupBy("id").agg(F.first("part").alias("part"), F.sum("n").alias("n"), F.flatten(F.collect_list("picks")).alias("picks")), "simhash-keys")
-    rows = members.select("fp", F.xxhash64("part", "key").alias("id"))
+    shared = write_out(picked.where("n > 1"), "simhash-keys")
+    rows = members.select("fp", "id")
     inside = write_out(spread_lookup(rows, shared, "id", "n", spread, ROWS_PER_TASK), "simhash-members")
 
     first = inside.select("fp", "part", F.explode("picks").alias("pick")).where(
