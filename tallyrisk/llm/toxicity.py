@@ -102,8 +102,11 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     usable = labelled.where(F.col(label).isin(0, 1)).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("double").alias("label")
     )
-    # The bound is kept by hash, so the sample is the same however the rows are dealt out.
-    chosen = usable.orderBy(F.xxhash64("doc_id", "text"), "label").limit(max_rows)
+    # The bound is kept by the hash of the id, so the sample is the same however the rows are dealt out, and the
+    # texts stay where they are: only hashes, max_rows at most, are ordered.
+    spread = F.xxhash64("doc_id", F.lit(17))
+    last = usable.select(spread.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    chosen = usable.where(spread <= last["h"]) if last["n"] >= max_rows else usable
     rows = write_out(with_features(chosen, "doc_id", "text", ["label"]), "toxicity-fit")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     empty = np.zeros(1 << BITS, dtype=np.float32)
