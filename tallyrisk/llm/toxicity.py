@@ -4,7 +4,7 @@ A text is lower-cased, runs of white space become one space, and each distinct n
 characters sets one of 2^18 hashed features. The log-count ratio of a feature is the log of its smoothed share
 of the documents of class 1 over that of class 0; logistic regression is trained on the scaled features, and a
 document's score is sigmoid(bias + sum of weight * ratio over its features). Features of fewer than
-MIN_DOCS labelled documents are left out. The whole text counts, whatever its length.
+MIN_DOCS labelled documents, or with a ratio below MIN_RATIO, are left out. The whole text counts, whatever its length.
 
 The fit may use a bounded sample of the labelled rows (``max_rows``, the rows with the smallest hash of their
 id); scoring reads every row and needs no shuffle.
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -34,6 +33,8 @@ LENGTHS = (4, 5, 6)
 # Labelled rows that are learnt from, at most.
 MAX_ROWS = 40_000
 MIN_DOCS = 8
+# Features whose log-count ratio is nearer to zero tell next to nothing, and are most of a text: they are left out.
+MIN_RATIO = 0.2
 REGULARISATION = 0.001
 ITERATIONS = 100
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -78,9 +79,18 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-@F.udf(VectorUDT())
-def _sparse(index):
-    return Vectors.sparse(1 << BITS, index, [1.0] * len(index))
+def scaled_vectors(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """label and features, the log-count ratios of a row's features; those without a ratio are left out. The
+    ratios (1 MB, fixed by BITS) are broadcast."""
+    shared = PerWorker(rows.sparkSession, ratio.astype(np.float32), lambda ratio: ratio)
+
+    @F.udf(VectorUDT())
+    def scaled(index):
+        values = shared.get()[index]
+        used = np.flatnonzero(values)
+        return Vectors.sparse(1 << BITS, np.asarray(index)[used], values[used].astype(np.float64))
+
+    return rows.select("label", scaled("features").alias("scaled"))
 
 
 def with_features(docs: DataFrame, doc_id: str, text: str, kept: list[str]) -> DataFrame:
@@ -113,8 +123,6 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     if len(counts) < 2:
         share = (counts.get(1.0, 0) + 1) / (sum(counts.values()) + 2)
         return ToxicityModel(math.log(share / (1 - share)), empty)
-    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts.values()) // 500))
-    vectors = rows.repartition(tasks).select("label", _sparse("features").alias("features"))
     # At most one row for each hashed feature.
     seen = rows.select("label", F.explode("features").alias("feature")).groupBy("feature")
     seen = seen.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= MIN_DOCS)
@@ -122,7 +130,9 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     for r in seen.collect():
         toxic = math.log((r["toxic"] + 1) / (counts[1.0] + 2))
         ratio[r["feature"]] = toxic - math.log((r["all"] - r["toxic"] + 1) / (counts[0.0] + 2))
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="features", outputCol="scaled").transform(vectors)
+    ratio[np.abs(ratio) < MIN_RATIO] = 0
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts.values()) // 500))
+    scaled = scaled_vectors(rows.coalesce(tasks), ratio)
     model = LogisticRegression(
         featuresCol="scaled", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False
     ).fit(scaled)
