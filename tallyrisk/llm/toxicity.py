@@ -4,15 +4,16 @@ A text is lower-cased, runs of white space become one space, and each distinct n
 characters sets one of 2^18 hashed features. The log-count ratio of a feature is the log of its smoothed share
 of the documents of class 1 over that of class 0; logistic regression is trained on the scaled features, and a
 document's score is sigmoid(bias + sum of weight * ratio over its features). Features of fewer than
-MIN_DOCS labelled documents, or with a ratio below MIN_RATIO, are left out. The whole text counts, whatever its length.
+MIN_DOCS labelled documents, or with a ratio within SIGNIFICANCE standard errors of zero, are left out. The whole
+text counts, whatever its length.
 
-The fit may use a bounded sample of the labelled rows (``max_rows``, the rows with the smallest hash of their
-id); scoring reads every row and needs no shuffle.
+The fit may use a bounded sample of the labels (``max_rows``, those with the smallest hash of their id); scoring
+reads every row and needs no shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; rows with a null or
-unknown label are not learnt from; a document labelled twice is learnt from once per label; with
-labels of one class only, or none, there are no ratios and each score is the (smoothed) share of the
-class. Label, language, source and id are never features.
+unknown label are not learnt from; a document labelled twice is learnt from once per label, of a repeated
+id the smallest text is learnt from; with labels of one class only, none, or no feature that tells the classes apart,
+each score is the (smoothed) share of the class. Label, language, source and id are never features.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ LENGTHS = (4, 5, 6)
 # Labelled rows that are learnt from, at most.
 MAX_ROWS = 40_000
 MIN_DOCS = 8
-# Features whose log-count ratio is nearer to zero tell next to nothing, and are most of a text: they are left out.
-MIN_RATIO = 0.2
+# A log-count ratio fewer standard errors from zero may be chance; such features are most of a text and are left out.
+SIGNIFICANCE = 4.0
 REGULARISATION = 0.001
 ITERATIONS = 100
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,64 +80,68 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def scaled_vectors(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """label and features, the log-count ratios of a row's features; those without a ratio are left out. The
-    ratios (1 MB, fixed by BITS) are broadcast."""
-    shared = PerWorker(rows.sparkSession, ratio.astype(np.float32), lambda ratio: ratio)
+def count_features(rows: DataFrame) -> DataFrame:
+    """feature, toxic and all: how many rows of (text, label) have each hashed feature, and how many of them are of
+    class 1. Each task counts into two arrays of 2^BITS first, so what is shuffled has at most that many rows a task."""
 
-    @F.udf(VectorUDT())
-    def scaled(index):
-        values = shared.get()[index]
-        used = np.flatnonzero(values)
-        return Vectors.sparse(1 << BITS, np.asarray(index)[used], values[used].astype(np.float64))
+    def run(batches):
+        distinct, counts = Distinct(), np.zeros((2, 1 << BITS), dtype=np.int64)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[int(label), distinct(features_of(text or ""))] += 1
+        met = np.flatnonzero(counts.sum(axis=0))
+        columns = [met.astype(np.int32), counts[1, met], counts.sum(axis=0)[met]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "toxic", "all"])
+
+    parts = rows.select("text", "label").mapInArrow(run, "feature int, toxic long, all long")
+    return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
 
-    return rows.select("label", scaled("features").alias("scaled"))
+
+def chosen_features(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell the classes apart and their log-count ratios, in the order of the features."""
+    # At most one row for each hashed feature.
+    seen = count_features(rows).where(F.col("all") >= MIN_DOCS).toPandas().sort_values("feature")
+    toxic, clean = seen["toxic"].to_numpy() + 1.0, (seen["all"] - seen["toxic"]).to_numpy() + 1.0
+    ratio = np.log(toxic / (n_toxic + 2)) - np.log(clean / (n_clean + 2))
+    error = np.sqrt(1 / toxic - 1 / (n_toxic + 2) + 1 / clean - 1 / (n_clean + 2))
+    told = np.abs(ratio) > SIGNIFICANCE * error
+    return seen["feature"].to_numpy()[told], ratio[told]
 
 
-def with_features(docs: DataFrame, doc_id: str, text: str, kept: list[str]) -> DataFrame:
-    """``kept`` columns and ``features``, the sorted distinct hashed features of the text."""
-    distinct = Distinct()
-    chosen = docs.select(*[F.col(c) for c in kept], F.col(text).alias("__text"))
+def scaled_vectors(rows: DataFrame, features: np.ndarray, ratio: np.ndarray) -> DataFrame:
+    """label and scaled, the log-count ratios of a row's chosen features. The place of each feature (1 MB, fixed by
+    BITS) is broadcast."""
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[features] = np.arange(len(features), dtype=np.int32)
+    shared = PerWorker(rows.sparkSession, place, lambda place: (place, Distinct()))
 
     def run(batch):
-        texts = batch.column(len(kept)).to_pylist()
-        out = {c: batch.column(k) for k, c in enumerate(kept)}
-        return out | {"features": [np.sort(distinct(features_of(x or ""))) for x in texts]}
+        place, distinct = shared.get()
+        places = [place[distinct(features_of(x or ""))] for x in batch.column(1).to_pylist()]
+        return {"label": batch.column(0), "places": [np.sort(p[p >= 0]) for p in places]}
 
-    fields = [T.StructField(c, field_type(docs, c)) for c in kept]
-    return map_arrow(chosen, run, T.StructType([*fields, T.StructField("features", T.ArrayType(T.IntegerType()))]))
+    found = map_arrow(rows.select("label", "text"), run, T.StructType.fromDDL("label double, places array<int>"))
+    vector = F.udf(lambda places: Vectors.sparse(len(ratio), places, ratio[places]), VectorUDT())
+    return write_out(found, "toxicity-vectors").select("label", vector("places").alias("scaled"))
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS) -> ToxicityModel:
+def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> ToxicityModel:
     """Train on rows of (doc_id, text, label 0 or 1)."""
-    usable = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("double").alias("label")
-    )
-    # The bound is kept by the hash of the id, so the sample is the same however the rows are dealt out, and the
-    # texts stay where they are: only hashes, max_rows at most, are ordered.
-    spread = F.xxhash64("doc_id", F.lit(17))
-    last = usable.select(spread.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
-    chosen = usable.where(spread <= last["h"]) if last["n"] >= max_rows else usable
-    rows = write_out(with_features(chosen, "doc_id", "text", ["label"]), "toxicity-fit")
+    usable = labelled.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id), F.col(label).cast("double").alias("label"))
+    rows = write_out(usable.agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("text")).select("text", "label"), "toxicity-fit")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    empty = np.zeros(1 << BITS, dtype=np.float32)
-    if len(counts) < 2:
-        share = (counts.get(1.0, 0) + 1) / (sum(counts.values()) + 2)
-        return ToxicityModel(math.log(share / (1 - share)), empty)
-    # At most one row for each hashed feature.
-    seen = rows.select("label", F.explode("features").alias("feature")).groupBy("feature")
-    seen = seen.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= MIN_DOCS)
-    ratio = np.zeros(1 << BITS)
-    for r in seen.collect():
-        toxic = math.log((r["toxic"] + 1) / (counts[1.0] + 2))
-        ratio[r["feature"]] = toxic - math.log((r["all"] - r["toxic"] + 1) / (counts[0.0] + 2))
-    ratio[np.abs(ratio) < MIN_RATIO] = 0
-    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts.values()) // 500))
-    scaled = scaled_vectors(rows.coalesce(tasks), ratio)
+    n_toxic, n_clean = counts.get(1.0, 0), counts.get(0.0, 0)
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    features, ratio = chosen_features(rows, n_toxic, n_clean) if n_toxic and n_clean else (weights[:0], weights[:0])
+    if not len(features):
+        share = (n_toxic + 1) / (n_toxic + n_clean + 2)
+        return ToxicityModel(math.log(share / (1 - share)), weights)
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, (n_toxic + n_clean) // 500))
     model = LogisticRegression(
         featuresCol="scaled", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False
-    ).fit(scaled)
-    return ToxicityModel(float(model.intercept), (model.coefficients.toArray() * ratio).astype(np.float32))
+    ).fit(scaled_vectors(rows, features, ratio).coalesce(tasks))
+    weights[features] = model.coefficients.toArray() * ratio
+    return ToxicityModel(float(model.intercept), weights)
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,11 +176,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) outside the held-out fold. The labels go to the documents' shuffle by id."""
-    marked = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & ~held_out())
-    return docs.select("doc_id", "text").join(marked, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, label) outside the held-out fold, of the ``max_rows`` labels with the smallest hash of their id. The
+    bound makes the labels small enough for a broadcast, so texts stay where they are."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    marked = usable.select("doc_id", F.col("toxic").alias("label")).distinct().orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(marked.limit(max_rows)), "doc_id")
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(training_rows(docs, labels))
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel:
+    return fit(training_rows(docs, labels, max_rows))
