@@ -91,25 +91,25 @@ def aggregate_all_numeric(
 # --- categories ---------------------------------------------------------------------------
 
 
-def vocabulary(df: DataFrame, column: str, limit: int = 20) -> list[str] | None:
-    """Sorted distinct values, or None if there are more than ``limit`` (then nothing is collected
-    beyond ``limit + 1`` values)."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    return sorted(r[0] for r in values) if len(values) <= limit else None
+# A column with more values than this is no category: it must be given a vocabulary or be left out by the caller.
+MAX_CATEGORIES = 1000
 
 
-def vocabularies(df: DataFrame, columns: Sequence[str], limit: int = 20) -> dict[str, list[str]]:
-    """Vocabularies of all low-cardinality columns in one pass over the data. The collected sets
-    hold at most ``limit`` values per column, because the values are made distinct first and counted
-    before anything is collected; the counts have one row per column."""
+def vocabularies(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values of each column. With a ``limit``, columns with more values are left out; without one
+    all values are taken, and a column above MAX_CATEGORIES is an error that names it. Values are made distinct and
+    counted (one row per column) before anything is collected."""
     if not columns:
         return {}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     distinct = df.select(F.inline(cells)).where("value IS NOT NULL").distinct()
-    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
-    rows = distinct.join(F.broadcast(sizes), "column").select("column", "value").collect()
+    sizes = {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+    too_many = sorted(c for c, n in sizes.items() if n > MAX_CATEGORIES)
+    if limit is None and too_many:
+        raise ValueError(f"more than {MAX_CATEGORIES} values in {', '.join(too_many)}: give a vocabulary")
+    taken = [c for c, n in sizes.items() if limit is None or n <= limit]
     found: dict[str, list[str]] = {}
-    for r in rows:
+    for r in distinct.where(F.col("column").isin(taken)).collect():
         found.setdefault(r["column"], []).append(r["value"])
     return {c: sorted(v) for c, v in found.items()}
 

@@ -135,7 +135,8 @@ ARREARS = ["1", "2", "3", "4", "5"]
 
 def month_aggregates(balance: DataFrame, statuses: Sequence[str] | None = None) -> DataFrame:
     """Monthly balance rows to one row per credit: month range and status shares."""
-    statuses = statuses if statuses is not None else A.vocabulary(balance, "STATUS") or []
+    if statuses is None:
+        statuses = A.vocabularies(balance, ["STATUS"]).get("STATUS", [])
     spec = {"MONTHS_BALANCE": ["min", "max", "mean", "size"]}
     aggs = [*A.build_aggs(spec, "BB_"), *A.share_aggs({"STATUS": statuses}, "BB_", with_null=False)]
     return balance.where(F.col(CREDIT).isNotNull()).groupBy(CREDIT).agg(*aggs)

@@ -35,7 +35,7 @@ from tallyrisk.operators.evaluate import (
     roc_auc,
     threshold_curve,
 )
-from tallyrisk.operators.running import in_chunks, ranked
+from tallyrisk.operators.running import ranked
 from tallyrisk.operators.score import RULE_MODEL_VERSION, decide, request_features, rule_score
 from tallyrisk.session import settle
 from tallyrisk.sources.schemas import MODEL_BUNDLE
@@ -289,10 +289,17 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_002.0)
 
 
+# Rows of a line that one window task sorts.
+LINE_BLOCK = 10_000
+
+
 def _neighbours(rare: DataFrame, features: Sequence[str], key: str, k: int, lines: int, seed: int) -> DataFrame:
     """Up to k near rows per row. Rows are sorted along several fixed directions; the k rows before
     and after a row on each line are its candidates, and the nearest k of at most 2 * k * lines
-    candidates are kept. Work per row is constant, so equal or crowded rows cause no pair explosion."""
+    candidates are kept. Work per row is constant, so equal or crowded rows cause no pair explosion.
+    A line is cut into blocks of equal length; the k rows at a border are also guests of the block
+    across it, so the candidates do not depend on how the rows are partitioned."""
+    length = max(LINE_BLOCK, k)
     row = rare.agg(*[a for i, c in enumerate(features) for a in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
     unit = [(F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(features)]
     points = rare.select(F.col(key).alias("id"), F.array(*unit).alias("z"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
@@ -301,11 +308,14 @@ def _neighbours(rare: DataFrame, features: Sequence[str], key: str, k: int, line
     for _ in range(lines):
         direction = [rng.gauss(0.0, 1.0) for _ in features]
         spot = F.aggregate(F.zip_with("z", F.lit(direction), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        line = Window.partitionBy("__chunk").orderBy("spot", "id")
-        placed = in_chunks(points.withColumn("spot", spot), ["spot", "id"])
+        placed = ranked(points.withColumn("spot", spot), ["spot", "id"])
+        home, inside = F.floor(F.col("position") / length), F.col("position") % length
+        blocks = F.array_compact(F.array(home, F.when(inside < k, home - 1), F.when(inside >= length - k, home + 1)))
+        placed = placed.select("id", "z", "x", "position", home.alias("home"), F.explode(blocks).alias("block"))
+        line = Window.partitionBy("block").orderBy("position")
         other = F.struct("id", "z", "x")
         near = [F.lag(other, i).over(line) for i in range(1, k + 1)] + [F.lead(other, i).over(line) for i in range(1, k + 1)]
-        lined = placed.select("id", "z", "x", F.array(*near).alias("near"))
+        lined = placed.select("id", "z", "x", "home", "block", F.array(*near).alias("near")).where("home = block")
         found.append(lined.select("id", "z", "x", F.explode(F.array_compact("near")).alias("o")))
     gap = F.aggregate(F.zip_with("z", F.col("o.z"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
     pairs = reduce(DataFrame.unionByName, found).select("id", "x", F.col("o.id").alias("other"), F.col("o.x").alias("ox"), gap.alias("gap"))
@@ -323,12 +333,15 @@ def smote(df: DataFrame, features: Sequence[str], key: str, label: str = LABEL,
     base = df.select(F.col(label).cast("int").alias(label), *[F.col(c).cast("double").alias(c) for c in features]).withColumn("synthetic", F.lit(False))
     if few < 2 or few == many:
         return base
-    rare = df.where(F.col(label) == minority)
+    rare = df.where(F.col(label) == minority).select(
+        F.col(key).alias("__key"), F.xxhash64(F.col(key), F.lit(seed)).alias("__mix"), *[F.col(c).cast("double").alias(c) for c in features]
+    )
     each, rest = divmod(many - few, few)
-    order = ranked(rare.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.lit(seed)).alias("mix")), ["mix", "id"])
-    copies = order.select("id", (F.lit(each) + (F.col("position") < rest).cast("int")).alias("copies"))
-    seeds = _neighbours(rare, features, key, k, lines, seed).join(copies, "id").where("copies > 0")
-    drawn = seeds.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # Rows go by their number, so that repeated and missing keys neither multiply nor lose rows.
+    numbered = ranked(rare, ["__mix", "__key", *features])
+    copies = F.lit(each) + (F.col("id") < rest).cast("int")
+    seeds = _neighbours(numbered, features, "position", k, lines, seed).withColumn("copies", copies.cast("int")).where("copies > 0")
+    drawn = seeds.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed), F.lit("pick")), F.size("near")).cast("int")
     mate = F.get(F.col("near"), pick)["ox"]
     spot = _unit(F.col("id"), F.col("copy"), F.lit(seed), F.lit("spot"))

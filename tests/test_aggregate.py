@@ -200,3 +200,11 @@ def test_impute_strategies(spark, strategy, number, text):
 def test_scaler_uses_population_spread(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a DOUBLE, b DOUBLE")
     assert [tuple(r) for r in E.fit_scaler(df).apply(df).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_vocabularies_keep_every_category(spark):
+    rows = spark.range(2000).select((F.col("id") % 30).cast("string").alias("kind"), F.col("id").cast("string").alias("name"))
+    assert len(A.vocabularies(rows, ["kind"])["kind"]) == 30
+    assert A.vocabularies(rows, ["kind", "name"], limit=40).keys() == {"kind"}
+    with pytest.raises(ValueError, match="name"):
+        A.vocabularies(rows, ["kind", "name"])

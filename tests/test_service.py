@@ -259,3 +259,21 @@ def test_smote_with_equal_rows(spark):
     rows = spark.range(200).select("id", (F.col("id") < 40).cast("int").alias("label"), F.lit(1.0).alias("a"), F.lit(2.0).alias("b"))
     got = T.smote(rows, ["a", "b"], "id")
     assert got.where("label = 1").count() == 160 and got.where("label = 1 AND (a <> 1 OR b <> 2)").isEmpty()
+
+
+def test_smote_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(T, "LINE_BLOCK", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(400).select(
+            F.when(F.col("id") > 30, F.col("id") % 50).alias("id"), (F.col("id") % 20 == 0).cast("int").alias("label"), F.rand(1).alias("a"), F.rand(2).alias("b")
+        )
+        found = []
+        for parts in (3, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = T.smote(rows, ["a", "b"], "id").where("synthetic").select(F.round("a", 9), F.round("b", 9))
+            found.append(sorted(tuple(r) for r in got.collect()))
+        assert len(found[0]) == 360 and found[0] == found[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
