@@ -31,10 +31,11 @@ def labelled(spark, sf):
     )
 
 
-def _split(spark, sf):
-    """Weighted training rows with a validation flag, and the held-out tenth."""
-    rows = settle(holdout(T.with_class_weight(labelled(spark, sf)), ["id"], "label"))
-    return rows.where("NOT is_valid"), rows.where("is_valid"), rows
+def _split(spark, sf, balanced=False):
+    """Training rows, weighted by their own class sizes, and the held-out tenth."""
+    rows = settle(holdout(labelled(spark, sf), ["id"], "label"))
+    train, test = (rows.where(part).drop("is_valid") for part in ("NOT is_valid", "is_valid"))
+    return T.with_class_weight(train, balanced=balanced), test
 
 
 def _metrics(scored):
@@ -43,33 +44,34 @@ def _metrics(scored):
 
 @query("train_logreg")
 def train_logreg(spark, sf):
-    train, test, _ = _split(spark, sf)
+    train, test = _split(spark, sf)
     return _metrics(T.with_probability(T.logistic(FEATURES).fit(train), test))
 
 
 @query("train_rf")
 def train_rf(spark, sf):
-    rows = settle(holdout(T.with_class_weight(labelled(spark, sf), balanced=True), ["id"], "label"))
-    model = T.random_forest(FEATURES, numTrees=30).fit(rows.where("NOT is_valid"))
-    return _metrics(T.with_probability(model, rows.where("is_valid")))
+    train, test = _split(spark, sf, balanced=True)
+    return _metrics(T.with_probability(T.random_forest(FEATURES).fit(train), test))
 
 
 @query("train_gbt")
 def train_gbt(spark, sf):
-    _, test, rows = _split(spark, sf)
+    train, test = _split(spark, sf)
+    # Boosting stops by a tenth of the training rows, not by those it is judged on.
+    rows = settle(holdout(train, ["id"], "label", seed=43))
     model = T.boosted_trees(FEATURES, validation="is_valid", maxIter=30, stepSize=0.1).fit(rows)
     return _metrics(T.with_probability(model, test))
 
 
 @query("train_mlp")
 def train_mlp(spark, sf):
-    train, test, _ = _split(spark, sf)
+    train, test = _split(spark, sf)
     return _metrics(T.with_probability(T.neural_net(FEATURES, maxIter=30).fit(train), test))
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    train, test, _ = _split(spark, sf)
+    train, test = _split(spark, sf)
     estimators = {
         "logistic": T.logistic(FEATURES),
         "random_forest": T.random_forest(FEATURES, numTrees=20),
@@ -81,7 +83,7 @@ def compare_models(spark, sf):
 @query("tune_grid")
 def tune_grid(spark, sf):
     rows = settle(assign_folds(T.with_class_weight(labelled(spark, sf)), ["id"], 3, label="label"))
-    _, table_ = T.grid_search(T.logistic(FEATURES, maxIter=50), T.GRIDS["logistic"], rows, k=3)
+    _, table_ = T.grid_search(T.logistic(FEATURES, maxIter=50), T.logistic_grid(rows.count() * 2 // 3), rows, k=3)
     return table_.select("trial", F.to_json("parameters").alias("parameters"), "auc")
 
 
@@ -95,8 +97,9 @@ def tune_cost(spark, sf):
 
 @query("cv_submission")
 def cv_submission(spark, sf):
-    rows = T.with_class_weight(labelled(spark, sf)).withColumn("is_test", F.col("hour") >= 20)
-    found = T.cross_validate(T.logistic(FEATURES, maxIter=50), rows.where("NOT is_test"), FEATURES, ["id"], k=3, test=rows.where("is_test"))
+    test = F.col("hour") >= 20
+    train = T.with_class_weight(labelled(spark, sf).where(~test))
+    found = T.cross_validate(T.logistic(FEATURES, maxIter=50), train, FEATURES, ["id"], k=3, test=labelled(spark, sf).where(test))
     return found.test_scores
 
 
@@ -111,12 +114,12 @@ def feature_importances(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    train, _, rows = _split(spark, sf)
+    train, _ = _split(spark, sf)
     medians = fit_medians(train, FEATURES)
     model = T.logistic(FEATURES).fit(align(train, FEATURES, medians, keep=["label", "weight"]))
     path = scratch_path(spark, "model")
     T.save_bundle(spark, T.ModelBundle(model, FEATURES, medians, "events-logistic-1"), path)
-    return T.score_batch(rows, T.load_bundle(spark, path), keep=["id"])
+    return T.score_batch(labelled(spark, sf), T.load_bundle(spark, path), keep=["id"])
 
 
 @query("smote")

@@ -53,12 +53,12 @@ BOOST_DEPTH = 5
 BOOST_SAMPLE = 0.85
 HIDDEN_LAYERS = [100, 50]
 
-# Parameter grids, named by their MLlib parameters.
+# Parameter grids, named by their MLlib parameters; C is the inverse of the penalty on a sum of losses.
 GRIDS = {
     "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]},
     "boosted_trees": {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.3]},
     "boosted_trees_sampled": {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "subsamplingRate": [0.8, 0.9, 1.0]},
-    "logistic": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0]},
+    "logistic": {"C": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0]},
 }
 
 # Search ranges as low, high, kind.
@@ -240,6 +240,12 @@ def grid_search(estimator: Pipeline, grid: Mapping[str, Sequence], train: DataFr
     return search.bestModel, table.orderBy(F.desc("auc"), "trial")
 
 
+def logistic_grid(n_rows: int) -> dict[str, list[float]]:
+    """The logistic grid for a fit on ``n_rows`` rows. MLlib takes the mean of the losses, so C becomes 1 / (n C)."""
+    grid = dict(GRIDS["logistic"])
+    return {"regParam": [1.0 / (max(n_rows, 1) * c) for c in grid.pop("C")], **grid}
+
+
 def draw(space: Mapping[str, tuple], rng: random.Random) -> dict[str, float | int]:
     """One random point: uniform, uniform in the logarithm, or uniform whole numbers."""
     point: dict[str, float | int] = {}
