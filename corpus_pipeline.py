@@ -30,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest id. Rows without an id stay."""
+    """One row of each class stays, that with the smallest id. A row without an id stays if its class has no ids and no
+    smaller row; rows of one id are told apart by their texts."""
     prepare(spark)
     return simhash_dedup.keep_first(docs, simhash_dedup.near_duplicates(docs, SHINGLE, RADIUS))
 
@@ -43,10 +44,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Each row is judged by its own text, whatever its id."""
     prepare(spark)
-    leaks = write_out(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "pipeline-leaks")
-    return decontaminate.without_leaks(docs, leaks)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,6 +71,12 @@ def write_out(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id, text: str | None) -> bytes:
+    """128 bits that tell rows apart by id and text, so that repeated and missing ids do no harm; a null text is empty."""
+    own = "-" if doc_id is None else str(doc_id)
+    return xxhash.xxh3_128_digest(f"{-1 if doc_id is None else len(own)}:{own}:{text or ''}".encode("utf-8", "surrogatepass"))
+
+
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

@@ -25,6 +25,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -138,15 +139,24 @@ class Matcher:
         return [(self.groups[g].ids[i], *best) for (g, i), best in found.items()]
 
 
+def matchers(benchmark: DataFrame, item_id: str, item_text: str, threshold: float, radius: int, block_bytes: int) -> list[PerWorker]:
+    """A matcher for each block of the benchmark."""
+    items = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = max(1, math.ceil(2 * total / block_bytes))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    found = []
+    for part in range(parts):
+        own = [(r["id"], r["text"]) for r in items.where(block == part).collect()]
+        found.append(PerWorker(benchmark.sparkSession, own, lambda own: Matcher(own, threshold, radius)))
+    return found
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", threshold: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row for each document and item in it: doc_id, item_id, similarity, first_word, n_words."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(1, math.ceil(2 * total / block_bytes))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
     schema = T.StructType([
         T.StructField("doc_id", field_type(docs, doc_id)),
         T.StructField("item_id", field_type(benchmark, item_id)),
@@ -156,9 +166,7 @@ def find_leaks(
     ])
     chosen = docs.select(F.col(doc_id), F.col(text))
     found = []
-    for part in range(parts):
-        own = [(r["id"], r["text"]) for r in items.where(block == part).collect()]
-        shared = PerWorker(docs.sparkSession, own, lambda own: Matcher(own, threshold, radius))
+    for shared in matchers(benchmark, item_id, item_text, threshold, radius, block_bytes):
 
         def run(batch, shared=shared):
             matcher = shared.get()
@@ -169,7 +177,20 @@ def find_leaks(
     return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found; all columns stay."""
-    bad = leaks.select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__leak")), "left_anti")
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    threshold: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows in whose text no item is found; all columns stay. Each row is judged by its own text, so repeated and
+    missing ids do no harm, and nothing is shuffled."""
+    at = docs.columns.index(text)
+    for shared in matchers(benchmark, item_id, item_text, threshold, radius, block_bytes):
+
+        def run(batches, shared=shared):
+            matcher = shared.get()
+            for batch in batches:
+                clean = [not matcher.matches(x or "") for x in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -17,16 +17,17 @@ components is found, so the classes are exact.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint 0 and link like any other;
 a null doc_id is kept, and a class of null ids only has a null component_id; repeated rows stay
-rows of the same class; an empty table gives an empty table; further columns are ignored.
+rows of the same class, and one id may be in several classes; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyrisk.llm.common import field_type, map_arrow, spread_lookup, write_out
+from tallyrisk.llm.common import field_type, map_arrow, row_key, spread_lookup, write_out
 from tallyrisk.llm.components import components
 
 SEED = 42
@@ -55,12 +56,17 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp of each whole text; no shuffle."""
+    """doc_id, fp and key (of id and text) of each whole text; no shuffle."""
 
     def run(batch):
-        return {"doc_id": batch.column(0), "fp": [fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()]}
-
-    schema = T.StructType([T.StructField("doc_id", field_type(docs, doc_id)), T.StructField("fp", T.LongType())])
+        ids, texts = (batch.column(k).to_pylist() for k in range(2))
+        return {"doc_id": batch.column(0), "fp": [fingerprint(x or "", shingle) for x in texts], "key": list(map(row_key, ids, texts))}
+
+    schema = T.StructType([
+        T.StructField("doc_id", field_type(docs, doc_id)),
+        T.StructField("fp", T.LongType()),
+        T.StructField("key", T.BinaryType()),
+    ])
     return map_arrow(docs.select(F.col(doc_id), F.col(text)), run, schema)
 
 
@@ -161,32 +167,46 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the class) for each row."""
+    """doc_id, fp, component_id (the smallest doc_id of the class), key and first for each row. ``first`` marks the
+    row that stands for its class: the smallest id, rows without one last, and of these the smallest key."""
     prints = write_out(fingerprints(docs, shingle, doc_id, text), "simhash-prints")
-    distinct = write_out(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct"
-    )
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    distinct = write_out(prints.groupBy("fp").agg(head.alias("head"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
     if radius < 1:
-        classes = distinct.select("fp", "copies", F.col("first_id").alias("component_id"))
+        classes = distinct
     else:
         found = links(distinct.select("fp"), radius).withColumnRenamed("node", "fp")
         rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        tops = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-        classes = spread_lookup(rooted, tops, "root", "n", F.xxhash64("fp"), ROWS_PER_TASK).select("fp", "copies", "component_id")
-    mixer = F.xxhash64("doc_id", F.spark_partition_id())
-    return spread_lookup(prints, classes, "fp", "copies", mixer, ROWS_PER_TASK).select("doc_id", "fp", "component_id")
+        tops = rooted.groupBy("root").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n"))
+        classes = spread_lookup(rooted.drop("head"), tops, "root", "n", F.xxhash64("fp"), ROWS_PER_TASK)
+    classes = classes.select("fp", "copies", F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key"))
+    mixer = F.xxhash64("key", F.spark_partition_id())
+    found = spread_lookup(prints, classes, "fp", "copies", mixer, ROWS_PER_TASK)
+    return found.select("doc_id", "fp", "component_id", "key", (F.col("key") == F.col("head_key")).alias("first"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose id is the smallest of their class, one row each; all columns stay. Rows without an id
-    cannot be told apart and all stay."""
-    heads = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__head")).agg(F.count(F.lit(1)).alias("__rows"))
+def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of ``near_duplicates``, that marked as first; all columns stay. Rows are told apart by id
+    and text, so rows of one id in several classes are judged each, and a row without an id stays if it stands for its
+    class. Of rows that repeat both, any one stays: each task keeps one, so a shuffle meets at most one a task."""
+    heads = classes.where("first").groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
     heads = write_out(heads, "simhash-heads")
-    named = docs.join(heads, F.col(doc_id) == F.col("__head"), "left_semi")
+    ids, texts = docs.columns.index(doc_id), docs.columns.index(text)
+
+    def run(batches):
+        met = set()
+        for batch in batches:
+            keys = list(map(row_key, batch.column(ids).to_pylist(), batch.column(texts).to_pylist()))
+            fresh = [not (k in met or met.add(k)) for k in keys]
+            names = [*batch.schema.names, "__key"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names).filter(pa.array(fresh, pa.bool_()))
+
+    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())]))
+    kept = keyed.join(heads, "__key", "left_semi")
     if not heads.where("__rows > 1").isEmpty():
-        named = named.dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+        kept = kept.dropDuplicates(["__key"])
+    return kept.drop("__key")
