@@ -289,6 +289,29 @@ def test_syncmer_pairs(spark):
         assert 0 <= got[doc_id]["near_edited"] <= 1 and (edited != text or got[doc_id]["near_edited"] == 1)
 
 
+def test_syncmers_keep_all_anchors(spark):
+    """Fingerprints and likenesses against the anchors of the whole texts; a short passage that two long texts share is found."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    passage = make(300)
+    texts = [make(20_000) + passage + make(9_000), make(7_000) + passage + make(30_000), make(5_000), make(13), "ab", "", make(40), make(41)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmers.edited_fingerprints(df.repartition(3)).collect()}
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(list(enumerate(zip(texts, edited))), "doc_id long, t struct<a: string, b: string>")
+    found = frame.select("doc_id", syncmers.anchors(F.col("t.a")), syncmers.anchors(F.col("t.b"))).collect()
+    linked = lambda a: {(x[1], *((y[1], y[0] - x[0]) if y else ())) for x, y in zip(a, [*a[1:], None])}
+    split = lambda prints: [(x >> 32, x & syncmers.HASH) for x in prints]
+    for i, a, b in found:
+        assert a == [] or split(got[i]["fingerprint"]) == [tuple(x) for x in a]
+        assert b == [] or split(got[i]["edited_fingerprint"]) == [tuple(x) for x in b]
+    own = {i: linked(split(r["fingerprint"])) for i, r in got.items()}
+    for i, r in got.items():
+        for name, other in (("near_edited", linked(split(r["edited_fingerprint"]))), ("near_next", own[(i + 1) % len(texts)])):
+            assert r[name] == pytest.approx(len(own[i] & other) / len(own[i] | other) if own[i] | other else 1.0)
+    assert len(got[0]["fingerprint"]) > 5000 and got[0]["near_next"] > 0
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(1)
     make = lambda bad: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) + (" nasty" if bad else "")
