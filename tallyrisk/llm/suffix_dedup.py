@@ -95,8 +95,9 @@ class Anchors:
     def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor hash, context hash, place) of each anchor; none if the text is shorter than a string."""
         found = []
-        for at in range(0, max(1, len(data) - self.width + 1), STRETCH):
-            # The stretch has all strings that begin in it, and the context to the left.
+        # Anchors are placed up to the last K bytes, beyond the last start of a string.
+        for at in range(0, max(1, len(data) - K + 1), STRETCH):
+            # The stretch has all strings whose anchors are placed in it, and the context to both sides.
             left = max(0, at - (self.width - K))
             hashes, contexts, places = self._stretch(data[left : at + STRETCH + 2 * self.width])
             places = places + left

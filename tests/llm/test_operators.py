@@ -172,6 +172,20 @@ def test_suffix_dedup(spark, monkeypatch):
     assert got == brute_repeats(rows, 100)
 
 
+def test_suffix_stretches(monkeypatch):
+    """A text in stretches has the anchors and contexts of the text as a whole, whatever its length is to their multiples."""
+    width, rng = 100, np.random.default_rng(4)
+    found = suffix_dedup.Anchors(width)
+    for stretch in (256, 300):
+        for length in [m * stretch + d for m in (1, 2, 3) for d in range(-2, 203)]:
+            data = rng.integers(97, 123, length).astype(np.uint8)
+            monkeypatch.setattr(suffix_dedup, "STRETCH", 1 << 22)
+            whole = found.of(data)
+            monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+            parts = found.of(data)
+            assert all(np.array_equal(a, b) for a, b in zip(whole, parts)), (stretch, length)
+
+
 def test_cut_documents_keeps_columns(odd):
     got = suffix_dedup.cut_documents(odd, 100)
     assert got.columns == odd.columns and got.count() == len(ODD)
