@@ -30,8 +30,9 @@ START_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Set what is unset; a setting that the user chose stays as it is."""
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
