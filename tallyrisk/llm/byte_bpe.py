@@ -20,6 +20,7 @@ columns need nothing special.
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import regex
@@ -29,8 +30,8 @@ from tallyrisk.llm.common import PerWorker, field_type, map_arrow
 
 # Entries kept per Python worker. When the newer half of the pieces is full, it replaces the older half; the
 # tables of the machines are emptied when full and grow again. Results do not depend on these.
-CACHE_PIECES = 300_000
-CACHE_STATES = 400_000
+CACHE_PIECES = 150_000
+CACHE_STATES = 200_000
 # Bytes of a piece after which settled tokens are emitted.
 EMIT_BYTES = 4096
 _NEVER = 1 << 60
@@ -267,10 +268,11 @@ class StreamDecoder:
         for at in range(0, len(ids), 64):
             block = ids[at : at + 64]
             if not held:
-                texts = [whole(i) for i in block]
-                if None not in texts:
-                    out += texts
+                try:
+                    out.append("".join(map(whole, block)))
                     continue
+                except TypeError:  # a token that ends inside a character yields no whole text
+                    pass
             for i in block:
                 move = moves.get((held, i))
                 if move is None:
@@ -280,6 +282,10 @@ class StreamDecoder:
         return "".join(out) + ("\ufffd" if held else "")
 
 
+def _ids(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, dtype="<u4").tolist()
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (packed little-endian unsigned 32-bit integers) of each whole text. The rank
     file is read by the driver and broadcast; rows are not shuffled."""
@@ -306,7 +312,35 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def run(batch):
         decode = decoder.get().text
         packed = batch.column(names.index("ids")).to_pylist()
-        texts = [decode(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in packed]
+        texts = [decode(_ids(x or b"")) for x in packed]
         return {**{c: batch.column(k) for k, c in enumerate(names)}, "text": texts}
 
     return map_arrow(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens and the digests (lowercase hex of SHA-256) of the packed ids and of the bytes that decoding those ids
+    gives. Text is encoded, decoded and digested in one pass, so neither ids nor decoded text leave the task."""
+
+    def make(ranks):
+        return Encoder(ranks, pattern), StreamDecoder({i: t for t, i in ranks.items()})
+
+    both = PerWorker(docs.sparkSession, read_ranks(path), make)
+
+    def run(batch):
+        encoder, decoder = both.get()
+        counts, coded, decoded = [], [], []
+        for value in batch.column(1).to_pylist():
+            ids = encoder.packed(value or "")
+            counts.append(len(ids) // 4)
+            coded.append(hashlib.sha256(ids).hexdigest())
+            decoded.append(hashlib.sha256(decoder.text(_ids(ids)).encode("utf-8")).hexdigest())
+        return {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": decoded}
+
+    schema = T.StructType([
+        T.StructField("doc_id", field_type(docs, doc_id)),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()),
+    ])
+    return map_arrow(docs.select(F.col(doc_id), F.col(text)), run, schema)

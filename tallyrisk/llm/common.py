@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import sys
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -17,13 +17,15 @@ from tallyrisk.session import scratch_path, shared_dir, tune
 
 # Rows per Arrow batch: with texts of 100 KB a batch stays near 50 MB in a Python worker.
 BATCH_ROWS = 500
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators count on; the checkpoint folder is read from the session."""
     tune(spark)
     shared_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,23 +45,30 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Sequence]]
 
 
 class PerWorker:
-    """An object that each Python worker makes once from what the driver read, and keeps over tasks.
+    """An object that each Python worker makes once in a stage from what the driver read, and keeps over the tasks of
+    that stage. Equal sources and makers are one object, whoever asks; objects that the stage at hand has not asked for are
+    dropped, so a worker that outlives a stage does not hold what earlier ones made.
     The source is broadcast; it must have a bound that does not grow with the data."""
 
-    KEPT = 4
-
     def __init__(self, spark: SparkSession, source, make: Callable):
-        self.key = uuid.uuid4().hex
-        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps((source, make)))
+        packed = cloudpickle.dumps((source, make))
+        self.key = hashlib.sha256(packed).hexdigest()
+        self.packed = spark.sparkContext.broadcast(packed)
 
     def get(self):
         kept = sys.__dict__.setdefault("_tallyrisk_llm", {})
-        if self.key not in kept:
+        task = TaskContext.get()
+        stage = task.stageId() if task else -1
+        if self.key in kept:
+            made = kept[self.key][1]
+        else:
+            for key in [k for k, (last, _) in kept.items() if last != stage]:
+                del kept[key]
+            gc.collect()
             source, make = cloudpickle.loads(self.packed.value)
-            while len(kept) >= self.KEPT:
-                kept.pop(next(iter(kept)))
-            kept[self.key] = make(source)
-        return kept[self.key]
+            made = make(source)
+        kept[self.key] = (stage, made)
+        return made
 
 
 def write_out(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyrisk.llm import byte_bpe, decontaminate, licenses, sharding, simhash_dedup, suffix_dedup, syncmers, token_count, toxicity, warc
+from tallyrisk.llm import byte_bpe, decontaminate, embedding_dedup, licenses, phrases, search, sharding, simhash_dedup, suffix_dedup
+from tallyrisk.llm import syncmers, token_count, toxicity, warc
 from tallyrisk.llm.common import prepare, table
 
 QUERIES = {}
@@ -21,6 +22,9 @@ SIMHASH_SHINGLE = 4
 SIMHASH_RADIUS = 4
 REPEAT_BYTES = 100
 SHARDS = 16
+BEST_DOCUMENTS = 10
+PHRASE_LEAST, PHRASE_COVERED, PHRASE_TOP = 30, 80, 2000
+SAME_VECTOR = 0.98
 
 
 def query(fn):
@@ -63,14 +67,7 @@ def op3_sharding(spark, sf_dir):
 @query
 def op4_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path(BPE_FILE)
-    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_ids(encoded, path)
-    return decoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 @query
@@ -112,7 +109,8 @@ def op7_simhash_dedup(spark, sf_dir):
 
 @query
 def op8_syncmers(spark, sf_dir):
-    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: syncmers.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 @query
@@ -124,3 +122,111 @@ def op9_decontaminate(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), REPEAT_BYTES)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_search(spark, sf_dir):
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BEST_DOCUMENTS)
+
+
+# Terms end at ASCII characters that are no letters or digits; only A to Z are lowered.
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL["op11_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS terms FROM documents
+), held AS (
+    SELECT row_no, doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM held
+), norms AS (
+    SELECT row_no, doc_id, 25 + (75 * n * n_docs) // n_terms AS norm FROM held, totals
+), counts AS (
+    SELECT row_no, term, count(*)::BIGINT AS tf FROM (SELECT row_no, unnest(terms) AS term FROM held) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM counts, totals GROUP BY term
+), items AS (
+    SELECT item_no, item_id, unnest(terms) AS term
+    FROM (SELECT row_number() OVER () AS item_no, item_id, {_TERMS} AS terms FROM benchmark)
+), scores AS (
+    SELECT item_no, item_id, row_no, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * norm)))::BIGINT AS score
+    FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (row_no)
+    GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores)
+WHERE rank <= {BEST_DOCUMENTS}
+"""
+
+
+@query
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), PHRASE_LEAST, PHRASE_COVERED, PHRASE_TOP)
+
+
+_LONGER = [("w1 || ' ' || w2", 2), ("w2 || ' ' || w3", 3), ("w3 || ' ' || w4", 4), ("w1 || ' ' || w2 || ' ' || w3", 3), ("w2 || ' ' || w3 || ' ' || w4", 4)]
+SQL["op12_phrases"] = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_no, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS piece_no
+    FROM (SELECT lang, row_number() OVER () AS row_no, string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents)
+), words AS (
+    SELECT lang, row_no, piece_no, unnest(found) AS w1, generate_subscripts(found, 1) AS place
+    FROM (SELECT lang, row_no, piece_no, regexp_extract_all(piece, '[^\\x20\\x09]+') AS found FROM pieces)
+), starts AS (
+    SELECT lang, w1, lead(w1, 1) OVER own AS w2, lead(w1, 2) OVER own AS w3, lead(w1, 3) OVER own AS w4 FROM words
+    WINDOW own AS (PARTITION BY row_no, piece_no ORDER BY place)
+), grams AS (
+    SELECT lang, w1, NULL AS w2, NULL AS w3, NULL AS w4, 1 AS size, count(*) AS a FROM starts GROUP BY ALL
+    UNION ALL SELECT lang, w1, w2, NULL, NULL, 2, count(*) FROM starts WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, w1, w2, w3, NULL, 3, count(*) FROM starts WHERE w3 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, w1, w2, w3, w4, 4, count(*) FROM starts WHERE w4 IS NOT NULL GROUP BY ALL
+), frequent AS (
+    SELECT *, concat_ws(' ', w1, w2, w3, w4) AS phrase FROM grams WHERE a >= {PHRASE_LEAST}
+), sizes AS (
+    SELECT lang, count(*) AS n FROM words GROUP BY lang
+), inner_phrases AS (
+    {" UNION ALL ".join(f"SELECT lang, {text} AS phrase, a FROM frequent WHERE size > {2 if text.count('||') == 2 else 3} AND size >= {needs}" for text, needs in _LONGER)}
+), longest AS (
+    SELECT lang, phrase, max(a) AS longer_a FROM inner_phrases GROUP BY ALL
+), cuts AS (
+    SELECT lang, phrase, a, size, 1 AS k, w1 AS head, concat_ws(' ', w2, w3, w4) AS tail FROM frequent WHERE size >= 2
+    UNION ALL SELECT lang, phrase, a, size, 2, w1 || ' ' || w2, concat_ws(' ', w3, w4) FROM frequent WHERE size >= 3
+    UNION ALL SELECT lang, phrase, a, size, 3, w1 || ' ' || w2 || ' ' || w3, w4 FROM frequent WHERE size = 4
+), scored AS (
+    SELECT c.*, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+    FROM cuts c JOIN frequent l ON l.lang = c.lang AND l.phrase = c.head JOIN frequent r ON r.lang = c.lang AND r.phrase = c.tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, encode(s.phrase)) AS rank
+    FROM lowest s LEFT JOIN longest USING (lang, phrase)
+    WHERE longer_a IS NULL OR 100::HUGEINT * longer_a < {PHRASE_COVERED}::HUGEINT * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= {PHRASE_TOP}
+"""
+
+
+@query
+def op13_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), SAME_VECTOR)
+
+
+SQL["op13_embedding_dedup"] = f"""
+WITH RECURSIVE usable AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.row_no <> b.row_no AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= {SAME_VECTOR}
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+    SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""

@@ -43,7 +43,7 @@ GROUP = 2048
 CHUNK_BYTES = 1 << 18
 ROWS_PER_TASK = 100_000
 # Anchors that a task collapses at a time before they are shuffled.
-COLLAPSE = 1_000_000
+COLLAPSE = 250_000
 # Bytes that are anchored at a time, which bounds memory for very long texts.
 STRETCH = 1 << 22
 
