@@ -7,10 +7,9 @@ Equal chunks are counted once, with their frequency in the parse (the dictionary
 the distinct chunks, weighted by it. A phrase of up to OVERLAP + 1 words belongs to the chunk in which it starts before
 the window at the end, so those in an overlap count once.
 
-Phrases are counted length by length. A phrase is as frequent as its parts at most, so of length k only those are shuffled
-whose first and last k - 1 words may be frequent; that is looked up in a bit table of fixed size made
-of the frequent phrases of length k - 1, which may say yes wrongly but never no. Counts are exact: words are numbered
-inside a task, and between tasks phrases are keyed by their text.
+A phrase is as frequent as its parts at most. Hashes of words and pairs of words are counted first, and those that are
+frequent mark a bit table of fixed size, which may say yes wrongly but never no. Then phrases of all lengths are counted whose words,
+or pairs of words, are all marked. Inside a task phrases are told apart by two hashes of 64 bits, between tasks by their text.
 
 Defined cases: a null text has no words, a null language is ``und``; pieces end at . , ; : ! ? and line ends, words at
 blanks and tabs, A to Z become a to z; a chunk without a cut ends after LONGEST words (any cuts give the same
@@ -20,6 +19,7 @@ counts); repeated rows count each; languages without frequent phrases have no ro
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyrisk.llm.common import PerWorker, release, write_out
+from tallyrisk.llm.suffix_dedup import RangeHash
 
 MAX_WORDS = 4
 # Words that a chunk shares with the next one: all but one of the longest phrase.
@@ -34,11 +35,12 @@ OVERLAP = MAX_WORDS - 1
 # Mean number of words between cuts, and the longest chunk without one.
 SPACING = 24
 LONGEST = 4096
-# Distinct chunks that a task adds up before they are shuffled, and words that it counts at a time.
+# Distinct chunks that a task adds up before they are shuffled, and bytes of chunks that it counts at a time.
 HELD_CHUNKS = 100_000
-BLOCK_WORDS = 400_000
-# Bits of the table of frequent phrases: 8 MB, whatever their number.
+BLOCK_BYTES = 1 << 20
+# Bits of the table of frequent words and pairs: 8 MB, whatever their number.
 TABLE_BITS = 26
+TOP_SHARES = 64
 
 _BREAK = "."
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -116,10 +118,6 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     return write_out(parts.groupBy("lang", "chunk", "words").agg(F.sum("copies").alias("copies")), "phrase-dictionary")
 
 
-def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(f"{lang}\0{w}") for w in words], dtype=np.uint64)
-
-
 def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """One hash for each run of k words."""
     n = max(0, len(hashes) - k + 1)
@@ -129,89 +127,134 @@ def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+class Tokens:
+    """The words of some chunks in one array of bytes, with a hash of each word and its language, made without a loop."""
+
+    def __init__(self, langs: list[str], chunks: pa.StringArray, copies: np.ndarray, hashes: list[RangeHash]):
+        _, ends, data = chunks.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        self.data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        begins = np.zeros(len(self.data) + 1, dtype=bool)
+        begins[np.flatnonzero(self.data == 32) + 1] = True
+        begins[ends[:-1]] = True
+        self.starts = np.flatnonzero(begins[:-1])
+        places = np.searchsorted(self.starts, ends)  # the first word of each chunk
+        self.langs = langs
+        self.owner = np.repeat(np.arange(len(langs)), np.diff(places))
+        self.copies = copies[self.owner]
+        self.ends = np.append(self.starts[1:] - 1, len(self.data))
+        self.ends[places[1:] - 1] = ends[1:]
+        self.size = len(self.starts) - OVERLAP  # the last words of a chunk are owned by the next
+        self.owned = np.arange(self.size) < places[1:][self.owner[: self.size]] - OVERLAP
+        self.word = (self.ends - self.starts != 1) | (self.data[self.starts] != ord(_BREAK))
+        of_lang = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
+        spoken = np.array([of_lang[lang] for lang in langs], dtype=np.uint64)[self.owner]
+        self.lanes = [h.of(h.sums(self.data), self.starts, self.ends) ^ spoken for h in hashes]
+
+    def owned_phrases(self, k: int) -> np.ndarray:
+        """Which of the owned words begin a phrase of k words."""
+        usable = self.owned.copy()
+        for j in range(k):
+            usable &= self.word[j : j + self.size]
+        return usable
+
+    def phrase(self, start: int, k: int) -> str:
+        return self.data[self.starts[start] : self.ends[start + k - 1]].tobytes().decode("utf-8")
+
+
+def _token_blocks(batches) -> Iterator[Tokens]:
+    """Batches of (lang, chunk, copies) in blocks of about BLOCK_BYTES."""
+    hashes, held, size = [RangeHash(3), RangeHash(4)], [], 0
+
+    def joined() -> Tokens:
+        langs, chunks, copies = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        return Tokens(langs.to_pylist(), chunks.cast(pa.string()), copies.to_numpy(), hashes)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BLOCK_BYTES:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
 
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, where each distinct key begins in it, sum of its weights)."""
+    order = np.argsort(keys)
+    heads = keys[order]
+    heads = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return order, heads, np.add.reduceat(weights[order], heads) if len(heads) else heads
 
-def frequent_table(phrases: DataFrame, k: int) -> np.ndarray:
-    """Bits of the slots of (lang, phrase) rows of k words, as 64-bit numbers: at most 2^TABLE_BITS / 64 rows reach the driver."""
+
+def frequent_table(dictionary: DataFrame, least: int) -> np.ndarray:
+    """Bits of the slots of words and pairs of words that may occur ``least`` times: hashes are counted, so a slot can
+    be marked wrongly, but that of a frequent word or pair always is. At most 2^TABLE_BITS / 64 rows reach the driver."""
 
     def run(batches):
-        for batch in batches:
-            slots = [
-                int(_slots(_rolled(_word_hashes(lang, phrase.split(" ")), k))[0])
-                for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            ]
-            bits = np.uint64(1) << (np.array(slots, dtype=np.uint64) & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array([s >> 6 for s in slots], pa.int64()), pa.array(bits.view(np.int64))], names=["cell", "bits"])
-
-    cells = phrases.select("lang", "phrase").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+        for tokens in _token_blocks(batches):
+            keys, weights = [], []
+            for k in (1, 2):
+                starts = np.flatnonzero(tokens.owned_phrases(k))
+                keys.append(_rolled(tokens.lanes[0], k)[starts])
+                weights.append(tokens.copies[starts])
+            keys = np.concatenate(keys)
+            order, heads, totals = _summed(keys, np.concatenate(weights))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order[heads]].view(np.int64)), pa.array(totals)], names=["hash", "a"])
+
+    counts = dictionary.select("lang", "chunk", "copies").mapInArrow(run, "hash long, a long")
+    frequent = counts.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    slot = F.col("hash").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    cells = frequent.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
-    table[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    table[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return table
 
 
 def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slots = _slots(hashes)
+    slots = (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
     return (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def count_block(lang: str, chunks: list[str], copies: list[int], k: int, table: np.ndarray | None) -> tuple[list[str], np.ndarray]:
-    """Phrases of k words that start in the chunks before their last OVERLAP words, and their weighted counts."""
-    words = " ".join(chunks).split(" ")
-    lengths = np.array([c.count(" ") + 1 for c in chunks])
-    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = np.array(list(map(numbers.__getitem__, words)), dtype=np.int64)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    n = len(ids) - OVERLAP
-    usable = np.arange(n) < ends[:n] - OVERLAP
-    if _BREAK in numbers:
-        free = ids != numbers[_BREAK]
-        for j in range(k):
-            usable &= free[j : j + n]
-    if table is not None:
-        runs = _rolled(_word_hashes(lang, list(numbers))[ids], k - 1)
-        known = _marked(table, runs)
-        usable &= known[:n] & known[1 : n + 1]
-    starts = np.flatnonzero(usable)
-    key, size = ids[starts], len(numbers)
-    for j in range(1, k):
-        if size > (1 << 62) // len(numbers):
-            key = np.unique(key, return_inverse=True)[1]
-            size = int(key.max(initial=0)) + 1
-        key, size = key * len(numbers) + ids[starts + j], size * len(numbers)
-    _, first, place = np.unique(key, return_index=True, return_inverse=True)
-    totals = np.zeros(len(first), dtype=np.int64)
-    np.add.at(totals, place, np.repeat(np.array(copies, dtype=np.int64), lengths)[starts])
-    return [" ".join(words[s : s + k]) for s in starts[first].tolist()], totals
-
-
-def count_phrases(dictionary: DataFrame, k: int, table: np.ndarray | None, least: int) -> DataFrame:
-    """lang, phrase and a: the phrases of k words that occur ``least`` times or more, but for those that ``table`` rules out."""
+def count_block(tokens: Tokens, table: np.ndarray) -> Iterator[tuple[str, str, int]]:
+    """(lang, phrase, count) of the phrases owned by some chunks whose words, or pairs of words, are all marked."""
+    single, pair = (_marked(table, _rolled(tokens.lanes[0], k)) for k in (1, 2))
+    for k in range(1, MAX_WORDS + 1):
+        usable = tokens.owned_phrases(k)
+        if k == 1:
+            usable &= single[: tokens.size]
+        for j in range(k - 1):
+            usable &= pair[j : j + tokens.size]
+        starts = np.flatnonzero(usable)
+        first, second = (_rolled(lane, k)[starts] for lane in tokens.lanes)
+        # Two hashes of 64 bits tell phrases apart; where they disagree on it, each occurrence goes out by itself.
+        order, heads, totals = _summed(first, tokens.copies[starts])
+        lead = np.repeat(heads, np.diff(np.append(heads, len(order))))
+        if not np.array_equal(second[order], second[order[lead]]):
+            order, heads, totals = np.arange(len(starts)), np.arange(len(starts)), tokens.copies[starts]
+        for start, total in zip(starts[order[heads]].tolist(), totals.tolist()):
+            yield tokens.langs[tokens.owner[start]], tokens.phrase(start, k), total
+
+
+def count_phrases(dictionary: DataFrame, table: np.ndarray, least: int) -> DataFrame:
+    """lang, phrase, size (words) and a: the phrases of up to MAX_WORDS words that occur ``least`` times or more."""
     shared = PerWorker(dictionary.sparkSession, table, lambda t: t)
 
     def run(batches):
-        def out(held):
-            for lang, (chunks, copies) in held.items():
-                phrases, totals = count_block(lang, chunks, copies, k, shared.get())
-                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(totals)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
-
-        held, size = {}, 0
-        for batch in batches:
-            for lang, chunk, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                own = held.setdefault(lang, ([], []))
-                own[0].append(chunk)
-                own[1].append(copies)
-                size += chunk.count(" ")
-            if size >= BLOCK_WORDS:
-                yield from out(held)
-                held, size = {}, 0
-        yield from out(held)
+        for tokens in _token_blocks(batches):
+            columns = zip(*count_block(tokens, shared.get()))
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
+            if arrays:
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "a"])
 
     counts = dictionary.select("lang", "chunk", "copies").mapInArrow(run, "lang string, phrase string, a long")
     frequent = counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return write_out(frequent, f"phrase-counts-{k}")
+    return write_out(frequent.withColumn("size", F.size(F.split("phrase", " ", -1))), "phrase-counts")
 
 
 def _wide(column) -> F.Column:
@@ -258,16 +301,16 @@ def collocations(docs: DataFrame, least: int, covered_percent: int, top: int, la
     dictionary = parse(docs, lang, text)
     release(docs.sparkSession)
     sizes = dictionary.groupBy("lang").agg(F.sum(F.col("words") * F.col("copies")).alias("n"))
-    levels, table = [], None
-    for k in range(1, MAX_WORDS + 1):
-        levels.append(count_phrases(dictionary, k, table, least))
-        release(docs.sparkSession)
-        if k < MAX_WORDS:
-            table = frequent_table(levels[-1], k)
-    candidates = levels[1].unionByName(levels[2]).unionByName(levels[3])
-    parts = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    counts = count_phrases(dictionary, frequent_table(dictionary, least), least)
+    release(docs.sparkSession)
+    candidates = counts.where("size > 1").drop("size")
+    parts = counts.where(F.col("size") < MAX_WORDS).drop("size")
     covered = (F.col("longest_a").isNotNull()) & (_wide("longest_a") * 100 >= _wide("a") * covered_percent)
     open_ones = candidates.join(contained(candidates), ["lang", "phrase"], "left").where(~covered).select("lang", "phrase", "a")
-    line = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored(open_ones, parts).withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= top)
+    best = scored(open_ones, parts)
+    # The best of each share of a language first, so that the last task of a language has TOP_SHARES times ``top`` rows at most.
+    for shares in (TOP_SHARES, 1):
+        keys = ["lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))]
+        line = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = best.withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

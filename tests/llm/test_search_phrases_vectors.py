@@ -122,7 +122,7 @@ def test_phrases(spark, monkeypatch, spacing, longest, bits):
     """Short and cut chunks, and a table of frequent phrases that is full of wrong marks."""
     monkeypatch.setattr(phrases, "LONGEST", longest)
     monkeypatch.setattr(phrases, "TABLE_BITS", bits)
-    monkeypatch.setattr(phrases, "BLOCK_WORDS", 700)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(phrases.chunks_of, "__defaults__", (spacing,))
     rng, words, weights, texts = corpus(250, 8)
     passage = "the quick Brown fox\tjumps. over the lazy dog; again and again and again"
