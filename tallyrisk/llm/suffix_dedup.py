@@ -129,22 +129,36 @@ class Anchors:
         return grams[places], contexts ^ shape * np.uint64(0x9E3779B97F4A7C15), places
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, its inverse) by prefix doubling; the symbols contain a unique one within a context's length,
-    so few rounds are needed."""
+def _ranks(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank of each place, equal ones alike) of keys that leave ``bits`` bits for the place."""
+    if int(keys.max(initial=0)) >> (62 - bits) == 0:
+        packed = np.sort(keys << bits | np.arange(len(keys)))
+        order, keys = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
+    return order, rank
+
+
+def suffix_order(symbols: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes ordered by their first ``width`` symbols at least, by prefix doubling from four packed symbols of 9 bits."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while True:
-        key = rank * (n + 1)
-        key[:-reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or reach >= n:
-            return order, rank
+    bits = n.bit_length()
+    keys = symbols.astype(np.int64) + 1
+    for reach in (1, 2):
+        further = np.zeros(n, dtype=np.int64)
+        further[:-reach] = keys[reach:]
+        keys = keys << (10 * reach) | further
+    order, rank = _ranks(keys, bits)
+    reach = 4
+    while reach < width and rank[order[-1]] < n - 1:
+        keys = rank << bits
+        keys[:-reach] += rank[reach:] + 1
+        order, rank = _ranks(keys, bits)
         reach *= 2
+    return order
 
 
 def equal_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,20 +166,27 @@ def equal_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
 
     Backward extension: the entry q, preceded by its first symbol, comes from the entry of the suffix one
     further right. Two neighbours part at length l + 1 if their first symbols differ or the entries they
-    come from are in different classes of length l. Boundaries once found stay; the loop ends at the
-    width, or before if a length adds no boundary."""
-    order, rank = suffix_order(symbols)
+    come from are in different classes of length l. A boundary once found stays, so each length looks only at
+    neighbours that have not long parted; the loop ends at the width, or before if some lengths part none."""
+    order = suffix_order(symbols, width)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     first = symbols[order]
-    parted = np.concatenate(([True], first[1:] != first[:-1]))
-    source = rank[np.minimum(order + 1, len(symbols) - 1)]  # the last suffix is a unique symbol: parted anyway
-    bounds = parted.copy()
-    for _ in range(1, width):
-        classes = np.cumsum(bounds)[source]
-        longer = parted.copy()
-        longer[1:] |= classes[1:] != classes[:-1]
-        if np.array_equal(longer, bounds):
-            break
-        bounds = longer
+    bounds = np.concatenate(([True], first[1:] != first[:-1]))
+    source = place[np.minimum(order + 1, len(symbols) - 1)]  # a text's end is no part of a whole string
+    open_ = np.flatnonzero(~bounds)
+    left, right = source[open_ - 1], source[open_]
+    found = int(bounds.sum())
+    for length in range(1, width):
+        classes = np.cumsum(bounds, dtype=np.int32)
+        parted = classes[left] != classes[right]
+        bounds[open_[parted]] = True
+        if length % 8 == 1:  # those that parted are left out from time to time; looking at them again does no harm
+            now = int(bounds.sum())
+            if now == found:
+                break
+            found, together = now, ~parted
+            open_, left, right = open_[together], left[together], right[together]
     return order, np.cumsum(bounds) - 1
 
 
@@ -175,29 +196,40 @@ def repeats_in_chunk(contexts: list[bytes], ids: np.ndarray, places: np.ndarray,
     places: where each context begins in its document."""
     lengths = np.array([len(c) for c in contexts])
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))
-    symbols = np.empty(starts[-1], dtype=np.int64)
-    data = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8)
-    symbols[:] = data
-    symbols[starts[1:] - 1] = 256 + np.arange(len(contexts))
+    symbols = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8).astype(np.int16)
+    symbols[starts[1:] - 1] = 256
     order, classes = equal_classes(symbols, width)
-    owner = np.repeat(np.arange(len(contexts)), lengths + 1)[order]
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), lengths + 1)[order]
     offset = order - starts[owner]
     whole = offset + width <= lengths[owner]
+    if not shared.any():
+        # A string that stands alone in its class is neither repeated nor handed on.
+        whole &= np.bincount(classes[whole], minlength=len(order))[classes] > 1
     owner, offset, classes = owner[whole], offset[whole], classes[whole]
-    doc, place = ids[owner], places[owner] + offset
-    by = np.lexsort((place, doc, classes))
+    known, doc = np.unique(ids, return_inverse=True)
+    doc, place = doc[owner], places[owner] + offset
+    # Class, document and place in one number where they fit.
+    doc_bits, place_bits = len(known).bit_length(), int(place.max(initial=0)).bit_length()
+    if len(order).bit_length() + doc_bits + place_bits <= 63:
+        by = np.argsort((classes << doc_bits | doc) << place_bits | place)
+    else:
+        by = np.lexsort((place, doc, classes))
     owner, offset, classes, doc, place = owner[by], offset[by], classes[by], doc[by], place[by]
     head = np.concatenate(([True], classes[1:] != classes[:-1])) if len(classes) else np.zeros(0, bool)
     head_of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, int)
     later = (doc != doc[head_of]) | (place != place[head_of])
     d, p = doc[later], place[later]
-    by = np.lexsort((p, d))
-    d, p = d[by], p[by]
+    if doc_bits + place_bits <= 63:
+        packed = np.sort(d << place_bits | p)
+        d, p = packed >> place_bits, packed & ((1 << place_bits) - 1)
+    else:
+        by = np.lexsort((p, d))
+        d, p = d[by], p[by]
     if len(d):
         cut = np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)))
         run_start = np.flatnonzero(cut)
         run_last = np.concatenate((run_start[1:], [len(d)])) - 1
-        runs = (d[run_start], p[run_start], p[run_last] + width)
+        runs = (known[d[run_start]], p[run_start], p[run_last] + width)
     else:
         runs = (d, p, p)
     handed = []
@@ -206,7 +238,7 @@ def repeats_in_chunk(contexts: list[bytes], ids: np.ndarray, places: np.ndarray,
         np.logical_or.at(spread, head_of, shared[owner])
         for i in np.flatnonzero(head & spread):
             text = contexts[owner[i]][offset[i] : offset[i] + width]
-            handed.append((hashlib.blake2b(text, digest_size=16).digest(), int(doc[i]), int(place[i])))
+            handed.append((hashlib.blake2b(text, digest_size=16).digest(), int(known[doc[i]]), int(place[i])))
     return runs, handed
 
 
@@ -375,17 +407,26 @@ def remove_repeats(docs: DataFrame, width: int, doc_id: str = "doc_id", text: st
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([row.alias("row")] if carry else []))
     own = own.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     digest = F.sha2("text", 256)
-    clash = own.groupBy("doc").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
-    if not clash.isEmpty():
+    clash = own.groupBy("doc").agg(F.min(digest).alias("a"), F.max(digest).alias("b"), F.count(F.lit(1)).alias("n"))
+    texts_differ, rows_repeat = clash.agg(F.max(F.expr("a <> b")), F.max(F.expr("n > 1"))).first()
+    if texts_differ:
         # Ids with several texts: order numbers take the place of ids.
         order = ranked(own.select(F.col("doc").alias("id"), digest.alias("digest")).distinct(), ["id", "digest"])
         numbered = own.join(order, (F.col("doc") == F.col("id")) & (digest == F.col("digest")))
         own = write_out(numbered.withColumn("doc", F.col("position")).select(own.columns), "suffix-numbered")
     texts = own.select("doc", "text")
+    if rows_repeat:
+        # Rows that repeat an id and a text are one text: its ranges are found once and handed to each of them.
+        texts = write_out(texts.dropDuplicates(["doc"]), "suffix-texts")
     spans = repeated_spans(texts, width)
-    ranges = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     none = F.array().cast("array<long>")
-    flat = own.join(ranges, "doc", "left").select(
+    if rows_repeat:
+        ranges = own.groupBy("doc").agg(F.count(F.lit(1)).alias("__rows")).join(ranges, "doc", "left")
+        joined = spread_lookup(own, ranges, "doc", "__rows", F.monotonically_increasing_id(), ROWS_PER_TASK)
+    else:
+        joined = own.join(ranges, "doc", "left")
+    flat = joined.select(
         "doc_id",
         "text",
         F.coalesce(F.col("ranges.start"), none).alias("starts"),

@@ -172,6 +172,38 @@ def test_suffix_dedup(spark, monkeypatch):
     assert got == brute_repeats(rows, 100)
 
 
+def test_suffix_repeated_rows(spark, monkeypatch):
+    """Rows that repeat an id and a text are one text: many of them cost one row each, spread over tasks."""
+    monkeypatch.setattr(suffix_dedup, "ROWS_PER_TASK", 3000)
+    rng = random.Random(31)
+    text, other = ("".join(rng.choice("abcdef ") for _ in range(3000)) for _ in range(2))
+    few = spark.createDataFrame([(1, text), (2, text[:700] + other), (None, other[100:900]), (3, "x" + text)], "doc_id long, text string")
+    want = brute_repeats([(1, text), (2, text[:700] + other), (3, "x" + text), (9, other[100:900])], 100)
+    for copies in (1, 50_000):
+        rows = few.unionByName(spark.range(copies).select(F.lit(3).cast("long").alias("doc_id"), F.lit("x" + text).alias("text")))
+        got = suffix_dedup.remove_repeats(rows, 100).withColumn("part", F.spark_partition_id())
+        sums = got.groupBy("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"))
+        sums = {r["doc_id"] or 9: r for r in sums.collect()}
+        assert {d: (r["n_removed"], r["n_spans"]) for d, r in sums.items()} == {d: w[:2] for d, w in want.items()}
+        assert all(r["kept"] == hashlib.sha256(want[d][2]).hexdigest() for d, r in sums.items())
+        assert sums[3]["n"] == copies + 1 and (copies == 1 or sums[3]["parts"] > 1)
+
+
+def test_suffix_classes():
+    """Suffix order and classes against sorting, for widths within and beyond the texts."""
+    rng = np.random.default_rng(9)
+    for width in (2, 5, 7, 33):
+        for n in (1, 2, 40, 900):
+            symbols = rng.integers(97, 99, n).astype(np.int16)
+            symbols[rng.integers(0, n, n // 50)] = 256
+            symbols[-1] = 256
+            order, classes = suffix_dedup.equal_classes(symbols, width)
+            strings = {int(p): tuple(symbols[p : p + width].tolist()) for p in order}
+            whole = [(strings[int(p)], c) for p, c in zip(order, classes) if len(strings[int(p)]) == width and 256 not in strings[int(p)]]
+            assert sorted(order.tolist()) == list(range(n)) and [w for w, _ in whole] == sorted(w for w, _ in whole)
+            assert len(set(whole)) == len({w for w, _ in whole}) == len({c for _, c in whole})
+
+
 def test_suffix_stretches(monkeypatch):
     """A text in stretches has the anchors and contexts of the text as a whole, whatever its length is to their multiples."""
     width, rng = 100, np.random.default_rng(4)
