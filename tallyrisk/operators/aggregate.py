@@ -201,7 +201,12 @@ def with_group_stats(df: DataFrame, groups: Sequence[str], spec: Spec, prefix: s
     one task."""
     if not groups:
         return df
-    stats = settle(group_stats(df, groups, spec))  # read once per group below
+    return apply_group_stats(df, settle(group_stats(df, groups, spec)), groups, prefix)
+
+
+def apply_group_stats(df: DataFrame, stats: DataFrame, groups: Sequence[str], prefix: str = "GRP_") -> DataFrame:
+    """Look up statistics that were fitted before, on these or on other rows (a written table, it is read once per group);
+    a null or unknown group gets null."""
     small = stats.count() <= LOOKUP_ROWS
     names = [c for c in stats.columns if c not in ("group", "group_value")]
     for g in groups:
