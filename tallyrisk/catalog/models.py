@@ -10,6 +10,7 @@ from tallyrisk.catalog.standins import STANDINS, cte
 from tallyrisk.functions.json_body import feature_map, parsed
 from tallyrisk.operators.clean import align
 from tallyrisk.operators.evaluate import assign_folds, holdout
+from tallyrisk.operators.neighbours import nearest_neighbours
 from tallyrisk.operators.running import fit_medians
 from tallyrisk.plans import training as T
 from tallyrisk.session import scratch_path, settle
@@ -122,6 +123,23 @@ def score_batch(spark, sf):
     return T.score_batch(labelled(spark, sf), T.load_bundle(spark, path), keep=["id"])
 
 
+_FLAT = ["value", "CAST(hour(ts) AS DOUBLE)", "CAST(user_id % 13 AS DOUBLE)"]
+_GAP = " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(len(_FLAT)))
+
+
+@query(
+    "rare_neighbours",
+    f"""WITH rare AS (SELECT event_id AS id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(_FLAT))} FROM events WHERE {STANDINS["scored"][1]["y"]} = 1),
+    pairs AS (SELECT a.id, b.id AS other, {_GAP} AS gap FROM rare a JOIN rare b ON a.id <> b.id)
+    SELECT id, other, gap, CAST(nth AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, other) AS nth FROM pairs) WHERE nth <= 5""",
+    "gap",
+)
+def rare_neighbours(spark, sf):
+    """The five nearest rows of the rarer class for each of its rows, without missing any."""
+    rare = table(spark, sf, "events").where(F.expr(STANDINS["scored"][1]["y"]) == 1)
+    return nearest_neighbours(rare.select(F.col("event_id").alias("id"), F.array(*[F.expr(e) for e in _FLAT]).alias("z")), 5)
+
+
 @query("smote")
 def smote(spark, sf):
     return T.smote(labelled(spark, sf), FEATURES, "id")

@@ -19,7 +19,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyrisk.operators.clean import align
 from tallyrisk.operators.evaluate import (
@@ -35,6 +35,7 @@ from tallyrisk.operators.evaluate import (
     roc_auc,
     threshold_curve,
 )
+from tallyrisk.operators.neighbours import nearest_neighbours
 from tallyrisk.operators.running import ranked
 from tallyrisk.operators.score import RULE_MODEL_VERSION, decide, request_features, rule_score
 from tallyrisk.session import settle
@@ -295,44 +296,21 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_002.0)
 
 
-# Rows of a line that one window task sorts.
-LINE_BLOCK = 10_000
+def _neighbours(rare: DataFrame, features: Sequence[str], key: str, k: int) -> DataFrame:
+    """id, x and near: each row with its k nearest others (gap, other, ox), by the distance of standardised features; a
+    missing feature counts as the mean."""
+    row = rare.agg(*[a for i, c in enumerate(features) for a in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
+    unit = [F.coalesce((F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(features)]
+    points = settle(rare.select(F.col(key).alias("id"), F.array(*unit).alias("z"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")))
+    pairs = nearest_neighbours(points, k)
+    mates = pairs.join(points.select(F.col("id").alias("other"), F.col("x").alias("ox")), "other")
+    near = mates.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("gap", "other", "ox"))).alias("near"))  # k entries
+    return points.select("id", "x").join(near, "id")
 
 
-def _neighbours(rare: DataFrame, features: Sequence[str], key: str, k: int, lines: int, seed: int) -> DataFrame:
-    """Up to k near rows per row. Rows are sorted along several fixed directions; the k rows before
-    and after a row on each line are its candidates, and the nearest k of at most 2 * k * lines
-    candidates are kept. Work per row is constant, so equal or crowded rows cause no pair explosion.
-    A line is cut into blocks of equal length; the k rows at a border are also guests of the block
-    across it, so the candidates do not depend on how the rows are partitioned."""
-    length = max(LINE_BLOCK, k)
-    row = rare.agg(*[a for i, c in enumerate(features) for a in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
-    unit = [(F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(features)]
-    points = rare.select(F.col(key).alias("id"), F.array(*unit).alias("z"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    rng = random.Random(seed)
-    found = []
-    for _ in range(lines):
-        direction = [rng.gauss(0.0, 1.0) for _ in features]
-        spot = F.aggregate(F.zip_with("z", F.lit(direction), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        placed = ranked(points.withColumn("spot", spot), ["spot", "id"])
-        home, inside = F.floor(F.col("position") / length), F.col("position") % length
-        blocks = F.array_compact(F.array(home, F.when(inside < k, home - 1), F.when(inside >= length - k, home + 1)))
-        placed = placed.select("id", "z", "x", "position", home.alias("home"), F.explode(blocks).alias("block"))
-        line = Window.partitionBy("block").orderBy("position")
-        other = F.struct("id", "z", "x")
-        near = [F.lag(other, i).over(line) for i in range(1, k + 1)] + [F.lead(other, i).over(line) for i in range(1, k + 1)]
-        lined = placed.select("id", "z", "x", "home", "block", F.array(*near).alias("near")).where("home = block")
-        found.append(lined.select("id", "z", "x", F.explode(F.array_compact("near")).alias("o")))
-    gap = F.aggregate(F.zip_with("z", F.col("o.z"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = reduce(DataFrame.unionByName, found).select("id", "x", F.col("o.id").alias("other"), F.col("o.x").alias("ox"), gap.alias("gap"))
-    # The list per row holds at most 2 * k * lines entries by construction.
-    best = pairs.groupBy("id").agg(F.first("x").alias("x"), F.array_sort(F.collect_set(F.struct("gap", "other", "ox"))).alias("near"))
-    return best.select("id", "x", F.slice("near", 1, k).alias("near"))
-
-
-def smote(df: DataFrame, features: Sequence[str], key: str, label: str = LABEL, k: int = 5, lines: int = 4, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, features: Sequence[str], key: str, label: str = LABEL, k: int = 5, seed: int = 42) -> DataFrame:
     """Add synthetic rows of the rarer class until both classes have the same size. A synthetic row
-    lies at a random spot between a rare row and one of its near rare rows (Chawla et al. 2002)."""
+    lies at a random spot between a rare row and one of its k nearest rare rows (Chawla et al. 2002)."""
     neg, pos = class_sizes(df, label)
     minority = 1 if pos <= neg else 0
     few, many = min(neg, pos), max(neg, pos)
@@ -346,7 +324,7 @@ def smote(df: DataFrame, features: Sequence[str], key: str, label: str = LABEL,
     # Rows go by their number, so that repeated and missing keys neither multiply nor lose rows.
     numbered = ranked(rare, ["__mix", "__key", *features])
     copies = F.lit(each) + (F.col("id") < rest).cast("int")
-    seeds = _neighbours(numbered, features, "position", k, lines, seed).withColumn("copies", copies.cast("int")).where("copies > 0")
+    seeds = _neighbours(numbered, features, "position", k).withColumn("copies", copies.cast("int")).where("copies > 0")
     drawn = seeds.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed), F.lit("pick")), F.size("near")).cast("int")
     mate = F.get(F.col("near"), pick)["ox"]

@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyrisk.catalog.scoring import request_rows
 from tallyrisk.catalog.standins import log_table, plain_logs, standin
-from tallyrisk.operators import monitor as M, score as R
+from tallyrisk.operators import monitor as M, neighbours as N, score as R
 from tallyrisk.plans import monitoring_run as MR, training as T
 from tallyrisk.session import scratch_path
 from tallyrisk.sources import event_log as L, tables as S
@@ -262,18 +263,41 @@ def test_smote_with_equal_rows(spark):
 
 
 def test_smote_does_not_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr(T, "LINE_BLOCK", 7)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(N, "CELL_ROWS", 7)
+    keys = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "false")
     try:
         rows = spark.range(400).select(
             F.when(F.col("id") > 30, F.col("id") % 50).alias("id"), (F.col("id") % 20 == 0).cast("int").alias("label"), F.rand(1).alias("a"), F.rand(2).alias("b")
         )
         found = []
         for parts in (3, 64):
-            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set(keys[1], str(parts))
             got = T.smote(rows, ["a", "b"], "id").where("synthetic").select(F.round("a", 9), F.round("b", 9))
             found.append(sorted(tuple(r) for r in got.collect()))
         assert len(found[0]) == 360 and found[0] == found[1]
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_smote_mixes_with_the_nearest(spark):
+    """Every synthetic row lies between a rare row and one of its five nearest rare rows; missing features stay missing."""
+    rng = np.random.default_rng(7)
+    z = np.concatenate((rng.normal(size=(40, 3)), rng.normal(size=(300, 3)) + 5))
+    rows = [(i, int(i < 40), *map(float, v)) for i, v in enumerate(z)]
+    got = T.smote(spark.createDataFrame(rows, "id INT, label INT, a DOUBLE, b DOUBLE, c DOUBLE"), ["a", "b", "c"], "id").where("synthetic").select("a", "b", "c").toPandas().to_numpy()
+    rare = z[:40]
+    unit = (rare - rare.mean(axis=0)) / rare.std(axis=0)
+    gap = ((unit[:, None] - unit[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(gap, np.inf)
+    ends = [(rare[i], rare[j]) for i in range(40) for j in np.argsort(gap[i])[:5]]
+
+    def between(v):
+        return any(abs(np.linalg.norm(v - p) + np.linalg.norm(q - v) - np.linalg.norm(q - p)) < 1e-9 for p, q in ends)
+
+    assert len(got) == 260 and all(between(v) for v in got)
+    holes = spark.createDataFrame([(i, int(i < 5), None, float(i)) for i in range(20)], "id INT, label INT, a DOUBLE, b DOUBLE")
+    made = T.smote(holes, ["a", "b"], "id").where("synthetic")
+    assert made.count() == 10 and made.where("a IS NOT NULL OR b NOT BETWEEN 0 AND 4").isEmpty()
