@@ -12,7 +12,7 @@ from tallyrisk.operators.clean import align
 from tallyrisk.operators.evaluate import assign_folds, holdout
 from tallyrisk.operators.neighbours import nearest_neighbours
 from tallyrisk.operators.running import fit_medians
-from tallyrisk.plans import training as T
+from tallyrisk.plans import leafwise as G, training as T
 from tallyrisk.session import scratch_path, settle
 
 FEATURES = ["value", "k", "hour", "weekday", "user"]
@@ -64,6 +64,15 @@ def train_gbt(spark, sf):
     return _metrics(T.with_probability(model, test))
 
 
+@query("train_leafwise")
+def train_leafwise(spark, sf):
+    """Leaf-wise trees with the settings of the boosted model; a tenth of the training rows decides when to stop."""
+    train, test = _split(spark, sf)
+    rows = settle(holdout(train, ["id"], "label", seed=43))
+    model = G.fit_leafwise(rows, FEATURES, weight=T.WEIGHT, validation="is_valid", settings=G.Settings(rounds=T.BOOST_ROUNDS, patience=20))
+    return _metrics(model.transform(test, "score"))
+
+
 @query("train_mlp")
 def train_mlp(spark, sf):
     train, test = _split(spark, sf)
