@@ -189,29 +189,27 @@ class Growth:
             self._judge(node, sums)
         self._look_ahead()
 
-    def _chosen(self) -> tuple[list[int], bool]:
-        """Nodes split best first as far as is known, and whether the tree is complete."""
-        heap, split = [(-self.best[0][0], 0)] if self.best[0] else [], []
+    def _chosen(self) -> tuple[set[int], list[int]]:
+        """Nodes split best first, and those among them whose children are not known yet. With none of the latter the tree
+        is complete; else the nodes that come after the first of them are split only to look ahead."""
+        heap, split, open_ = [(-self.best[0][0], 0)] if self.best[0] else [], set(), []
         while heap and len(split) + 1 < self.settings.leaves:
             _, node = heapq.heappop(heap)
+            split.add(node)
             if node not in self.known:
-                self.open = [node, *(n for _, n in heap)]
-                return split, False
-            split.append(node)
+                open_.append(node)
+                continue
             for child in (self.tree.left[node], self.tree.right[node]):
                 if self.best[child]:
                     heapq.heappush(heap, (-self.best[child][0], child))
-        return split, True
+        return split, open_
 
     def _look_ahead(self) -> None:
-        split, complete = self._chosen()
+        split, open_ = self._chosen()
         self.wanted = []
-        if complete:
-            self._finish(set(split))
-            return
-        room = self.settings.leaves - 1 - len(split)
-        ready = sorted((n for n in self.open if n not in self.known), key=lambda n: (-self.best[n][0], n))
-        for node in ready[:room]:
+        if not open_:
+            self._finish(split)
+        for node in open_:
             _, feature, cut, missing_left, n_left = self.best[node]
             left, right = self.tree.add(), self.tree.add()
             self.depth[left] = self.depth[right] = self.depth[node] + 1
