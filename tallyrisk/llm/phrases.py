@@ -130,7 +130,7 @@ def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
 class Tokens:
     """The words of some chunks in one array of bytes, with a hash of each word and its language, made without a loop."""
 
-    def __init__(self, langs: list[str], chunks: pa.StringArray, copies: np.ndarray, hashes: list[RangeHash]):
+    def __init__(self, langs: pa.StringArray, chunks: pa.StringArray, copies: np.ndarray, hashes: list[RangeHash]):
         _, ends, data = chunks.buffers()
         ends = np.frombuffer(ends, dtype=np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]
@@ -148,8 +148,9 @@ class Tokens:
         self.size = len(self.starts) - OVERLAP  # the last words of a chunk are owned by the next
         self.owned = np.arange(self.size) < places[1:][self.owner[: self.size]] - OVERLAP
         self.word = (self.ends - self.starts != 1) | (self.data[self.starts] != ord(_BREAK))
-        of_lang = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
-        spoken = np.array([of_lang[lang] for lang in langs], dtype=np.uint64)[self.owner]
+        coded = langs.dictionary_encode()
+        of_lang = np.array([xxhash.xxh3_64_intdigest(lang) for lang in coded.dictionary.to_pylist()], dtype=np.uint64)
+        spoken = of_lang[coded.indices.to_numpy()][self.owner]
         self.lanes = [h.of(h.sums(self.data), self.starts, self.ends) ^ spoken for h in hashes]
 
     def owned_phrases(self, k: int) -> np.ndarray:
@@ -159,8 +160,16 @@ class Tokens:
             usable &= self.word[j : j + self.size]
         return usable
 
-    def phrase(self, start: int, k: int) -> str:
-        return self.data[self.starts[start] : self.ends[start + k - 1]].tobytes().decode("utf-8")
+    def phrases(self, starts: np.ndarray, k: int) -> pa.StringArray:
+        """The texts of the phrases of k words: words of a chunk are parted by one blank, so each is one range of bytes."""
+        begins = self.starts[starts]
+        lengths = self.ends[starts + k - 1] - begins
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        data = self.data[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)]
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+    def langs_of(self, starts: np.ndarray) -> pa.StringArray:
+        return self.langs.take(pa.array(self.owner[starts]))
 
 
 def _token_blocks(batches) -> Iterator[Tokens]:
@@ -169,7 +178,7 @@ def _token_blocks(batches) -> Iterator[Tokens]:
 
     def joined() -> Tokens:
         langs, chunks, copies = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
-        return Tokens(langs.to_pylist(), chunks.cast(pa.string()), copies.to_numpy(), hashes)
+        return Tokens(langs.cast(pa.string()), chunks.cast(pa.string()), copies.to_numpy(), hashes)
 
     for batch in batches:
         if not batch.num_rows:
@@ -221,8 +230,8 @@ def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def count_block(tokens: Tokens, table: np.ndarray) -> Iterator[tuple[str, str, int]]:
-    """(lang, phrase, count) of the phrases owned by some chunks whose words, or pairs of words, are all marked."""
+def count_block(tokens: Tokens, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, phrase and count of the phrases owned by some chunks whose words, or pairs of words, are all marked."""
     single, pair = (_marked(table, _rolled(tokens.lanes[0], k)) for k in (1, 2))
     for k in range(1, MAX_WORDS + 1):
         usable = tokens.owned_phrases(k)
@@ -237,8 +246,8 @@ def count_block(tokens: Tokens, table: np.ndarray) -> Iterator[tuple[str, str, i
         lead = np.repeat(heads, np.diff(np.append(heads, len(order))))
         if not np.array_equal(second[order], second[order[lead]]):
             order, heads, totals = np.arange(len(starts)), np.arange(len(starts)), tokens.copies[starts]
-        for start, total in zip(starts[order[heads]].tolist(), totals.tolist()):
-            yield tokens.langs[tokens.owner[start]], tokens.phrase(start, k), total
+        starts = starts[order[heads]]
+        yield pa.RecordBatch.from_arrays([tokens.langs_of(starts), tokens.phrases(starts, k), pa.array(totals)], names=["lang", "phrase", "a"])
 
 
 def count_phrases(dictionary: DataFrame, table: np.ndarray, least: int) -> DataFrame:
@@ -247,10 +256,7 @@ def count_phrases(dictionary: DataFrame, table: np.ndarray, least: int) -> DataF
 
     def run(batches):
         for tokens in _token_blocks(batches):
-            columns = zip(*count_block(tokens, shared.get()))
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
-            if arrays:
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "a"])
+            yield from count_block(tokens, shared.get())
 
     counts = dictionary.select("lang", "chunk", "copies").mapInArrow(run, "lang string, phrase string, a long")
     frequent = counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
