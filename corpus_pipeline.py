@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import partial
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyrisk.llm import byte_bpe, decontaminate, simhash_dedup, suffix_dedup, toxicity
 from tallyrisk.llm.common import prepare, table, write_out
@@ -50,16 +50,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether decoding them gives the text again."""
+    """Number of tokens, and digests of the token ids and of the bytes that decoding them gives; a null text is empty."""
     prepare(spark)
-    path = public_tokenizers.path(BPE_FILE)
-    decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, path, public_tokenizers.PATTERN), path)
-    return decoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.round_trip(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
 STAGES = [
