@@ -30,7 +30,7 @@ from tallyrisk.llm.common import PerWorker, field_type, map_arrow
 
 # Entries kept per Python worker. When the newer half of the pieces is full, it replaces the older half; the
 # tables of the machines are emptied when full and grow again. Results do not depend on these.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 600_000
 CACHE_STATES = 200_000
 # Bytes of a piece after which settled tokens are emitted.
 EMIT_BYTES = 4096
@@ -188,28 +188,36 @@ class Transducer:
         return out + self._path(closed, len(closed) - 1)
 
 
+class _Pieces(dict):
+    """Packed ids of pieces, made when first asked for; long pieces are not kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.encode(piece.encode("utf-8")), dtype="<u4").tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Splits texts into pieces and encodes each; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache = _Pieces(self.transducer.encode)
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) >= CACHE_PIECES // 2:
-            self.older, self.cache = self.cache, {}
-        cache, out = self.cache, []
-        for piece in self.pieces.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.older.get(piece) or np.array(self.transducer.encode(piece.encode("utf-8")), dtype="<u4").tobytes()
-                if len(piece) <= 64:
-                    cache[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.cache.__getitem__, self.pieces.findall(text)))
 
 
 # UTF-8 by lead byte: how many bytes follow, and the range of the first of them (the others: 80 to BF).
