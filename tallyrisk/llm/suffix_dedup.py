@@ -40,7 +40,7 @@ from tallyrisk.operators.running import ranked
 K = 32
 # Contexts of one anchor in one chunk, and bytes of a chunk.
 GROUP = 2048
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 14
 ROWS_PER_TASK = 100_000
 # Anchors that a task collapses at a time before they are shuffled.
 COLLAPSE = 250_000
@@ -169,8 +169,8 @@ def equal_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     come from are in different classes of length l. A boundary once found stays, so each length looks only at
     neighbours that have not long parted; the loop ends at the width, or before if some lengths part none."""
     order = suffix_order(symbols, width)
-    place = np.empty(len(order), dtype=np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
     first = symbols[order]
     bounds = np.concatenate(([True], first[1:] != first[:-1]))
     source = place[np.minimum(order + 1, len(symbols) - 1)]  # a text's end is no part of a whole string
@@ -179,7 +179,7 @@ def equal_classes(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     found = int(bounds.sum())
     for length in range(1, width):
         classes = np.cumsum(bounds, dtype=np.int32)
-        parted = classes[left] != classes[right]
+        parted = classes.take(left) != classes.take(right)
         bounds[open_[parted]] = True
         if length % 8 == 1:  # those that parted are left out from time to time; looking at them again does no harm
             now = int(bounds.sum())
