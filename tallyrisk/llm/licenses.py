@@ -40,18 +40,18 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 
-# Identifiers by how they begin, longer beginnings first; the label and whether its terms are permissive.
+# Identifiers, whole or as the beginning before a hyphen; the label and whether its terms are permissive.
 FAMILIES = [
-    ("apache-", "apache", True),
-    ("agpl-", "agpl", False),
-    ("lgpl-", "lgpl", False),
-    ("gpl-", "gpl", False),
-    ("bsd-", "bsd", True),
-    ("mpl-", "mpl", False),
-    ("epl-", "epl", False),
-    ("bsl-", "bsl", True),
-    ("cc0-", "cc0", True),
-    ("cc-by-", "cc-by", True),
+    ("apache", "apache", True),
+    ("agpl", "agpl", False),
+    ("lgpl", "lgpl", False),
+    ("gpl", "gpl", False),
+    ("bsd", "bsd", True),
+    ("mpl", "mpl", False),
+    ("epl", "epl", False),
+    ("bsl", "bsl", True),
+    ("cc0", "cc0", True),
+    ("cc-by", "cc-by", True),
     ("mit", "mit", True),
     ("isc", "isc", True),
     ("unlicense", "unlicense", True),
@@ -65,7 +65,7 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def family(identifier: str) -> tuple[str, bool]:
     low = identifier.lower()
     for start, label, free in FAMILIES:
-        if low.startswith(start):
+        if low == start or low.startswith(f"{start}-"):
             return label, free
     return low, False
 
