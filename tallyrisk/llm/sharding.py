@@ -10,8 +10,8 @@ inside give one that is not; between the two, the k-th cut can only move inside
 with the capacity. The next round lays the grid over these windows alone, until all ends in them are known. So
 a few narrow aggregations give the exact result, whatever the number of groups.
 
-Rows are ordered by (digest, id) with a range partitioning, so a group that holds a third of all rows is spread over
-tasks. Defined cases: a null text has the size 1 of an empty one and is in its group; rows that repeat
+Rows are ordered by (digest, id, place in the input) with a range partitioning, so a group that holds a third of all rows
+is spread over tasks, also if its rows have no id or one id. Defined cases: a null text has the size 1 of an empty one and is in its group; rows that repeat
 id and text get slots of their own; a null id comes first in its group; fewer groups than shards leave shards
 empty; an empty table gives an empty table; further columns are ignored.
 """
@@ -27,7 +27,7 @@ from tallyrisk.llm.common import write_out
 GRID = 4096
 
 
-def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows with running totals of bytes and rows over the whole order, and whether a group ends with the row."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -35,8 +35,9 @@ def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    placed = write_out(rows.repartitionByRange("digest", "doc_id").withColumn("chunk", F.spark_partition_id()), "shard-rows")
+    placed = write_out(rows.repartitionByRange("digest", "doc_id", "place").withColumn("chunk", F.spark_partition_id()), "shard-rows")
     # One row per task that wrote: what lies before it, and the digest that follows it.
     chunks = placed.groupBy("chunk").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("digest").alias("first")
@@ -49,7 +50,7 @@ def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
         F.lead("first").over(order).alias("follows"),
     )
-    inside = Window.partitionBy("chunk").orderBy("digest", "doc_id")
+    inside = Window.partitionBy("chunk").orderBy("digest", "doc_id", "place")
     total = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.select(
         "doc_id",
@@ -66,6 +67,7 @@ def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         "doc_id",
         "size",
         "text_crc32",
+        "chunk",
         (F.col("bytes") + F.col("bytes_before")).alias("end_bytes"),
         (F.col("rows") + F.col("rows_before")).alias("end_rows"),
         (following.isNull() | (following != F.col("digest"))).alias("group_end"),
@@ -145,7 +147,7 @@ def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def assign_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... in each shard) of each row."""
-    rows = write_out(_in_order(docs, doc_id, text), "shard-order")
+    rows = write_out(in_order(docs, doc_id, text), "shard-order")
     ends = rows.where("group_end").select("end_bytes", "end_rows")
     cuts = sorted(set(find_cuts(ends, shards)))
     at_cuts = {r["end_bytes"]: r["end_rows"] for r in ends.where(F.col("end_bytes").isin(cuts)).collect()} if cuts else {}
