@@ -90,7 +90,7 @@ WITH payloads AS (
     SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM payloads
 )
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM firsts
 """

@@ -104,7 +104,7 @@ def parse(data: bytes) -> tuple:
     return number("WARC-Record-ID"), fields["WARC-Target-URI"], kind, number("WARC-Refers-To"), size, digest, payload
 
 
-def _with_originals(pages: DataFrame, page_id: str, url: str, html: str, least: int) -> DataFrame:
+def with_originals(pages: DataFrame, page_id: str, url: str, html: str, least: int) -> DataFrame:
     """page_id, url, html and refers_to (null for responses)."""
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body).alias("sha1"))
@@ -113,10 +113,11 @@ def _with_originals(pages: DataFrame, page_id: str, url: str, html: str, least:
     groups = write_out(groups.where("copies > 1"), "warc-groups")
     later = spread_lookup(narrow, groups, "sha1", "copies", F.xxhash64("page_id"), ROWS_PER_TASK).where("page_id <> first_id")
     originals = later.select("page_id", "sha1", F.col("first_id").alias("refers_to")).distinct()
-    # Keyed by the id alone, as the archives are, so that the payloads are shuffled once.
-    originals = originals.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha1", "refers_to"))).alias("originals"))
-    joined = rows.repartition("page_id").join(originals, "page_id", "left")
-    return joined.select("page_id", "url", "html", F.try_element_at("originals", "sha1").alias("refers_to"))
+    # Dealt out by id and payload, pages without id each for itself: a hot id is spread, the payloads are shuffled once.
+    alone = F.xxhash64("url", "sha1", F.monotonically_increasing_id())
+    dealt = rows.withColumns({"deal": F.coalesce("page_id", alone), "no_id": F.col("page_id").isNull()}).repartition("deal", "no_id", "sha1")
+    keyed = originals.select(F.col("page_id").alias("deal"), F.lit(False).alias("no_id"), "sha1", "refers_to")
+    return dealt.join(keyed, ["deal", "no_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(
@@ -125,7 +126,7 @@ def write_archives(
     """Write the pages; returns the index. ``least``: payload bytes from which equal payloads become revisits."""
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    ready = _with_originals(pages, page_id, url, html, least).sortWithinPartitions("page_id", F.sha1("html"))
+    ready = with_originals(pages, page_id, url, html, least).sortWithinPartitions("page_id", F.sha1("html"))
     fields = to_arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,9 @@ def ranges(rows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows. Payload digests are checked."""
     chosen = index.select("path", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    dealt = chosen.repartition("path", "stretch").sortWithinPartitions("path", "offset")
+    # As many tasks as the bytes to read need, not as the small index would.
+    tasks = -(-(chosen.agg(F.sum("length")).first()[0] or 0) // READ)
+    dealt = chosen.repartition(max(1, tasks), "path", "stretch").sortWithinPartitions("path", "offset")
     fields = to_arrow_schema(RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
