@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyrisk.llm import byte_bpe, common, components, decontaminate, licenses, sharding, simhash_dedup, suffix_dedup
@@ -90,6 +92,25 @@ def test_licenses(odd):
     assert licenses.to_postfix("MIT OR") is None and licenses.to_postfix("(MIT") is None
     places = licenses.scan("mit license, MIT-License; the mit mit license", licenses.build_automaton())
     assert (places["n_base"], places["first_word"], places["last_word"]) == (3, 0, 6)
+    names = {"MITRE-x": "mitre-x", "ISCX": "iscx", "MIT-0": "mit", "mit": "mit", "Unlicensed": "unlicensed", "GPL-2.0-only": "gpl", "GPLv2": "gplv2", "CC-BY-SA-4.0": "cc-by"}
+    assert {n: licenses.family(n)[0] for n in names} == names
+
+
+def test_license_places_by_brute_force(spark):
+    """Random texts of the phrases' words, near misses and separators, against a walk over all places."""
+    rng = random.Random(21)
+    parts = ["mit", "MIT", "license", "License", "apache", "general", "public", "GENERAL", "é", "mité", "licenses", "x1", "lesser"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "  ", "-", ".\n", "", ", "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["mit license " * 5000, ""]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, text in enumerate(texts):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+        places = [(k, label) for k in range(len(words)) for phrase, label in licenses.BASE_PHRASES.items() if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in places]
+        assert (got[i]["n_words"], got[i]["n_base"]) == (len(words), len(places))
+        assert (got[i]["first_word"], got[i]["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
+        assert got[i]["base_labels"] == ",".join(sorted({x for _, x in places}))
 
 
 def brute_classes(prints, radius):
@@ -368,3 +389,42 @@ def test_toxicity_learns(spark):
     one = toxicity.fit(docs.withColumn("label", F.lit(0)))
     assert 0 < one.score(np.zeros(0, np.int32)) < 0.1
     assert toxicity.fit(docs.limit(0).withColumn("label", F.lit(0))).bias == 0.0
+
+
+def test_closed_syncmers_by_brute_force(spark):
+    """Which k-mers are chosen, in plain Python: the least s-mer hash of each stands at one of its ends."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcé日😀 ") for _ in range(n)) for n in (0, 4, 11, 12, 13, 60, 700)] + ["a" * 40]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", syncmers.anchors(F.col("t")).alias("a")).collect()
+    for text, found in got:
+        hashes = [xxhash.xxh64_intdigest(text[i : i + syncmers.S].encode("utf-32-be"), 42) for i in range(len(text) - syncmers.S + 1)]
+        signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+        windows = [signed[i : i + syncmers.SPAN] for i in range(len(text) - syncmers.K + 1)]
+        assert [x["place"] for x in found] == [i for i, w in enumerate(windows) if min(w) in (w[0], w[-1])]
+
+
+def test_rows_without_an_id_are_dealt_out(spark, monkeypatch):
+    """Half of the rows have no id, a third of these one text: no task of op3, op5 and op8 gets them all, and no row is lost."""
+    monkeypatch.setattr(syncmers, "BLOCK_BYTES", 2000)
+    rows = [(None if i % 2 else i, "one text" if i % 3 == 0 else f"text number {i}", i) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(6)
+    largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    chunks = common.write_out(sharding.in_order(docs, "doc_id", "text"), "chunks").groupBy("chunk").count().collect()
+    assert sum(r["count"] for r in chunks) == 1200 and max(r["count"] for r in chunks) < 500
+    assert sharding.assign_shards(docs, 5).count() == 1200
+    pairs = syncmers.edited_pairs(docs)
+    assert pairs.count() == 1200 and largest(pairs) < 200
+    assert pairs.where("next is null").count() == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    dealt = warc.with_originals(pages, "page_id", "url", "html", 0)
+    assert dealt.count() == 1200 and largest(dealt) < 500
+    assert dealt.where("page_id is null and refers_to is not null").count() == 0
+
+
+def test_archives_are_read_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 2000)
+    monkeypatch.setattr(warc, "STRETCH", 2000)
+    rows = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 4) for i in range(300)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    read = warc.read_records(index)
+    assert read.select(F.spark_partition_id()).distinct().count() > 4 and read.count() == 300
