@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyrisk.catalog.base import query, table
 from tallyrisk.operators import drift as D
+from tallyrisk.plans.monitoring_run import reference_counts
+from tallyrisk.session import scratch_path
+from tallyrisk.sources.tables import ensure_reference
 
 # Long form (side, feature, value); tax is null for a part of the lines, one feature is constant on
 # one side and one exists on one side only.
@@ -72,3 +75,30 @@ def drift_wasserstein(spark, sf):
 )
 def drift_summary(spark, sf):
     return D.drift_verdict(D.drift_tests(_counts(spark, sf)))
+
+
+# A reference kept as pairs of CSV strings, with blank tax cells (the model's median is 0.04) and a text column that is no
+# feature; the logs are the later lines, in which the blank cells are absent and take the median of the reference.
+_REFERENCE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+_REFERENCE_CELLS = f"""lines AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '{_CUT}' THEN 'ref' ELSE 'cur' END AS side, l_quantity, l_discount,
+    CASE WHEN l_partkey % 5 <> 0 THEN l_tax WHEN l_shipdate < TIMESTAMP '{_CUT}' THEN 0.04 END AS l_tax FROM lineitem),
+    med AS (SELECT quantile_cont(l_tax, 0.5) AS m FROM lines WHERE side = 'ref'),
+    cells AS ({" UNION ALL ".join(f"SELECT side, '{c}' AS feature, CAST({'coalesce(l_tax, m)' if c == 'l_tax' else c} AS DOUBLE) AS v FROM lines, med" for c in _REFERENCE_FEATURES)})"""
+
+
+@query(
+    "drift_reference_csv",
+    f"{_TESTS.replace(_CELLS_SQL, _REFERENCE_CELLS)} SELECT feature, n AS n_reference, m AS n_current, ks, p AS p_value, p < 0.05 AS drifted, w / nullif(sd, 0) AS wasserstein FROM tests",
+    "ks p_value wasserstein",
+)
+def drift_reference_csv(spark, sf):
+    """The reference is written once as wide CSV, read back, and compared with all logs."""
+    before = F.col("l_shipdate") < F.to_timestamp_ntz(F.lit(f"{_CUT} 00:00:00"))
+    lines = table(spark, sf, "lineitem").withColumn("tax", F.when(F.col("l_partkey") % 5 != 0, F.col("l_tax")))
+    cells = [F.lit('"one, two"'), "l_quantity", "l_discount", F.coalesce(F.col("tax").cast("string"), F.lit(""))]
+    pairs = lines.where(before).select(F.lit("note,l_quantity,l_discount,l_tax").alias("columns_csv"), F.concat_ws(",", *cells).alias("row_csv"))
+    reference = ensure_reference(pairs, scratch_path(spark, "reference-csv"), _REFERENCE_FEATURES, {"l_tax": 0.04})
+    features = F.map_from_arrays(F.lit(_REFERENCE_FEATURES), F.array("l_quantity", "l_discount", "tax"))
+    logs = lines.where(~before).select(features.alias("input_features"))
+    tests = D.drift_tests(reference_counts(reference, logs))
+    return tests.select("feature", "n_reference", "n_current", "ks", "p_value", "drifted", "wasserstein")

@@ -21,15 +21,38 @@ def side_counts(reference: DataFrame, current: DataFrame, n_reference: Column |
     marked = reference.select("feature", "value", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("c")).unionByName(
         current.select("feature", "value", F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("c"))
     )
-    # The raw rows are read once; everything below works on the counts per distinct value.
-    counts = settle(marked.groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur")))
+    as_long = [F.lit(n).cast("long") if isinstance(n, int) else n.cast("long") for n in (n_reference, n_current)]
+    return _absent_filled(_counted(marked), *as_long)
+
+
+def map_counts(reference: DataFrame, current: DataFrame, features: str = "input_features") -> DataFrame:
+    """``side_counts`` of two tables of feature maps in one pass over each: a row adds one cell without a name besides its
+    own cells, so the row numbers of the sides come out of the same counts. Rows without any feature do not count."""
+    nameless = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("value"))
+
+    def cells(df: DataFrame, is_reference: int) -> DataFrame:
+        filled = df.where(F.size(F.coalesce(F.col(features), F.create_map().cast("map<string,double>"))) > 0)
+        long = filled.select(F.inline(F.concat(F.array(nameless), F.map_entries(features))).alias("feature", "value"))
+        sides = {"r": F.lit(is_reference).cast("long"), "c": F.lit(1 - is_reference).cast("long")}
+        return long.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumns(sides)
+
+    counts = _counted(cells(reference, 1).unionByName(cells(current, 0)))
+    rows = counts.where("feature IS NULL").agg(F.coalesce(F.sum("n_ref"), F.lit(0)).alias("n_ref"), F.coalesce(F.sum("n_cur"), F.lit(0)).alias("n_cur"))
+    return _absent_filled(counts.where("feature IS NOT NULL"), rows.select("n_ref").scalar(), rows.select("n_cur").scalar())
+
+
+def _counted(marked: DataFrame) -> DataFrame:
+    """The raw rows are read once; everything else works on the counts per distinct value."""
+    return settle(marked.groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur")))
+
+
+def _absent_filled(counts: DataFrame, n_reference: Column, n_current: Column) -> DataFrame:
     sizes = counts.groupBy("feature").agg(F.sum("n_ref").alias("s_ref"), F.sum("n_cur").alias("s_cur"))
     common = sizes.where("s_ref > 0 AND s_cur > 0")
     of_reference = counts.where("n_ref > 0").select("feature", "value", F.col("n_ref").alias("n"))
     medians = quantiles_of_counts(of_reference, {"value": 0.5}, ["feature"])
-    as_long = [F.lit(n).cast("long") if isinstance(n, int) else n.cast("long") for n in (n_reference, n_current)]
     absent = medians.join(common, "feature").select(
-        "feature", "value", (as_long[0] - F.col("s_ref")).alias("n_ref"), (as_long[1] - F.col("s_cur")).alias("n_cur")
+        "feature", "value", (n_reference - F.col("s_ref")).alias("n_ref"), (n_current - F.col("s_cur")).alias("n_cur")
     )
     present = lookup_join(counts, common.select("feature"), ["feature"], "left_semi")
     both = present.unionByName(absent.where("n_ref > 0 OR n_cur > 0"))

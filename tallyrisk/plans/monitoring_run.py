@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyrisk.functions.json_body import features_long
 from tallyrisk.operators import drift as D, monitor as M
@@ -11,7 +11,7 @@ from tallyrisk.session import settle
 NO_REFERENCE = "reference or production features not available"
 NO_COMMON = "no informative feature in common"
 FROM_WINDOWS = "logs_baseline_vs_current"
-FROM_REFERENCE = "reference_vs_all_logs"
+FROM_REFERENCE = "reference_csv_vs_all_logs"
 
 
 def window_counts(windows: DataFrame) -> DataFrame:
@@ -22,12 +22,20 @@ def window_counts(windows: DataFrame) -> DataFrame:
     return D.side_counts(long["baseline"], long["current"], sizes["baseline"], sizes["current"])
 
 
+def feature_maps(reference: DataFrame) -> DataFrame:
+    """Column ``input_features`` of a reference table: it has one already, or each of its numeric columns is a feature."""
+    if "input_features" in reference.columns:
+        return reference
+    names = [f.name for f in reference.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    if not names:
+        return reference.select(F.create_map().cast("map<string,double>").alias("input_features"))
+    values = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
+    return reference.select(F.map_from_arrays(F.lit(names), values).alias("input_features"))
+
+
 def reference_counts(reference: DataFrame, logs: DataFrame) -> DataFrame:
-    """(feature, value) counts of a reference table (``input_features`` map) and of all logs."""
-    filled = [df.where(F.size("input_features") > 0) for df in (reference, logs)]
-    long = [features_long(df, []) for df in filled]
-    sizes = [df.agg(F.count(F.lit(1))).scalar() for df in filled]
-    return D.side_counts(long[0], long[1], sizes[0], sizes[1])
+    """(feature, value) counts of a reference table (wide, or with an ``input_features`` map) and of all logs."""
+    return D.map_counts(feature_maps(reference), logs)
 
 
 def monitoring_run(logs: DataFrame, reference: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, cap: int | None = None, order: str | Sequence[str] | None = None) -> DataFrame:
@@ -88,19 +88,37 @@ def csv_pair_features(df: DataFrame, names: Sequence[str], medians: Mapping[str,
     heads, body = cells(columns), cells(values)
     shorter = F.least(F.size(heads), F.size(body))
     pairs = F.arrays_zip(F.slice(heads, 1, shorter).alias("k"), F.slice(body, 1, shorter).alias("v"))
-    # On a repeated name the last value counts.
-    lookup = F.map_from_arrays(F.lit(list(names)), F.transform(F.lit(list(names)), lambda n: F.get(
-        F.transform(F.filter(F.reverse(pairs), lambda p: p["k"] == n), lambda p: p["v"]), 0)))
-    with_map = df.withColumn("__cells", lookup)
-    return with_map.select(
+    # On a repeated name the last value counts: sorted by name and place, it is the one that another name follows.
+    placed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    found = F.col("__pairs")
+    last = F.filter(found, lambda p, i: ~p["k"].eqNullSafe(F.get(found, i + 1)["k"]))
+    named = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
+    # One pass over the text of the map fills all wanted names; a lookup for each would walk through the map each time.
+    wanted = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    once = df.withColumn("__pairs", F.array_sort(placed)).withColumn("__cells", F.from_json(F.to_json(named), wanted))
+    return once.select(
         *[c for c in df.columns if c not in (columns, values)],
-        *[
-            F.coalesce(F.col("__cells")[F.lit(n)].try_cast("double"), F.lit(float(medians.get(n, 0.0)))).alias(n)
-            for n in names
-        ],
+        *[F.coalesce(F.col("__cells").getField(n).try_cast("double"), F.lit(float(medians.get(n, 0.0)))).alias(n) for n in names],
     )
 
 
+def ensure_reference(pairs: DataFrame, path: str, names: Sequence[str], medians: Mapping[str, float]) -> DataFrame:
+    """The reference table at ``path``. If there is none yet, the rows kept as pairs of CSV strings are turned into model
+    features and written there as CSV with a header."""
+    found = optional(lambda: read_reference(pairs.sparkSession, path))
+    if found is not None:
+        return found
+    csv_pair_features(pairs, names, medians).select(*names).write.option("header", True).csv(path)
+    return read_reference(pairs.sparkSession, path)
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """A wide CSV with a header as numbers; a cell that is no number is null. All columns are kept: which of them can be
+    compared is decided when both sides are known."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns])
+
+
 def median_payload(medians: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row with a map feature -> median; features without a median get 0."""
     wanted = F.explode(F.lit(list(names)))
