@@ -9,6 +9,8 @@ from tallyrisk.catalog.standins import cte, log_table, plain_logs
 from tallyrisk.functions.json_body import feature_map, parsed
 from tallyrisk.operators import monitor as M
 from tallyrisk.plans.monitoring_run import monitoring_run
+from tallyrisk.session import scratch_path
+from tallyrisk.sources import batches as B
 from tallyrisk.sources.event_log import recent_events
 
 LOGS = cte("logs")
@@ -231,3 +233,18 @@ def run_monitoring(spark, sf):
         "drift.windowing.baseline_window",
         "drift.windowing.current_window",
     )
+
+
+@query(
+    "mon_append_run",
+    f"""{LOGS} SELECT 7::BIGINT AS id, avg(CASE WHEN status_code >= 400 THEN 1.0 ELSE 0.0 END) AS error_rate,
+    quantile_cont(latency_ms, 0.95) AS latency_p95_ms, true AS drift_enabled FROM logs""",
+    "error_rate latency_p95_ms",
+)
+def mon_append_run(spark, sf):
+    """A run over the whole log is stored under its batch, twice, and read from the history."""
+    run = monitoring_run(log_table(spark, sf))
+    path = scratch_path(spark, "runs")
+    for _ in range(2):
+        B.write_run(run, path, 7)
+    return M.run_history(B.read_runs(spark, path)).drop("run_at")

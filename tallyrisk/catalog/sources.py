@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyrisk.catalog.base import query, table
 from tallyrisk.catalog.standins import cte, log_table, standin
 from tallyrisk.session import scratch_path
-from tallyrisk.sources import event_log as L, tables as T
+from tallyrisk.sources import batches as B, event_log as L, tables as T
 from tallyrisk.sources.schemas import RAW_TABLES
 
 LOGS = cte("logs")
@@ -39,9 +39,9 @@ def src_optional(spark, sf):
 _LOG_COLUMNS = """SELECT ts AS timestamp, endpoint, status_code, latency_ms, sha256(json(body)::VARCHAR) AS payload_hash, CAST(json_extract(body, '$.k') AS DOUBLE) AS k, score, decision FROM logs"""
 
 
-def _flat(logs):
+def _flat(logs, *more):
     return logs.select(
-        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "endpoint", "status_code", "latency_ms", "payload_hash", F.col("input_features")["k"].alias("k"), "score", "decision"
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "endpoint", "status_code", "latency_ms", "payload_hash", F.col("input_features")["k"].alias("k"), "score", "decision", *more
     )
 
 
@@ -99,3 +99,25 @@ def log_backfill_clean(spark, sf):
     path = scratch_path(spark, "log-lines")
     logs.select(line.alias("value")).write.text(path)
     return _flat(L.clean_lines(spark.read.text(path)))
+
+
+@query(
+    "log_backfill",
+    f"""{LOGS}, once AS ({_LOG_COLUMNS} WHERE id % 10 <> 0) SELECT *, CASE WHEN status_code >= 400 THEN 2 ELSE 1 END::BIGINT AS batch, 1::BIGINT AS same_id FROM once""",
+    "latency_ms k score",
+)
+def log_backfill(spark, sf):
+    """Two files of JSON lines become two batches; the first is loaded twice, as after an attempt that was killed."""
+    logs = log_table(spark, sf)
+    text = F.to_json(F.struct(*logs.columns), L.JSON_OPTIONS)
+    line = F.when(F.col("id") % 20 == 0, F.lit("  ")).when(F.col("id") % 10 == 0, F.lit("[1]")).otherwise(text)
+    path = scratch_path(spark, "log-batches")
+    for batch, part in ((1, ~F.coalesce(F.col("status_code") >= 400, F.lit(False))), (2, F.col("status_code") >= 400)):
+        lines = scratch_path(spark, "log-lines")
+        logs.where(part).select(line.alias("value")).write.text(lines)
+        for _ in range(3 - batch):
+            B.backfill_lines(spark, lines, path, batch)
+    stored = B.read_events(spark, path)
+    copies = stored.groupBy("id").agg(F.count(F.lit(1)).alias("same_id"))
+    joined = stored.join(copies, "id")
+    return _flat(joined, "batch", "same_id")
