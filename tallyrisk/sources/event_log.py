@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyrisk.functions.json_body import parsed, starts_with
+from tallyrisk.session import settle
 from tallyrisk.sources.schemas import API_CALL_COLUMNS, API_CALLS, MODEL_RUNS, MONITORING_RUNS
 
 
@@ -71,17 +72,18 @@ def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 def backfill(spark: SparkSession, path: str, table: str = "api_calls", skip_known: bool = False) -> int:
     """Load a JSON Lines file into the log table and return the number of rows. One malformed line
     stops the load before anything is written. ``skip_known`` leaves out events whose time and
-    payload hash are stored already."""
-    lines = spark.read.text(path)
-    bad = split_lines(lines).where(F.col("kind") == "malformed")
-    if not bad.isEmpty():
+    payload hash are stored already. The lines are read and parsed once: what is checked, counted and stored are the same rows."""
+    lines = split_lines(spark.read.text(path)).withColumn("event", F.from_json("value", API_CALLS))
+    read = settle(lines.where("kind IN ('event', 'malformed')").select("kind", "event"))
+    if not read.where("kind = 'malformed'").isEmpty():
         raise ValueError(f"malformed log line in {path}")
-    events = clean_lines(lines)
+    events = read.select("event.*")
     if skip_known:
         stored = spark.table(table).select(F.col("timestamp").alias("__time"), F.col("payload_hash").alias("__hash")).distinct()
         # Events without a body have no hash; they are known by their time alone.
         same = F.col("timestamp").eqNullSafe(F.col("__time")) & F.col("payload_hash").eqNullSafe(F.col("__hash"))
         events = events.join(stored, same, "left_anti")
+        events = settle(events)
     count = events.count()
     append_events(events, table)
     return count

@@ -12,6 +12,7 @@ from tallyrisk.operators.clean import validate
 from tallyrisk.operators.monitor import is_error
 from tallyrisk.operators.score import log_records, score_requests
 from tallyrisk.plans.monitoring_run import monitoring_run
+from tallyrisk.sources.batches import write_run
 from tallyrisk.sources.event_log import append_run
 
 WATERMARK = "10 minutes"
@@ -86,15 +87,21 @@ def log_and_watch(
     checkpoint: str,
     on_run: Callable[[DataFrame], None] | None = None,
     reference: DataFrame | None = None,
+    runs_path: str | None = None,
 ) -> StreamingQuery:
     """Per micro-batch: store the new log rows, then run monitoring over the whole log. The rows of
-    a batch go to their own folder, so a repeated batch does not store them twice."""
+    a batch go to their own folder, so a repeated batch does not store them twice; with ``runs_path`` its run goes there under
+    the number of the batch, and a repeated batch leaves one run. Otherwise the run is handed to ``on_run`` or appended to the
+    history table."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         spark = batch.sparkSession
         run = monitoring_run(spark.read.schema(batch.schema).parquet(log_path), reference)
-        (on_run or append_run)(run)
+        if runs_path:
+            write_run(run, runs_path, batch_id)
+        else:
+            (on_run or append_run)(run)
 
     return (
         logs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

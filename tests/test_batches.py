@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrisk.sources import batches as B
+from tallyrisk.streaming import jobs
 
 
 def events_of(spark, n, first=0):
@@ -81,3 +82,16 @@ def test_runs(spark, tmp_path):
     for batch in (4, 4, 5):
         assert B.write_run(run, path, batch) == 1
     assert sorted((r["id"], r["operational"], r["drift"]) for r in B.read_runs(spark, path).collect()) == [(4, '{"error_rate":0.5}', "{}"), (5, '{"error_rate":0.5}', "{}")]
+
+
+def test_a_repeated_micro_batch_leaves_one_run(spark, tmp_path):
+    """A stream that starts anew without its checkpoint repeats its batches under the same numbers."""
+    source, log, runs = (str(tmp_path / x) for x in ("in", "log", "runs"))
+    events = events_of(spark, 30).withColumn("id", F.monotonically_increasing_id())
+    events.write.parquet(source)
+    for attempt in range(2):
+        stream = jobs.log_and_watch(spark.readStream.schema(events.schema).parquet(source), log, str(tmp_path / f"check{attempt}"), runs_path=runs)
+        assert stream.awaitTermination(60)
+    assert spark.read.parquet(log).count() == 30
+    stored = B.read_runs(spark, runs).collect()
+    assert [r["id"] for r in stored] == [0] and '"n_requests":30' in stored[0]["operational"]
