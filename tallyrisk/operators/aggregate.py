@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tallyrisk.functions.scalar import clean_name
 from tallyrisk.operators.joins import LOOKUP_ROWS, spread_join
 from tallyrisk.operators.running import exact_quantiles, long_form
+from tallyrisk.operators.selection import selected_quantiles
 from tallyrisk.session import settle
 
 Spec = Mapping[str, Sequence[str]]
@@ -188,7 +189,7 @@ def group_stats(df: DataFrame, groups: Sequence[str], spec: Spec) -> DataFrame:
     medians = [c for c, stats in spec.items() if "median" in stats]
     if medians:
         keys = ["group", "group_value"]
-        found = exact_quantiles(long_form(rows, medians, keys), "value", {"median": 0.5}, [*keys, "feature"])
+        found = selected_quantiles(rows, medians, {"median": 0.5}, keys)
         wide = found.groupBy(*keys).pivot("feature", medians).agg(F.first("median"))
         result = result.join(wide.select(*keys, *[F.col(c).alias(out_name("", c, "median")) for c in medians]), keys, "left")
     return result

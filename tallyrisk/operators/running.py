@@ -79,9 +79,10 @@ def long_form(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ())
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _at_rank(rank: Column) -> Column:
+def at_rank(rank: Column, among: Column | None = None) -> Column:
+    """The value whose rows hold the rank, of the rows (value, n, n_before) that ``among`` allows."""
     hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-    return F.max(F.when(hit, F.col("value")))
+    return F.max(F.when(hit if among is None else hit & among, F.col("value")))
 
 
 def exact_quantiles(
@@ -94,7 +95,13 @@ def exact_quantiles(
     """One row per group with a column per named quantile.
 
     ``linear`` interpolates between the two neighbours; ``lower`` takes the value at
-    rank floor(p * (n - 1)). Rows with a null or NaN value or a null group are left out."""
+    rank floor(p * (n - 1)). Rows with a null or NaN value or a null group are left out.
+    Without groups the values are selected from, not ordered (see ``selection``); one row, nulls if there are no values."""
+    from tallyrisk.operators.selection import selected_quantiles
+
+    if not groups:
+        found = selected_quantiles(df, [value], quantiles, method=method)
+        return found.agg(*[F.max(name).alias(name) for name in quantiles])
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     for g in groups:
         usable = usable & F.col(g).isNotNull()
@@ -114,9 +121,9 @@ def quantiles_of_counts(
     picks = []
     for name, p in quantiles.items():
         spot = F.lit(float(p)) * (F.col("n_total") - 1)
-        picks.append(_at_rank(F.floor(spot)).alias(f"__{name}_low"))
+        picks.append(at_rank(F.floor(spot)).alias(f"__{name}_low"))
         if method == "linear":
-            picks.append(_at_rank(F.ceil(spot)).alias(f"__{name}_high"))
+            picks.append(at_rank(F.ceil(spot)).alias(f"__{name}_high"))
             picks.append(F.max(spot - F.floor(spot)).alias(f"__{name}_part"))
     found = run.groupBy(*groups).agg(*picks)
     low = {name: F.col(f"__{name}_low") for name in quantiles}
@@ -131,10 +138,12 @@ def quantiles_of_counts(
 
 def column_medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """(feature, median) for numeric columns; exact, or ``approx_percentile`` if an accuracy is given."""
-    long = long_form(df, columns)
+    from tallyrisk.operators.selection import selected_quantiles
+
     if accuracy:
+        long = long_form(df, columns)
         return long.groupBy("feature").agg(F.approx_percentile("value", F.lit(0.5), F.lit(accuracy)).alias("median"))
-    return exact_quantiles(long, "value", {"median": 0.5}, ["feature"])
+    return selected_quantiles(df, columns, {"median": 0.5})
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> dict[str, float]:
