@@ -167,15 +167,100 @@ def sliced_stats(
     spec: Spec,
     vocab: Mapping[str, Sequence[str]] | None = None,
     with_null: bool = True,
+    folded: bool = False,
 ) -> DataFrame:
-    """Stat lists and category shares for each subset; column names are ``<SLICE>_<COL>_<STAT>``."""
+    """Stat lists and category shares for each subset; column names are ``<SLICE>_<COL>_<STAT>``.
+
+    ``folded`` is for keys with many rows in few combinations of subsets: no row is copied. Statistics that cannot be
+    merged (distinct counts) are taken from copies all the same."""
     vocab = vocab or {}
+    if folded and all(stat in MERGED for stats in spec.values() for stat in stats):
+        return folded_stats(df, key, slices, spec, vocab, with_null)
     aggs = [*build_aggs(spec), *share_aggs(vocab, with_null=with_null)]
+    return slice_aggregate(df, key, slices, aggs, _stat_names(spec, vocab, with_null))
+
+
+def _stat_names(spec: Spec, vocab: Mapping[str, Sequence[str]], with_null: bool) -> list[str]:
     names = [out_name("", c, s) for c, stats in spec.items() for s in stats]
     for column, values in vocab.items():
-        for value in [*values, *(["nan"] if with_null else [])]:
-            names.append(out_name("", f"{column}_{value}", "mean"))
-    return slice_aggregate(df, key, slices, aggs, names)
+        names += [out_name("", f"{column}_{value}", "mean") for value in [*values, *(["nan"] if with_null else [])]]
+    return names
+
+
+# Statistics of overlapping subsets that follow from those of disjoint cells, from the merged parts of column i.
+MERGED = {
+    "min": "__low{i}",
+    "max": "__high{i}",
+    "mean": "__sum{i} / nullif(__n{i}, 0)",
+    "sum": "coalesce(__total{i}, 0)",
+    "var": "IF(__m{i}.n > 1, __m{i}.m2 / (__m{i}.n - 1), NULL)",
+    "std": "IF(__m{i}.n > 1, sqrt(__m{i}.m2 / (__m{i}.n - 1)), NULL)",
+    "count": "__n{i}",
+    "size": "__rows",
+}
+# Parts of a cell by the statistic that needs them: how one is made of rows, how two are merged. ``m`` holds number, mean and
+# sum of squared distances from the mean; these are merged pair by pair, so nothing large is subtracted.
+_PARTS = {
+    "low": ("min({c})", "min({p})"),
+    "high": ("max({c})", "max({p})"),
+    "n": ("count({c})", "sum({p})"),
+    "sum": ("sum({d})", "sum({p})"),
+    "total": ("sum({c})", "sum({p})"),
+    "m": (
+        "named_struct('n', count({c}), 'mean', coalesce(avg({d}), 0D), 'm2', coalesce(var_pop({d}) * count({c}), 0D))",
+        "aggregate(collect_list({p}), named_struct('n', 0L, 'mean', 0D, 'm2', 0D), (a, b) -> IF(b.n = 0, a, named_struct('n', a.n + b.n, "
+        "'mean', a.mean + (b.mean - a.mean) * b.n / (a.n + b.n), 'm2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * a.n * b.n / (a.n + b.n))))",
+    ),
+}
+_NEEDS = {"min": ["low"], "max": ["high"], "mean": ["n", "sum"], "sum": ["total"], "var": ["m"], "std": ["m"], "count": ["n"], "size": []}
+# Subsets that a mask of one long can tell apart.
+_MASK_BITS = 62
+
+
+def folded_stats(
+    df: DataFrame, key: str, slices: Mapping[str, Column], spec: Spec, vocab: Mapping[str, Sequence[str]], with_null: bool = True
+) -> DataFrame:
+    """``sliced_stats`` without copies of rows. Rows of a key that are in the same subsets are one cell, marked by a mask with
+    a bit per subset; each row is folded into its cell once, before the shuffle. The cells of a key, at most one for each
+    combination of subsets that occurs, are then merged to the overlapping subsets in the tasks that hold the key.
+
+    A row in no subset counts nowhere, a condition that is null does not hold, and a key without rows in a subset gets null there."""
+    if len(slices) > _MASK_BITS:
+        raise ValueError(f"more than {_MASK_BITS} subsets")
+    bits = [F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, cond in enumerate(slices.values())]
+    rows = df.where(F.col(key).isNotNull()).withColumn("__mask", sum(bits[1:], bits[0])).where("__mask <> 0")
+
+    parts = {"__rows": ("count(1)", "sum(__rows)")}
+    result = []
+    for i, (column, stats) in enumerate(spec.items()):
+        plain = f"`{column}`"
+        exact = isinstance(df.schema[column].dataType, T.DecimalType)
+        fields = {"c": plain, "d": plain if exact else f"double({plain})"}
+        for stat in stats:
+            for part in _NEEDS[stat]:
+                made, merged = _PARTS[part]
+                use = {**fields, "d": f"double({plain})"} if part == "m" else fields
+                parts[f"__{part}{i}"] = (made.format(**use), merged.format(p=f"__{part}{i}"))
+            result.append(MERGED[stat].format(i=i))
+    values = [(c, v) for c, own in vocab.items() for v in [*own, *([None] if with_null else [])]]
+    rows = rows.withColumns({f"__is{j}": indicator(c, v).cast("long") for j, (c, v) in enumerate(values)})
+    for j in range(len(values)):
+        parts[f"__has{j}"] = (f"sum(__is{j})", f"sum(__has{j})")
+        result.append(f"__has{j} / __rows")
+
+    cells = rows.groupBy(key, "__mask").agg(*[F.expr(f"{made} AS {name}") for name, (made, _) in parts.items()])
+    # Cells meet by key, so neither the merge nor the subsets that become columns need another shuffle.
+    members = ", ".join(f"IF((__mask & {1 << i}L) <> 0, {i}, NULL)" for i in range(len(slices)))
+    dealt = cells.repartition(key).withColumn("__slice", F.expr(f"explode(array_compact(array({members})))"))
+    merged = dealt.groupBy(key, "__slice").agg(*[F.expr(f"{merge} AS {name}") for name, (_, merge) in parts.items()])
+    # Types are those that the statistics have without cells.
+    plain_types = df.groupBy(key).agg(*build_aggs(spec), F.lit(0)).schema.fields[1:-1]
+    types = [*(f.dataType.simpleString() for f in plain_types), *["double"] * (len(result) - len(plain_types))]
+    names = _stat_names(spec, vocab, with_null)
+    cell = ", ".join(f"'{name}', CAST({value} AS {kind})" for name, value, kind in zip(names, result, types))
+    packed = merged.selectExpr(f"`{key}`", "__slice", f"named_struct({cell}) AS __cell")
+    wide = packed.groupBy(key).agg(*[F.expr(f"first(IF(__slice = {i}, __cell, NULL), true) AS __{i}") for i in range(len(slices))])
+    return wide.selectExpr(f"`{key}`", *[f"__{i}.`{n}` AS `{name}_{n}`" for i, name in enumerate(slices) for n in names])
 
 
 # --- statistics brought back to rows --------------------------------------------------------

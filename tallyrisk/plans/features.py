@@ -410,7 +410,7 @@ def instalment_features(payments: DataFrame) -> DataFrame:
     rows = instalment_rows(payments)
     parts = {f"LAST{m}M": F.col("DAYS_INSTALMENT") >= -30 * m for m in INSTALMENT_MONTHS}
     spec = {**INSTALMENT_STATS, CLIENT: ["size"]}
-    wide = A.sliced_stats(rows, CLIENT, _slices("INS", parts), spec)
+    wide = A.sliced_stats(rows, CLIENT, _slices("INS", parts), spec, folded=True)
     size = f"{CLIENT}_SIZE"
     wide = wide.withColumnRenamed(f"INS_{size}", "INS_COUNT").drop(*[f"INS_{part}_{size}" for part in parts])
     recent = last_k(rows.where(F.col(CLIENT).isNotNull()), CLIENT, newest_instalment(), max(TREND_ROWS))
@@ -479,7 +479,7 @@ def card_features(card: DataFrame, vocab: Vocab | None = None) -> DataFrame:
         *A.build_aggs(everything, "CC_"), *A.share_aggs(vocab, "CC_"), F.count(F.lit(1)).alias("CC_COUNT")
     )
     spec = {c: s for c, s in CARD_WINDOW_STATS.items() if c in rows.columns}
-    recent = A.sliced_stats(keyed, CLIENT, {f"CC_LAST{m}M": F.col("MONTHS_BALANCE") >= -m for m in CARD_MONTHS}, spec, vocab)
+    recent = A.sliced_stats(keyed, CLIENT, {f"CC_LAST{m}M": F.col("MONTHS_BALANCE") >= -m for m in CARD_MONTHS}, spec, vocab, folded=True)
     values = [c for c in CARD_LAST if c in rows.columns]
     newest = [F.col("MONTHS_BALANCE").desc(), *[F.col(c).desc_nulls_last() for c in values], F.col(CLIENT).desc()]
     last = last_k(rows.where(F.col(LOAN).isNotNull()).select(LOAN, CLIENT, "MONTHS_BALANCE", *values), LOAN, newest, 1)

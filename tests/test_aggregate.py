@@ -23,10 +23,11 @@ def credits(spark):
     return spark.createDataFrame(CREDITS, "k INT, status STRING, amt DOUBLE, days DOUBLE")
 
 
-def test_slices_tell_missing_from_empty(credits):
+@pytest.mark.parametrize("folded", [False, True])
+def test_slices_tell_missing_from_empty(credits, folded):
     slices = {"ALL": F.lit(True), "ACTIVE": F.col("status") == "Active", "RECENT": F.col("days") >= -180}
     spec = {"amt": ["sum", "mean", "count", "size"]}
-    got = A.sliced_stats(credits, "k", slices, spec, {"status": ["Active", "Closed"]}).toPandas().set_index("k")
+    got = A.sliced_stats(credits, "k", slices, spec, {"status": ["Active", "Closed"]}, folded=folded).toPandas().set_index("k")
     assert sorted(got.index) == [1, 2, 3]
     assert np.isnan(got.loc[1, "ACTIVE_AMT_SUM"]) and np.isnan(got.loc[3, "RECENT_AMT_SIZE"])  # no rows in the slice
     assert got.loc[2, "ACTIVE_AMT_SUM"] == 0 and np.isnan(got.loc[2, "ACTIVE_AMT_MEAN"])  # rows, but only nulls
@@ -34,6 +35,55 @@ def test_slices_tell_missing_from_empty(credits):
     assert got.loc[1, "ALL_STATUS_CLOSED_MEAN"] == 1 and got.loc[1, "ALL_STATUS_NAN_MEAN"] == 0
 
 
+def test_folded_slices_equal_those_of_copied_rows(spark):
+    """Overlapping subsets, null conditions, rows in no subset, a hot key, decimals, NaN and nulls."""
+    rng = np.random.default_rng(8)
+    n = 5000
+    frame = pd.DataFrame({
+        "k": np.where(rng.random(n) < 0.34, 7, rng.integers(0, 400, n)),
+        "kind": rng.choice(["a", "b", "c"], n),
+        "v": 10 + rng.normal(size=n),
+        "w": rng.integers(-5, 5, n),
+    })
+    df = spark.createDataFrame(frame).withColumns({
+        "k": F.when(F.col("k") != 3, F.col("k")),
+        "kind": F.when(F.col("kind") != "c", F.col("kind")),
+        "v": F.when(F.col("w") != 0, F.col("v")),
+        "money": F.col("w").cast("decimal(9,2)") / 4,
+        "odd": F.when(F.col("w") == 4, F.lit(float("nan"))).otherwise(F.col("w").cast("double")),
+    })
+    spec = {c: ["min", "max", "mean", "sum", "var", "std", "count"] for c in ("v", "w", "money", "odd")} | {"k": ["size"]}
+    slices = {"A": F.col("kind") == "a", "B": F.col("kind") == "b", "POS": F.col("w") > 0, "TOP": F.col("w") > 2}
+    vocab = {"kind": ["a", "b"]}
+    names = A._stat_names(spec, vocab, True)
+    want = A.slice_aggregate(df, "k", slices, [*A.build_aggs(spec), *A.share_aggs(vocab)], names)
+    got = A.sliced_stats(df.repartition(5), "k", slices, spec, vocab, folded=True)
+    assert got.dtypes == want.dtypes
+    a, b = (x.toPandas().set_index("k").sort_index().astype(float) for x in (got, want))
+    assert a.index.tolist() == b.index.tolist() and len(a) > 300
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12, atol=1e-12)
+    plan = A.sliced_stats(df, "k", slices, spec, vocab, folded=True)._jdf.queryExecution().executedPlan().toString()
+    rows_below = plan[plan.rindex("Generate") :]
+    assert rows_below.count("Exchange") == 2 and plan[: plan.rindex("Generate")].count("Exchange") == 0
+    assert A.sliced_stats(df.limit(0), "k", slices, spec, vocab, folded=True).collect() == []
+
+
+def test_spread_of_values_far_from_zero(spark):
+    """Sums of squares would lose every digit here; what stays is what a double near 1e9 can hold."""
+    values = 1e9 + np.random.default_rng(2).normal(size=900)
+    df = spark.createDataFrame([(1, float(v), i % 9) for i, v in enumerate(values)], "k int, v double, part int")
+    slices = {"ALL": F.lit(True), **{f"P{i}": F.col("part") <= i for i in range(8)}}
+    got = A.sliced_stats(df, "k", slices, {"v": ["var"]}, folded=True).first()
+    centred = values - 1e9
+    assert got["ALL_V_VAR"] == pytest.approx(centred.var(ddof=1), rel=1e-5)
+    assert got["P3_V_VAR"] == pytest.approx(np.concatenate([centred[i::9] for i in range(4)]).var(ddof=1), rel=1e-5)
+
+
+def test_distinct_counts_of_slices(credits):
+    got = A.sliced_stats(credits, "k", {"ALL": F.lit(True), "OPEN": F.col("status") == "Active"}, {"days": ["nunique", "mean"]}, folded=True)
+    assert {r["k"]: (r["ALL_DAYS_NUNIQUE"], r["OPEN_DAYS_NUNIQUE"]) for r in got.collect()} == {1: (2, None), 2: (2, 2), 3: (1, 1)}
+
+
 def test_single_row_group_has_no_spread(credits):
     row = A.aggregate_by(credits, "k", {"amt": ["std", "var", "median", "mean"]}).where("k = 3").first()
     assert row["_AMT_STD".lstrip("_")] is None and row["AMT_VAR"] is None and row["AMT_MEDIAN"] == 7.0
