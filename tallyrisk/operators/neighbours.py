@@ -29,6 +29,8 @@ MAX_CELLS = 16_384
 # Visiting points that meet a cell in one task, and those that are compared at a time.
 VISITORS = 20_000
 BLOCK = 128
+# Distances from points to boxes that a task holds at a time.
+BOX_GAPS = 1 << 18
 
 
 class Planes:
@@ -135,20 +137,26 @@ def _visits(cells: DataFrame, reach: DataFrame, boxes: tuple, dims: int) -> Data
     numbers, low, high = boxes
     rows = cells.join(reach, "place", "left").select("place", "z", "cell", "reach")
 
+    def reached(z: np.ndarray, own: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap = np.zeros((len(z), len(numbers)))
+        for j in range(dims):
+            out = np.maximum(0.0, np.maximum(low[None, :, j] - z[:, j, None], z[:, j, None] - high[None, :, j]))
+            gap += out * out
+        return np.nonzero((gap <= limit[:, None]) & (numbers[None, :] != own[:, None]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = _matrix(batch.column("z"), dims)
             own = batch.column("cell").to_numpy()
             limit = np.nan_to_num(batch.column("reach").to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
-            gap = np.zeros((len(z), len(numbers)))
-            for j in range(dims):
-                out = np.maximum(0.0, np.maximum(low[None, :, j] - z[:, j, None], z[:, j, None] - high[None, :, j]))
-                gap += out * out
-            row, col = np.nonzero((gap <= limit[:, None]) & (numbers[None, :] != own[:, None]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers[col].astype(np.int32)), batch.column("place").take(pa.array(row)), batch.column("z").take(pa.array(row))],
-                names=["cell", "place", "z"],
-            )
+            step = max(1, BOX_GAPS // len(numbers))
+            for at in range(0, len(z), step):
+                row, col = reached(z[at : at + step], own[at : at + step], limit[at : at + step])
+                spot = pa.array(row + at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[col].astype(np.int32)), batch.column("place").take(spot), batch.column("z").take(spot)],
+                    names=["cell", "place", "z"],
+                )
 
     return rows.mapInArrow(run, "cell int, place long, z array<double>")
 

@@ -66,3 +66,19 @@ def test_visits_are_limited_to_cells_in_reach(spark, monkeypatch):
     homes = {r["place"]: r["cell"] for r in cells.collect()}
     cluster = {c: {p // 200 for p, own in homes.items() if own == c} for c in homes.values()}
     assert all(cluster[r["cell"]] == {r["place"] // 200} for r in visits.collect())
+
+
+def test_boxes_are_compared_in_blocks(spark, monkeypatch):
+    """Places with a reach and without, and rows from more than one block: the same visits as from all distances at once."""
+    monkeypatch.setattr(N, "BOX_GAPS", 8)
+    rng = np.random.default_rng(4)
+    z, cell = rng.normal(size=(50, 2)), rng.integers(0, 3, 50)
+    cells = spark.createDataFrame([(i, [float(x) for x in v], int(c)) for i, (v, c) in enumerate(zip(z, cell))], "place long, z array<double>, cell int")
+    reach = spark.createDataFrame([(i, 0.3) for i in range(0, 50, 2)], "place long, reach double")
+    numbers, low, high = N._boxes(cells, 2)
+    gap = (np.maximum(0, np.maximum(low[None] - z[:, None], z[:, None] - high[None])) ** 2).sum(axis=2)
+    limit = np.where(np.arange(50) % 2 == 0, 0.3, np.inf)
+    want = {(int(numbers[c]), r) for r, c in zip(*np.nonzero((gap <= limit[:, None]) & (numbers[None] != cell[:, None])))}
+    got = N._visits(cells, reach, (numbers, low, high), 2).collect()
+    assert len(got) == len(want) and {(r["cell"], r["place"]) for r in got} == want
+    assert all(np.allclose(r["z"], z[r["place"]]) for r in got)
