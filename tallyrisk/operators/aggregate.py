@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyrisk.functions.scalar import clean_name
-from tallyrisk.operators.joins import LOOKUP_ROWS, spread_join
+from tallyrisk.operators.joins import LOOKUP_ROWS, NULL_SPREAD, ROWS_PER_TASK, fold_by_key, hot_keys, mixer, spread_join
 from tallyrisk.operators.running import exact_quantiles, long_form
 from tallyrisk.operators.selection import selected_quantiles
 from tallyrisk.session import settle
@@ -168,16 +168,73 @@ def sliced_stats(
     vocab: Mapping[str, Sequence[str]] | None = None,
     with_null: bool = True,
     folded: bool = False,
+    counted: DataFrame | None = None,
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Stat lists and category shares for each subset; column names are ``<SLICE>_<COL>_<STAT>``.
 
-    ``folded`` is for keys with many rows in few combinations of subsets: no row is copied. Statistics that cannot be
-    merged (distinct counts) are taken from copies all the same."""
+    The rows are brought together by key and every subset is taken in the same pass (``slice_columns``): no row is copied and
+    nothing wide is shuffled. Keys above ``limit`` rows are folded from copies before their shuffle. ``folded`` folds all keys
+    before the shuffle and without copies, for keys with many rows in few combinations of subsets that lie in few tasks.
+    Statistics that cannot be merged (distinct counts) are taken the first way all the same."""
     vocab = vocab or {}
     if folded and all(stat in MERGED for stats in spec.values() for stat in stats):
         return folded_stats(df, key, slices, spec, vocab, with_null)
-    aggs = [*build_aggs(spec), *share_aggs(vocab, with_null=with_null)]
-    return slice_aggregate(df, key, slices, aggs, _stat_names(spec, vocab, with_null))
+
+    def fold(rows: DataFrame) -> DataFrame:
+        marked, aggs = slice_columns(rows, slices, spec, vocab, with_null)
+        return at_least_one(marked, slices).groupBy(key).agg(*aggs)
+
+    def spread(rows: DataFrame) -> DataFrame:
+        aggs = [*build_aggs(spec), *share_aggs(vocab, with_null=with_null)]
+        return slice_aggregate(rows, key, slices, aggs, _stat_names(spec, vocab, with_null))
+
+    return fold_by_key(df, key, fold, spread, counted=counted, limit=limit)
+
+
+def _inside(i: int) -> str:
+    return f"__in{i}"
+
+
+def at_least_one(marked: DataFrame, slices: Mapping[str, Column]) -> DataFrame:
+    """Rows of ``slice_columns`` that are in a subset: a key without any has no row in the result."""
+    return marked.where(" OR ".join(_inside(i) for i in range(len(slices))))
+
+
+def slice_columns(
+    df: DataFrame, slices: Mapping[str, Column], spec: Spec, vocab: Mapping[str, Sequence[str]], with_null: bool = True
+) -> tuple[DataFrame, list[Column]]:
+    """The rows with a flag per subset, and the aggregates of all subsets over them, for rows that are already together by key.
+
+    A condition that is null does not hold, and a key without rows in a subset gets null there."""
+    values = [(c, v) for c, own in vocab.items() for v in [*own, *([None] if with_null else [])]]
+    marked = df.withColumns(
+        {
+            **{_inside(i): F.coalesce(cond, F.lit(False)) for i, cond in enumerate(slices.values())},
+            **{f"__is{j}": indicator(c, v) for j, (c, v) in enumerate(values)},
+        }
+    )
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, T.FractionalType)}
+    names, aggs = _stat_names(spec, vocab, with_null), []
+    for i, name in enumerate(slices):
+        inside = _inside(i)
+        found = [_within(column, stat, inside, column in floating) for column, stats in spec.items() for stat in stats]
+        found += [f"avg(IF({inside}, __is{j}, NULL))" for j in range(len(values))]
+        aggs += [F.expr(f"{text} AS `{name}_{n}`") for text, n in zip(found, names)]
+    return marked, aggs
+
+
+def _within(column: str, stat: str, inside: str, floating: bool) -> str:
+    """One statistic over the rows that a flag marks; a distinct count keeps the values of one key."""
+    if stat == "size":
+        return f"nullif(count_if({inside}), 0)"
+    own = f"IF({inside}, `{column}`, NULL)"
+    if stat == "nunique":
+        # Adding zero makes a negative zero the same value as zero.
+        text = f"size(collect_set(IF({inside}, `{column}`{' + 0' if floating else ''}, NULL)))"
+        return f"IF(count_if({inside}) > 0, CAST({text} AS BIGINT), NULL)"
+    text = _STATS[stat].replace("{c}", own)
+    return f"IF(count_if({inside}) > 0, {text}, NULL)" if stat in ("sum", "count") else text
 
 
 def _stat_names(spec: Spec, vocab: Mapping[str, Sequence[str]], with_null: bool) -> list[str]:
@@ -304,10 +361,20 @@ def apply_group_stats(df: DataFrame, stats: DataFrame, groups: Sequence[str], pr
     return df
 
 
-def with_group_total(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Sum of ``column`` per key list on every row (null sums count as 0)."""
-    totals = df.groupBy(*keys).agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
-    return spread_join(df, totals, keys)
+def with_group_total(df: DataFrame, keys: Sequence[str], column: str, name: str, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Sum of ``column`` per key list on every row (null sums count as 0, a missing key has no sum).
+
+    Groups of up to ``limit`` rows are summed where their rows are; with larger ones it is an aggregate and a join."""
+    keys = list(keys)
+    if not hot_keys(df, keys, limit).isEmpty():
+        totals = df.groupBy(*keys).agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
+        return spread_join(df, totals, keys, limit=limit).select(*df.columns, name)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    # Rows with a missing key need not meet: they are dealt out.
+    own = Window.partitionBy(*keys, F.when(~whole, F.pmod(mixer(df.select(*keys, column)), F.lit(NULL_SPREAD))))
+    return df.withColumn(name, F.when(whole, F.coalesce(F.sum(column).over(own), F.lit(0))))
 
 
 def ratio_of_sums(numerator: str, denominator: str) -> Column:

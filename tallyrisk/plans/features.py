@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyrisk.functions import scalar as S
 from tallyrisk.operators import aggregate as A
-from tallyrisk.operators.joins import attach_children, lookup_join, members_of, pairs_with, spread_join, spread_joins
+from tallyrisk.operators.joins import ROWS_PER_TASK, attach_children, fold_by_key, lookup_join, members_of, pairs_with, spread_join, spread_joins
 from tallyrisk.operators.windows import last_k, last_non_null, trend_aggs
 
 CLIENT = "SK_ID_CURR"
@@ -183,7 +183,7 @@ def bureau_features(bureau: DataFrame, balance: DataFrame | None = None, vocab:
         **{S.clean_name(t).upper(): F.col("CREDIT_TYPE") == t for t in CREDIT_TYPES},
         **{f"LAST{m}M": F.col("DAYS_CREDIT") >= -30 * m for m in BUREAU_MONTHS},
     }
-    wide = A.sliced_stats(rows, CLIENT, _slices("BUREAU", parts), spec, vocab)
+    wide = A.sliced_stats(rows, CLIENT, _slices("BUREAU", parts), spec, vocab, counted=bureau)
     order = F.struct("DAYS_CREDIT", CREDIT)
     overdue = last_non_null(bureau, CLIENT, "AMT_CREDIT_MAX_OVERDUE", order, "BUREAU_LAST_LOAN_MAX_OVERDUE")
     debt, credit = "AMT_CREDIT_SUM_DEBT_SUM", "AMT_CREDIT_SUM_SUM"
@@ -267,12 +267,19 @@ def previous_features(previous: DataFrame, payments: DataFrame | None = None, vo
         "CASH": F.col("NAME_CONTRACT_TYPE") == "Cash loans",
         **{f"LAST{m}M": F.col("DAYS_DECISION") >= -30 * m for m in PREVIOUS_MONTHS},
     }
-    wide = A.sliced_stats(rows, CLIENT, _slices("PREVIOUS", parts), spec, vocab)
+    wide = A.sliced_stats(rows, CLIENT, _slices("PREVIOUS", parts), spec, vocab, counted=previous)
     if payments is None:
         return wide
     return attach_children(wide, [late_payment_share(payments), open_loan_repayment(rows, payments)], CLIENT)
 
 
+def _per_client(rows: DataFrame, aggs: Sequence[Column], counted: DataFrame) -> DataFrame:
+    def fold(part: DataFrame) -> DataFrame:
+        return part.groupBy(CLIENT).agg(*aggs)
+
+    return fold_by_key(rows, CLIENT, fold, fold, counted=counted)
+
+
 # --- POS cash -----------------------------------------------------------------------------------
 
 # Fixed values.
@@ -309,9 +316,8 @@ def pos_features(pos: DataFrame, vocab: Vocab | None = None) -> DataFrame:
     if vocab is None:
         vocab = A.vocabularies(pos, A.text_columns(pos))
     keyed = rows.where(F.col(CLIENT).isNotNull())
-    base = keyed.groupBy(CLIENT).agg(
-        *A.build_aggs(POS_STATS, "POS_"), *A.share_aggs(vocab, "POS_"), F.count(F.lit(1)).alias("POS_COUNT")
-    )
+    aggs = [*A.build_aggs(POS_STATS, "POS_"), *A.share_aggs(vocab, "POS_"), F.count(F.lit(1)).alias("POS_COUNT")]
+    base = _per_client(rows, aggs, pos)
     pairs = pairs_with(keyed, [CLIENT, LOAN], pos_loans(rows), LOAN)
     means = ["MONTHS_BALANCE_MAX", "LOAN_COMPLETED_MEAN", "COMPLETED_BEFORE_MEAN", "REMAINING_INSTALMENTS", "REMAINING_INSTALMENTS_RATIO"]
     per_client = pairs.groupBy(CLIENT).agg(*[F.avg(c).alias(f"POS_LOANS_{c}") for c in means])
@@ -377,7 +383,8 @@ def instalment_measures(payments: DataFrame) -> DataFrame:
 
 def instalment_rows(payments: DataFrame) -> DataFrame:
     """Payments with the measures that use the instalment's total (several payments per instalment)."""
-    rows = A.with_group_total(instalment_measures(payments), [LOAN, "NUM_INSTALMENT_NUMBER"], "AMT_PAYMENT", "AMT_PAYMENT_GROUPED")
+    rows = A.with_group_total(payments, [LOAN, "NUM_INSTALMENT_NUMBER"], "AMT_PAYMENT", "AMT_PAYMENT_GROUPED")
+    rows = instalment_measures(rows)
     over = F.col("AMT_PAYMENT_GROUPED") - F.col("AMT_INSTALMENT")
     ratio = S.safe_ratio("AMT_PAYMENT_GROUPED", "AMT_INSTALMENT")
     return rows.withColumns(
@@ -405,18 +412,27 @@ def newest_instalment() -> list[Column]:
     ]
 
 
-def instalment_features(payments: DataFrame) -> DataFrame:
+def instalment_features(payments: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Payments per client: all, last 36 and 60 months, trends, newest payment."""
     rows = instalment_rows(payments)
     parts = {f"LAST{m}M": F.col("DAYS_INSTALMENT") >= -30 * m for m in INSTALMENT_MONTHS}
-    spec = {**INSTALMENT_STATS, CLIENT: ["size"]}
-    wide = A.sliced_stats(rows, CLIENT, _slices("INS", parts), spec, folded=True)
-    size = f"{CLIENT}_SIZE"
-    wide = wide.withColumnRenamed(f"INS_{size}", "INS_COUNT").drop(*[f"INS_{part}_{size}" for part in parts])
-    recent = last_k(rows.where(F.col(CLIENT).isNotNull()), CLIENT, newest_instalment(), max(TREND_ROWS))
+    slices = _slices("INS", parts)
     newest = [F.max(F.when(F.col("rn") == 1, F.col(c))).alias(name) for c, name in INSTALMENT_LAST.items()]
-    more = recent.groupBy(CLIENT).agg(*trend_aggs(["DPD", "PAID_OVER_AMOUNT"], TREND_ROWS, "INS_"), *newest)
-    return attach_children(wide, [more], CLIENT)
+    more = [*trend_aggs(["DPD", "PAID_OVER_AMOUNT"], TREND_ROWS, "INS_"), *newest]
+    size = F.count(F.lit(1)).alias("INS_COUNT")
+
+    def fold(part: DataFrame) -> DataFrame:
+        line = Window.partitionBy(CLIENT).orderBy(*newest_instalment())
+        marked, aggs = A.slice_columns(part.withColumn("rn", F.row_number().over(line)), slices, INSTALMENT_STATS, {})
+        return marked.groupBy(CLIENT).agg(*aggs, size, *more)
+
+    def spread(part: DataFrame) -> DataFrame:
+        names = [A.out_name("", c, s) for c, stats in INSTALMENT_STATS.items() for s in stats]
+        wide = A.slice_aggregate(part, CLIENT, slices, A.build_aggs(INSTALMENT_STATS), names)
+        recent = last_k(part, CLIENT, newest_instalment(), max(TREND_ROWS))
+        return attach_children(wide, [part.groupBy(CLIENT).agg(size), recent.groupBy(CLIENT).agg(*more)], CLIENT)
+
+    return fold_by_key(rows, CLIENT, fold, spread, newest_instalment(), payments, limit)
 
 
 # --- credit card -----------------------------------------------------------------------------------
@@ -467,24 +483,31 @@ def card_measures(card: DataFrame) -> DataFrame:
     return rows.withColumn("LATE_PAYMENT", S.flag(F.col("SK_DPD") > 0))
 
 
-def card_features(card: DataFrame, vocab: Vocab | None = None) -> DataFrame:
+def card_features(card: DataFrame, vocab: Vocab | None = None, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Card months per client: every numeric column with five stats, category shares, recent
     windows, the newest month per card."""
     rows = card_measures(card)
     if vocab is None:
         vocab = A.vocabularies(card, A.text_columns(card))
-    keyed = rows.where(F.col(CLIENT).isNotNull())
     everything = {c: CARD_STATS for c in A.numeric_columns(rows, without=[CLIENT, LOAN])}
-    base = keyed.groupBy(CLIENT).agg(
-        *A.build_aggs(everything, "CC_"), *A.share_aggs(vocab, "CC_"), F.count(F.lit(1)).alias("CC_COUNT")
-    )
+    whole = [*A.build_aggs(everything, "CC_"), *A.share_aggs(vocab, "CC_"), F.count(F.lit(1)).alias("CC_COUNT")]
     spec = {c: s for c, s in CARD_WINDOW_STATS.items() if c in rows.columns}
-    recent = A.sliced_stats(keyed, CLIENT, {f"CC_LAST{m}M": F.col("MONTHS_BALANCE") >= -m for m in CARD_MONTHS}, spec, vocab, folded=True)
+    slices = {f"CC_LAST{m}M": F.col("MONTHS_BALANCE") >= -m for m in CARD_MONTHS}
+
+    def fold(part: DataFrame) -> DataFrame:
+        marked, aggs = A.slice_columns(part, slices, spec, vocab)
+        return marked.groupBy(CLIENT).agg(*whole, *aggs)
+
+    def spread(part: DataFrame) -> DataFrame:
+        recent = A.folded_stats(part, CLIENT, slices, spec, vocab)
+        return attach_children(part.groupBy(CLIENT).agg(*whole), [recent], CLIENT)
+
+    base = fold_by_key(rows, CLIENT, fold, spread, counted=card, limit=limit)
     values = [c for c in CARD_LAST if c in rows.columns]
     newest = [F.col("MONTHS_BALANCE").desc(), *[F.col(c).desc_nulls_last() for c in values], F.col(CLIENT).desc()]
     last = last_k(rows.where(F.col(LOAN).isNotNull()).select(LOAN, CLIENT, "MONTHS_BALANCE", *values), LOAN, newest, 1)
     per_client = last.groupBy(CLIENT).agg(*[F.avg(c).alias(CARD_LAST[c]) for c in values])
-    return attach_children(base, [recent, per_client], CLIENT)
+    return attach_children(base, [per_client], CLIENT)
 
 
 # --- the joined table ---------------------------------------------------------------------------------

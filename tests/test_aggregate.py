@@ -258,3 +258,56 @@ def test_vocabularies_keep_every_category(spark):
     assert A.vocabularies(rows, ["kind", "name"], limit=40).keys() == {"kind"}
     with pytest.raises(ValueError, match="name"):
         A.vocabularies(rows, ["kind", "name"])
+
+
+def _odd_rows(spark):
+    rng = np.random.default_rng(12)
+    n = 3000
+    frame = pd.DataFrame({
+        "k": np.where(rng.random(n) < 0.3, 5, rng.integers(0, 200, n)),
+        "kind": rng.choice(["a", "b", "c"], n),
+        "w": rng.integers(-3, 4, n),
+    })
+    return spark.createDataFrame(frame).withColumns({
+        "k": F.when(F.col("k") != 3, F.col("k")),
+        "kind": F.when(F.col("kind") != "c", F.col("kind")),
+        "v": F.when(F.col("w") != 0, F.when(F.col("w") == 1, F.lit(-0.0)).when(F.col("w") == 2, F.lit(0.0)).otherwise(F.col("w") / 7)),
+    })
+
+
+@pytest.mark.parametrize("limit", [10**6, 100])
+def test_slices_of_gathered_rows_equal_those_of_copies(spark, limit):
+    """With and without keys above the limit; distinct counts, null conditions, keys in no subset."""
+    df = _odd_rows(spark)
+    spec = {"v": ["min", "max", "mean", "sum", "var", "std", "count", "nunique"], "w": ["sum", "mean", "nunique"], "k": ["size"]}
+    slices = {"A": F.col("kind") == "a", "TOP": F.col("w") > 2}
+    vocab = {"kind": ["a", "b"]}
+    want = A.slice_aggregate(df, "k", slices, [*A.build_aggs(spec), *A.share_aggs(vocab)], A._stat_names(spec, vocab, True))
+    got = A.sliced_stats(df.repartition(5), "k", slices, spec, vocab, limit=limit)
+    assert got.dtypes == want.dtypes
+    a, b = (x.toPandas().set_index("k").sort_index().astype(float) for x in (got, want))
+    assert a.index.tolist() == b.index.tolist() and len(a) > 150
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_slices_shuffle_rows_and_no_aggregates(spark):
+    """One exchange, below the only aggregate, which goes through sorted rows."""
+    df = _odd_rows(spark)
+    plan = A.sliced_stats(df, "k", {"A": F.col("kind") == "a"}, {"v": ["mean", "var"]})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Aggregate") == 1 == plan.count("SortAggregate")
+
+
+def test_hot_keys_are_found_by_bucket_and_by_key(spark):
+    rows = _odd_rows(spark)
+    want = {r["k"]: -(-r["count"] // 15) for r in rows.groupBy("k").count().where("count > 15").collect()}
+    assert {r["k"]: r["__parts"] for r in J.hot_keys(rows, ["k"], 15).collect()} == want and len(want) > 1
+
+
+@pytest.mark.parametrize("limit", [10**6, 40])
+def test_group_totals_of_missing_and_hot_keys(spark, limit):
+    df = _odd_rows(spark)
+    got = A.with_group_total(df, ["k", "kind"], "w", "t", limit)
+    totals = {(r["k"], r["kind"]): r["t"] for r in df.groupBy("k", "kind").agg(F.sum("w").alias("t")).collect()}
+    rows = got.collect()
+    assert got.columns == [*df.columns, "t"] and len(rows) == df.count()
+    assert all(r["t"] == (None if r["k"] is None or r["kind"] is None else totals[r["k"], r["kind"]]) for r in rows)

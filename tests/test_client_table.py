@@ -1,5 +1,7 @@
 """The applicant table on the supplied data and on partial inputs."""
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrisk.catalog.standins import standin
@@ -48,3 +50,18 @@ def test_late_means_after_the_due_day(spark):
     ).selectExpr("*", "100D AS AMT_INSTALMENT", "0D AS AMT_PAYMENT")
     got = [(r["DPD"], r["DBD"], r["LATE_PAYMENT"]) for r in P.instalment_measures(pay).collect()]
     assert got == [(None, None, 0), (5.0, 0.0, 1), (0.0, 5.0, 0)]
+
+
+@pytest.mark.parametrize("name", ["installments_payments", "credit_card_balance"])
+def test_clients_above_the_limit_get_the_same_features(spark, sf, name):
+    """Some clients are gathered by their rows, others (and a client without a number) are folded before the shuffle."""
+    rows = standin(spark, sf, name).withColumn("SK_ID_CURR", F.when(F.col("SK_ID_CURR") % 40 != 0, F.col("SK_ID_CURR")))
+    features = P.instalment_features if name == "installments_payments" else P.card_features
+    sizes = [r["count"] for r in rows.where("SK_ID_CURR IS NOT NULL").groupBy("SK_ID_CURR").count().collect()]
+    limit = sorted(sizes)[-4]
+    assert min(sizes) < limit < max(sizes)
+    want, got = features(rows), features(rows, limit=limit)
+    assert got.dtypes == want.dtypes
+    a, b = (x.toPandas().set_index("SK_ID_CURR").sort_index().astype(float) for x in (got, want))
+    assert a.index.tolist() == b.index.tolist() and len(a) == len(sizes)
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-9)
