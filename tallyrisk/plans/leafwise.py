@@ -41,7 +41,9 @@ MIN_ROWS = 20
 # Bins of a feature, 0 for missing values; a bin is one byte.
 BINS = 256
 # Trees between two writes of the scores; scores of later trees are added up from the bins.
-TREES_PER_WRITE = 20
+TREES_PER_WRITE = 5
+# The sums of at most this many tasks are added up by the driver (some 30 KB a node and task); those of more are shuffled.
+DIRECT_TASKS = 16
 
 
 @dataclass(frozen=True)
@@ -262,7 +264,7 @@ def gradients(y: np.ndarray, w: np.ndarray, score: np.ndarray, scale: float) ->
     return np.rint(w * (p - y) * scale).astype(np.int64), np.rint(w * p * (1 - p) * scale).astype(np.int64)
 
 
-def _pass(rows: DataFrame, n: int, recent: Sequence[Tree], growth: Growth, settings: Settings, seed: int) -> tuple[dict, int]:
+def _pass(rows: DataFrame, n: int, recent: Sequence[Tree], growth: Growth, settings: Settings, seed: int, direct: bool = False) -> tuple[dict, int]:
     """Sums of the wanted nodes, and the loss of the validation rows (in the same fractions)."""
     tree, wanted, scale = growth.tree, list(growth.wanted), growth.scale
 
@@ -281,10 +283,17 @@ def _pass(rows: DataFrame, n: int, recent: Sequence[Tree], growth: Growth, setti
             loss += int(np.rint(np.where(held, w * np.logaddexp(0, -margin), 0.0) * scale).astype(np.int64).sum())
             place = np.where(held | ~_kept(mix, seed, settings.row_share), -1, place_of[tree.node_of(bins)])
             total += node_sums(bins, place, len(wanted), g, h)
+        if direct:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([loss])], names=["sums", "loss"])
+            return
         cell = np.flatnonzero(total.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, -1)), pa.array(np.append(total.reshape(-1)[cell], loss))], names=["cell", "total"])
 
-    frame = rows.mapInArrow(run, "cell long, total long").groupBy("cell").agg(F.sum("total").alias("total")).toPandas()
+    if direct:
+        found = rows.mapInArrow(run, "sums binary, loss long").collect()
+        sums = sum((np.frombuffer(r["sums"], dtype=np.int64) for r in found), np.zeros(len(wanted) * 3 * n * BINS, dtype=np.int64))
+        return dict(zip(wanted, sums.reshape(len(wanted), 3, n, BINS))), sum(r["loss"] for r in found)
+    frame = rows.mapInArrow(run, "cell long, total long").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
     cells, totals = frame["cell"].to_numpy(), frame["total"].to_numpy()
     sums = np.zeros((len(wanted), 3, n, BINS), dtype=np.int64)
     sums.reshape(-1)[cells[cells >= 0]] = totals[cells >= 0]
@@ -384,13 +393,14 @@ def fit_leafwise(
     scale = 2.0 ** math.floor(62 - math.log2(size["n"] * size["w"] * 64))
     scale = min(scale, 2.0**40)
     rows = settle(rows.withColumn("score", F.lit(base)))
+    direct = rows.rdd.getNumPartitions() <= DIRECT_TASKS
     trees, recent, losses, best = [], [], [], (math.inf, 0)
     for i in range(settings.rounds):
         rng = random.Random(settings.seed * 1_000_003 + i)
         allowed = sorted(rng.sample(range(n), max(1, round(settings.column_share * n))))
         growth = Growth(settings, allowed, scale)
         while growth.wanted:
-            found, loss = _pass(rows, n, recent, growth, settings, settings.seed + i)
+            found, loss = _pass(rows, n, recent, growth, settings, settings.seed + i, direct)
             if len(losses) == i:
                 losses.append(loss / scale)
             growth.take(found)

@@ -133,3 +133,11 @@ def test_odd_rows(spark):
     scored = model.transform(mixed.withColumn("__y", F.lit("kept")))
     assert scored.count() == 50 and scored.columns == [*mixed.columns, "__y", "probability_1"]
     assert scored.where("id > 26").agg(F.min("probability_1")).first()[0] > scored.where("id < 25").agg(F.max("probability_1")).first()[0]
+
+
+def test_sums_of_many_tasks_are_shuffled_to_the_same_trees(spark, monkeypatch):
+    df, s = spark_rows(spark, rows(900, 5), 4), G.Settings(rounds=3, leaves=5, step=0.3)
+    few = G.fit_leafwise(df, FEATURES, settings=s)
+    monkeypatch.setattr(G, "DIRECT_TASKS", 0)
+    many = G.fit_leafwise(df, FEATURES, settings=s)
+    assert few.trees == many.trees and few.losses == many.losses and len(few.trees) == 3
