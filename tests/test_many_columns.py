@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tallyrisk.operators import clean as C, running as R, selection as S
+from tallyrisk.plans import fitted as L
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,33 @@ def test_aligned_values(spark):
     df = spark.createDataFrame([(1, None, "2.5", None), (2, 3, "x", 1.0)], "id INT, a INT, b STRING, `c.d` DOUBLE")
     rows = C.align(df, ["a", "b", "c.d", "gone"], {"a": 1e-7, "b": -1e300, "c.d": float("inf"), "gone": 4.0}, ["id"]).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, 1e-7, 2.5, float("inf"), 4.0), (2, 3.0, -1e300, 1.0, 4.0)]
+
+
+def test_small_tables_are_looked_up_like_joins(spark, monkeypatch):
+    """Odd texts, a null, an unknown value and statistics that are null or have many digits; the same from joins when there are many."""
+    odd = ["a'b", 'q"\\', "", "é\n", None, "once"]
+    rows = [(i, i % 2, odd[i % 5] if i else "once", 1e9 / (i + 3)) for i in range(40)]
+    train = spark.createDataFrame(rows, "SK_ID_CURR INT, TARGET INT, CODE_GENDER STRING, AMT_INCOME_TOTAL DOUBLE")
+    others = train.unionByName(spark.createDataFrame([(99, None, "new", 1.0)], train.schema))
+    model = L.ApplicantEncoder(groups=["CODE_GENDER"]).fit(train)
+    literal = model.transform(others)
+    monkeypatch.setattr(L, "MAX_CATEGORIES", 1)
+    joined = model.transform(others)
+    assert literal.columns == joined.columns and literal.dtypes == joined.dtypes
+    assert sorted(literal.collect()) == sorted(joined.collect())
+    assert {r["CODE_GENDER"]: r["CODE_GENDER_CODE"] for r in literal.collect()} == {"": 0, None: 1, "a'b": 2, "once": 3, 'q"\\': 4, "é\n": 5, "new": -1}
+    assert literal._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_folds_side_by_side_give_the_same_scores(spark, tmp_path):
+    rows = spark.range(90).selectExpr("CAST(id AS INT) SK_ID_CURR", "IF(id < 80, CAST(id % 2 AS INT), NULL) TARGET", "IF(id % 3 = 0, 'x', 'y') KIND", "CAST(id * 7 % 31 AS DOUBLE) N")
+    forest = RandomForestClassifier(featuresCol=L.FEATURES, labelCol="TARGET", weightCol=L.WEIGHT, numTrees=3, seed=42)
+    found = [sorted(map(tuple, L.train_on_applicants(forest, rows, "SK_ID_CURR", 3, str(tmp_path / f"p{n}"), parallelism=n).collect()), key=str) for n in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) == 90
+
+
+def test_a_fold_that_fails_is_reported(spark, tmp_path):
+    rows = spark.range(20).selectExpr("CAST(id AS INT) SK_ID_CURR", "CAST(id % 2 AS INT) TARGET", "CAST(id AS DOUBLE) N")
+    forest = RandomForestClassifier(featuresCol="nowhere", labelCol="TARGET")
+    with pytest.raises(Exception, match="nowhere"):
+        L.train_on_applicants(forest, rows, "SK_ID_CURR", 2, str(tmp_path / "failed"))
