@@ -1,7 +1,7 @@
 """Gradient-boosted trees that grow leaf by leaf, from histograms of gradients.
 
-Features are cut into bins once; a row carries one byte per feature, its label, its weight and the score of the trees that are written.
-A pass over the rows sums gradients, curvatures and counts per (node, feature, bin): rows of a task are summed before
+Features are cut into bins once; rows are kept in chunks of columns: one byte per feature, label, weight and the score of the trees that
+are written. A pass over the rows sums gradients, curvatures and counts per (node, feature, bin): rows of a task are summed before
 they are shuffled, and what reaches the driver is bounded by leaves x features x bins, whatever the number of rows. Of
 two children the smaller one is summed, the other is the parent less it. The leaf with the largest gain is split next. To
 need few passes, a pass sums the children of all leaves that may still be split, and the driver then splits
@@ -20,14 +20,16 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import pickle
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyrisk.session import settle
+from tallyrisk.session import settle, shared_dir
 
 # The settings of the boosted model.
 LEAVES = 34
@@ -42,8 +44,13 @@ MIN_ROWS = 20
 BINS = 256
 # Trees between two writes of the scores; scores of later trees are added up from the bins.
 TREES_PER_WRITE = 5
+# Every so many trees the rows are also written to disk; in between, rows that are lost are made again from there.
+TREES_PER_CHECKPOINT = 20
 # The sums of at most this many tasks are added up by the driver (some 30 KB a node and task); those of more are shuffled.
 DIRECT_TASKS = 16
+# Rows of a chunk, which a task holds at a time, and the most rows that a task goes through.
+CHUNK_ROWS = 65_536
+TASK_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -83,17 +90,62 @@ class Tree:
 
     def node_of(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
-        feature, cut, missing, left, right = (np.array(x) for x in (self.feature, self.cut, self.missing_left, self.left, self.right))
-        node, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
-        while len(rows):
-            rows = rows[feature[node[rows]] >= 0]
-            at = node[rows]
-            value = bins[rows, feature[at]]
-            node[rows] = np.where(np.where(value == 0, missing[at], value <= cut[at]), left[at], right[at])
-        return node
+        return Finder(self).node_of(bins)
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.node_of(bins)]
+        return Finder(self).scores(bins)
+
+
+class Finder:
+    """Finds the leaves of rows without walking down the tree. Leaves are bits, from left to right; for each feature and bin a table
+    has the leaves that no node on this feature rules out (a row that goes right is in no leaf to the left). What is left by all features
+    is looked at from the left: its first leaf is that of the row."""
+
+    def __init__(self, tree: Tree):
+        order, span = [], {}  # leaves from left to right; the places of the leaves below a node
+        stack = [(0, False)]
+        while stack:
+            node, done = stack.pop()
+            if tree.feature[node] < 0:
+                span[node] = (len(order), len(order) + 1)
+                order.append(node)
+            elif done:
+                span[node] = (span[tree.left[node]][0], span[tree.right[node]][1])
+            else:
+                stack += [(node, True), (tree.right[node], False), (tree.left[node], False)]
+        self.leaves, self.values = np.array(order), np.array(tree.value)[order]
+        self.words = -(-len(order) // 64)
+        self.tables: dict[int, np.ndarray] = {}
+        for node, feature in enumerate(tree.feature):
+            if feature < 0 or node not in span:
+                continue
+            own = self.tables.setdefault(feature, np.full((self.words, BINS), np.uint64(2**64 - 1)))
+            first, end = span[tree.left[node]]
+            right = slice(tree.cut[node] + 1, BINS)
+            for k in range(first // 64, -(-end // 64)):
+                bits = np.uint64(2**64 - 1 - sum(1 << i - 64 * k for i in range(max(first, 64 * k), min(end, 64 * k + 64))))
+                own[k, right] &= bits
+                if not tree.missing_left[node]:
+                    own[k, 0] &= bits
+
+    def place_of(self, bins: np.ndarray) -> np.ndarray:
+        """The place of each row's leaf among the leaves."""
+        found = np.zeros(len(bins), dtype=np.int64)
+        for k in reversed(range(self.words if self.tables else 0)):
+            left = None
+            for feature, own in self.tables.items():
+                here = own[k][bins[:, feature]]
+                left = here if left is None else np.bitwise_and(left, here, out=left)
+            lowest = left & (~left + np.uint64(1))
+            place = (lowest.astype(np.float64).view(np.int64) >> 52) - 1023 + 64 * k  # the exponent of a power of two
+            found = np.where(left != 0, place, found) if self.words > 1 else place
+        return found
+
+    def node_of(self, bins: np.ndarray) -> np.ndarray:
+        return self.leaves[self.place_of(bins)]
+
+    def scores(self, bins: np.ndarray) -> np.ndarray:
+        return self.values[self.place_of(bins)]
 
 
 # --- bins ------------------------------------------------------------------------------------------------
@@ -124,15 +176,48 @@ def _feature_array(features: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in features])
 
 
-def _binned(df: DataFrame, features: Sequence[str], edges: Sequence[np.ndarray], columns: Sequence[Column]) -> DataFrame:
+@dataclass
+class Chunk:
+    """Some rows as columns."""
+
+    bins: np.ndarray  # a row per feature
+    y: np.ndarray
+    w: np.ndarray
+    held: np.ndarray
+    mix: np.ndarray
+    score: np.ndarray | None = None
+
+
+def _chunks(df: DataFrame, features: Sequence[str], edges: Sequence[np.ndarray], columns: Sequence[Column]) -> RDD:
+    """The rows in bins, in chunks; ``columns`` are y, w, held and mix."""
     n = len(features)
 
+    def packed(parts: Sequence[tuple]) -> pa.RecordBatch:
+        bins, y, w, held, mix = (np.concatenate(x) for x in zip(*parts))
+        chunk = Chunk(np.ascontiguousarray(bins.T), y, w, held, mix)
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chunk)], pa.binary())], names=["chunk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            packed = bins_of(_doubles(batch.column(0), n), edges)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary()), *batch.columns[1:]], names=["bins", "y", "w", "held", "mix", "score"])
+            if not batch.num_rows:
+                continue
+            if size + batch.num_rows > CHUNK_ROWS and parts:
+                yield packed(parts)
+                parts, size = [], 0
+            y, w, held, mix = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            parts.append((bins_of(_doubles(batch.column(0), n), edges), y.astype(np.int8), w, held.astype(bool), mix))
+            size += batch.num_rows
+        if parts:
+            yield packed(parts)
+
+    rows = settle(df.select(_feature_array(features).alias("x"), *columns).mapInArrow(run, "chunk binary"))
+    return rows.rdd.map(lambda r: pickle.loads(r["chunk"]))
+
 
-    return df.select(_feature_array(features).alias("x"), *columns).mapInArrow(run, "bins binary, y double, w double, held boolean, mix long, score double")
+def _class_sums(chunk: Chunk) -> tuple[int, float, float, float]:
+    """Rows, largest weight, and the weights of each class of the rows that are learnt from."""
+    return len(chunk.y), float(np.nanmax(chunk.w)), *(float(np.nansum(chunk.w[~chunk.held & (chunk.y == c)])) for c in (0, 1))
 
 
 # --- one tree ----------------------------------------------------------------------------------------------
@@ -246,16 +331,27 @@ def _kept(mix: np.ndarray, seed: int, share: float) -> np.ndarray:
     return (x ^ x >> np.uint64(31)) < np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
 
 
-def node_sums(bins: np.ndarray, place: np.ndarray, n_places: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(places, 3, features, BINS) sums of whole numbers; rows with place -1 are left out."""
-    used = place >= 0
-    bins, place, g, h = bins[used].astype(np.int64), place[used], g[used], h[used]
-    out = np.zeros((n_places, 3, bins.shape[1], BINS), dtype=np.int64)
-    flat = out.reshape(-1)
-    for j in range(bins.shape[1]):
-        cell = (place * 3 * bins.shape[1] + j) * BINS + bins[:, j]
-        for part, values in enumerate((g, h, 1)):
-            np.add.at(flat, cell + part * bins.shape[1] * BINS, values)
+def _totals(cell: np.ndarray, parts: Sequence[tuple[np.ndarray, int]], size: int) -> np.ndarray:
+    """Sums of whole numbers per cell; ``parts`` are doubles that add up to them, with the power of two that each is short of."""
+    return sum(np.bincount(cell, values, size).astype(np.int64) << power for values, power in parts)
+
+
+def _exact_parts(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers as doubles whose sums are exact: as they are if no sum can reach 2^53, or cut in two at 26 bits."""
+    if float(np.abs(values).max(initial=0)) * len(values) < 2.0**53:
+        return [(values.astype(np.float64), 0)]
+    return [((values >> 26).astype(np.float64), 26), ((values & (1 << 26) - 1).astype(np.float64), 0)]
+
+
+def node_sums(bins: np.ndarray, place: np.ndarray, n_places: int, g: np.ndarray, h: np.ndarray, allowed: Sequence[int] | None = None) -> np.ndarray:
+    """(places, 3, features, BINS) sums of whole numbers, below 2^62 in all, over at most a chunk of rows (of features); those of the allowed features."""
+    out = np.zeros((n_places, 3, len(bins), BINS), dtype=np.int64)
+    parts, first = [_exact_parts(g), _exact_parts(h)], place * BINS
+    for j in range(len(bins)) if allowed is None else allowed:
+        cell = first + bins[j]
+        for part, own in enumerate(parts):
+            out[:, part, j] = _totals(cell, own, n_places * BINS).reshape(n_places, BINS)
+        out[:, 2, j] = np.bincount(cell, minlength=n_places * BINS).reshape(n_places, BINS)
     return out
 
 
@@ -264,52 +360,65 @@ def gradients(y: np.ndarray, w: np.ndarray, score: np.ndarray, scale: float) ->
     return np.rint(w * (p - y) * scale).astype(np.int64), np.rint(w * p * (1 - p) * scale).astype(np.int64)
 
 
-def _pass(rows: DataFrame, n: int, recent: Sequence[Tree], growth: Growth, settings: Settings, seed: int, direct: bool = False) -> tuple[dict, int]:
-    """Sums of the wanted nodes, and the loss of the validation rows (in the same fractions)."""
-    tree, wanted, scale = growth.tree, list(growth.wanted), growth.scale
+def _scored(score: np.ndarray, bins: np.ndarray, recent: Sequence[Finder]) -> np.ndarray:
+    return score + sum((t.scores(bins) for t in recent), np.zeros(len(score)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pass(rows: RDD, n: int, recent: Sequence[Tree], growth: Growth, settings: Settings, seed: int, judged: bool) -> tuple[dict, int]:
+    """Sums of the wanted nodes, and, if asked for, the loss of the validation rows (in the same fractions)."""
+    tree, wanted, scale, allowed = growth.tree, list(growth.wanted), growth.scale, growth.allowed
+
+    def run(chunks: Iterator[Chunk]) -> Iterator[tuple[np.ndarray, int]]:
         total, loss = np.zeros((len(wanted), 3, n, BINS), dtype=np.int64), 0
+        written, finder = [Finder(t) for t in recent], Finder(tree)
         place_of = np.full(len(tree.feature), -1)
         place_of[wanted] = np.arange(len(wanted))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, n)
-            y, w, held, mix, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-            score = score + sum((t.scores(bins) for t in recent), np.zeros(len(y)))
-            g, h = gradients(y, w, score, scale)
-            margin = np.where(y == 1, score, -score)
-            loss += int(np.rint(np.where(held, w * np.logaddexp(0, -margin), 0.0) * scale).astype(np.int64).sum())
-            place = np.where(held | ~_kept(mix, seed, settings.row_share), -1, place_of[tree.node_of(bins)])
-            total += node_sums(bins, place, len(wanted), g, h)
-        if direct:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([loss])], names=["sums", "loss"])
-            return
-        cell = np.flatnonzero(total.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, -1)), pa.array(np.append(total.reshape(-1)[cell], loss))], names=["cell", "total"])
-
-    if direct:
-        found = rows.mapInArrow(run, "sums binary, loss long").collect()
-        sums = sum((np.frombuffer(r["sums"], dtype=np.int64) for r in found), np.zeros(len(wanted) * 3 * n * BINS, dtype=np.int64))
-        return dict(zip(wanted, sums.reshape(len(wanted), 3, n, BINS))), sum(r["loss"] for r in found)
-    frame = rows.mapInArrow(run, "cell long, total long").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
-    cells, totals = frame["cell"].to_numpy(), frame["total"].to_numpy()
-    sums = np.zeros((len(wanted), 3, n, BINS), dtype=np.int64)
-    sums.reshape(-1)[cells[cells >= 0]] = totals[cells >= 0]
-    return dict(zip(wanted, sums)), int(totals[cells < 0].sum())
-
-
-def _advanced(rows: DataFrame, trees: Sequence[Tree], n: int) -> DataFrame:
-    """The rows with the scores of some trees added, written down."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, n)
-            score = batch.column(5).to_numpy(zero_copy_only=False) + sum((t.scores(bins) for t in trees), np.zeros(len(bins)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], names=batch.schema.names)
-
-    return settle(rows.mapInArrow(run, rows.schema))
+        place_of = place_of[finder.leaves]
+        for c in chunks:
+            if judged and c.held.any():
+                score = _scored(c.score[c.held], c.bins.T[c.held], written)
+                margin = np.where(c.y[c.held] == 1, score, -score)
+                loss += int(np.rint(c.w[c.held] * np.logaddexp(0, -margin) * scale).astype(np.int64).sum())
+            place = place_of[finder.place_of(c.bins.T)]
+            used = np.flatnonzero((place >= 0) & ~c.held)
+            used = used[_kept(c.mix[used], seed, settings.row_share)]
+            bins = c.bins[:, used]
+            g, h = gradients(c.y[used], c.w[used], _scored(c.score[used], bins.T, written), scale)
+            total += node_sums(bins, place[used], len(wanted), g, h, allowed)
+        yield total, loss
+
+    def added(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+        return a[0] + b[0], a[1] + b[1]
+
+    found = rows.mapPartitions(run)
+    if rows.getNumPartitions() <= DIRECT_TASKS:
+        parts = found.collect()
+        sums, loss = sum(p[0] for p in parts), sum(p[1] for p in parts)
+    else:
+        sums, loss = found.treeReduce(added)
+    return dict(zip(wanted, sums)), loss
+
+
+def _advanced(rows: RDD, trees: Sequence[Tree], stored: bool) -> RDD:
+    """The rows with the scores of some trees added."""
+
+    def run(chunks: Iterator[Chunk]) -> Iterator[Chunk]:
+        finders = [Finder(t) for t in trees]
+        for c in chunks:
+            yield Chunk(c.bins, c.y, c.w, c.held, c.mix, _scored(c.score, c.bins.T, finders))
+
+    return _held(rows.mapPartitions(run), stored, rows)
+
+
+def _held(rows: RDD, stored: bool, before: RDD | None = None) -> RDD:
+    """The rows held by the executors, and in a checkpoint if they are to be stored; those before them are let go."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    if stored:
+        rows.checkpoint()
+    rows.count()
+    if before is not None:
+        before.unpersist()
+    return rows
 
 
 # --- the model -----------------------------------------------------------------------------------------------
@@ -329,9 +438,10 @@ class LeafwiseModel:
         schema = df.select("*", F.lit(0.0).alias(name)).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finders = [Finder(t) for t in self.trees]
             for batch in batches:
-                bins = bins_of(_doubles(batch.column(spot), n), self.edges)
-                score = self.base + sum((t.scores(bins) for t in self.trees), np.zeros(len(bins)))
+                bins = np.asfortranarray(bins_of(_doubles(batch.column(spot), n), self.edges))
+                score = self.base + sum((t.scores(bins) for t in finders), np.zeros(len(bins)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:spot], pa.array(1.0 / (1.0 + np.exp(-np.clip(score, -700, 700))))], names=schema.names)
 
         return df.select("*", _feature_array(self.features).alias("__x")).mapInArrow(run, schema)
@@ -382,25 +492,30 @@ def fit_leafwise(
     edges = fit_edges(usable.where(~held), features)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     mix = F.xxhash64(*[F.col(f"`{c}`") for c in features], F.col(label), F.lit(settings.seed))
-    columns = [F.col(label).cast("double").alias("y"), w.alias("w"), held.alias("held"), mix.alias("mix"), F.lit(0.0).alias("score")]
-    rows = settle(_binned(usable, features, edges, columns))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), *[F.sum(F.when(~F.col("held") & (F.col("y") == c), F.col("w"))).alias(f"w{c}") for c in (0, 1)]).first()
-    if not size["w0"] or not size["w1"]:
-        share = ((size["w1"] or 0.0) + 1) / ((size["w0"] or 0.0) + (size["w1"] or 0.0) + 2)
+    columns = [F.col(label).cast("double").alias("y"), w.alias("w"), held.alias("held"), mix.alias("mix")]
+    shared_dir(df.sparkSession)
+    chunks = _chunks(usable, features, edges, columns)
+    sizes = chunks.map(_class_sums).collect()
+    size, (w0, w1) = sum(s[0] for s in sizes), (math.fsum(s[i] for s in sizes) for i in (2, 3))
+    if not w0 or not w1:
+        share = (w1 + 1) / (w0 + w1 + 2)
         return LeafwiseModel(features, edges, math.log(share / (1 - share)), [])
-    base = math.log(size["w1"] / size["w0"])
+    base = math.log(w1 / w0)
     # The largest sum stays below 2^62; a score is at most 40 from a row's label in effect.
-    scale = 2.0 ** math.floor(62 - math.log2(size["n"] * size["w"] * 64))
+    scale = 2.0 ** math.floor(62 - math.log2(size * max(s[1] for s in sizes) * 64))
     scale = min(scale, 2.0**40)
-    rows = settle(rows.withColumn("score", F.lit(base)))
-    direct = rows.rdd.getNumPartitions() <= DIRECT_TASKS
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(cores * max(1, DIRECT_TASKS // cores), -(-size // TASK_ROWS))
+    if chunks.getNumPartitions() > tasks:
+        chunks = chunks.coalesce(tasks)
+    rows = _held(chunks.map(lambda c: Chunk(c.bins, c.y, c.w, c.held, c.mix, np.full(len(c.y), base))), True)
     trees, recent, losses, best = [], [], [], (math.inf, 0)
     for i in range(settings.rounds):
         rng = random.Random(settings.seed * 1_000_003 + i)
         allowed = sorted(rng.sample(range(n), max(1, round(settings.column_share * n))))
         growth = Growth(settings, allowed, scale)
         while growth.wanted:
-            found, loss = _pass(rows, n, recent, growth, settings, settings.seed + i, direct)
+            found, loss = _pass(rows, n, recent, growth, settings, settings.seed + i, len(losses) == i)
             if len(losses) == i:
                 losses.append(loss / scale)
             growth.take(found)
@@ -411,7 +526,8 @@ def fit_leafwise(
         trees.append(growth.tree)
         recent.append(growth.tree)
         if len(recent) == TREES_PER_WRITE:
-            rows, recent = _advanced(rows, recent, n), []
+            rows, recent = _advanced(rows, recent, len(trees) % TREES_PER_CHECKPOINT == 0), []
+    rows.unpersist()
     if validation and settings.patience:
         trees = trees[: best[1]]  # the loss of a place is that of the trees before it
     return LeafwiseModel(features, edges, base, trees, losses)

@@ -141,3 +141,62 @@ def test_sums_of_many_tasks_are_shuffled_to_the_same_trees(spark, monkeypatch):
     monkeypatch.setattr(G, "DIRECT_TASKS", 0)
     many = G.fit_leafwise(df, FEATURES, settings=s)
     assert few.trees == many.trees and few.losses == many.losses and len(few.trees) == 3
+
+
+def _random_tree(rng, leaves, features):
+    tree = G.Tree()
+    ends = [tree.add()]
+    while len(ends) < leaves:
+        node = ends.pop(rng.integers(len(ends)))
+        left, right = tree.add(), tree.add()
+        tree.split(node, int(rng.integers(features)), int(rng.integers(1, G.BINS)), bool(rng.integers(2)), left, right)
+        ends += [left, right]
+    tree.value = [float(v) for v in rng.normal(size=len(tree.feature))]
+    return tree
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 34, 64, 65, 200])
+def test_leaves_are_found_without_walking_down(leaves):
+    rng = np.random.default_rng(leaves)
+    tree = _random_tree(rng, leaves, 4)
+    bins = rng.integers(0, G.BINS, (500, 4)).astype(np.uint8)
+    bins[rng.random((500, 4)) < 0.2] = 0
+    for row, found in zip(bins, G.Finder(tree).node_of(bins)):
+        node = 0
+        while tree.feature[node] >= 0:
+            value = row[tree.feature[node]]
+            node = (tree.left if (tree.missing_left[node] if value == 0 else value <= tree.cut[node]) else tree.right)[node]
+        assert found == node
+    assert np.array_equal(tree.scores(bins), np.array(tree.value)[tree.node_of(bins)])
+
+
+@pytest.mark.parametrize("top", [1 << 20, 1 << 50, 1 << 58])
+def test_sums_are_exact(top):
+    rng = np.random.default_rng(7)
+    bins, place = rng.integers(0, G.BINS, (2, 3000)).astype(np.uint8), rng.integers(0, 2, 3000)
+    bins[0] = 5
+    g, h = (rng.integers(-top, top, 3000) // 3000 * 2 + 1 for _ in range(2))
+    sums = G.node_sums(bins, place, 2, g, h)
+    for p in range(2):
+        assert [int(x) for x in sums[p, :, 0, 5]] == [sum(int(v) for v in g[place == p]), sum(int(v) for v in h[place == p]), int((place == p).sum())]
+    assert sums[:, :, 1].sum() == sums[:, :, 0].sum()
+    assert not G.node_sums(bins, place, 2, g, h, [1])[:, :, 0].any()
+
+
+def test_rows_are_kept_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK_ROWS", 100)
+    frame = rows(700, 8)
+    df = spark_rows(spark, frame, 2)
+    edges = G.fit_edges(df, FEATURES)
+    columns = [F.col("label").cast("double").alias("y"), F.lit(1.5).alias("w"), (F.col("id") < 50).alias("held"), F.col("id").cast("long").alias("mix")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        chunks = G._chunks(df, FEATURES, edges, columns).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(len(c.y) for c in chunks) <= 100 and len(chunks) <= 12
+    ids = np.concatenate([c.mix for c in chunks])
+    order = np.argsort(ids)
+    assert np.array_equal(ids[order], frame.id) and np.array_equal(np.concatenate([c.y for c in chunks])[order], frame.label)
+    assert np.array_equal(np.concatenate([c.bins.T for c in chunks])[order], G.bins_of(frame[FEATURES].to_numpy(), edges))
+    assert sum(c.held.sum() for c in chunks) == 50
