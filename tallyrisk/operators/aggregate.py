@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyrisk.functions.scalar import clean_name
@@ -180,16 +182,21 @@ def sliced_stats(
     vocab = vocab or {}
     if folded and all(stat in MERGED for stats in spec.values() for stat in stats):
         return folded_stats(df, key, slices, spec, vocab, with_null)
+    # Known before the rows are: the rows that are folded have the same columns.
+    columnwise = len(slices) * len(_stat_names(spec, vocab, with_null)) >= WIDE and foldable(df, key, spec)
 
     def fold(rows: DataFrame) -> DataFrame:
         marked, aggs = slice_columns(rows, slices, spec, vocab, with_null)
-        return at_least_one(marked, slices).groupBy(key).agg(*aggs)
+        inside = at_least_one(marked, slices)
+        if columnwise:
+            return fold_columns(inside, key, len(slices), spec, sum(len(v) + with_null for v in vocab.values()), inside.groupBy(key).agg(*aggs).schema)
+        return inside.groupBy(key).agg(*aggs)
 
     def spread(rows: DataFrame) -> DataFrame:
         aggs = [*build_aggs(spec), *share_aggs(vocab, with_null=with_null)]
         return slice_aggregate(rows, key, slices, aggs, _stat_names(spec, vocab, with_null))
 
-    return fold_by_key(df, key, fold, spread, counted=counted, limit=limit)
+    return fold_by_key(df, key, fold, spread, counted=counted, limit=min(limit, COLUMN_ROWS) if columnwise else limit)
 
 
 def _inside(i: int) -> str:
@@ -244,6 +251,100 @@ def _stat_names(spec: Spec, vocab: Mapping[str, Sequence[str]], with_null: bool)
     return names
 
 
+# From so many aggregates a key on, rows are folded a column at a time, and a key may have so many rows there.
+WIDE = 100
+COLUMN_ROWS = 500_000
+# What ``fold_columns`` can take: statistics, and types of columns and of the key.
+_FOLDED = {"min", "max", "mean", "sum", "var", "count", "size"}
+_FOLDED_TYPES = (T.DoubleType, T.LongType, T.IntegerType)
+
+
+def foldable(df: DataFrame, key: str, spec: Spec) -> bool:
+    kinds = [df.schema[c].dataType for c in [key, *spec]]
+    return all(isinstance(k, _FOLDED_TYPES) for k in kinds) and not isinstance(kinds[0], T.DoubleType) and all(s in _FOLDED for own in spec.values() for s in own)
+
+
+def fold_columns(marked: DataFrame, key: str, n_slices: int, spec: Spec, n_shares: int, schema: T.StructType) -> DataFrame:
+    """The aggregates of ``slice_columns`` over rows that are sorted by key, a column at a time: hundreds of aggregates a row are
+    more code than a core's cache holds. Rows of the last key of a batch wait for the next batch."""
+    flags, shares = [_inside(i) for i in range(n_slices)], [f"__is{j}" for j in range(n_shares)]
+    columns, kinds = list(spec), [pa_type(f.dataType) for f in schema.fields]
+
+    def folded(table: pa.Table) -> pa.RecordBatch:
+        keys = table.column(0).to_numpy()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        lengths = np.diff(np.append(starts, len(keys)))
+        values = []
+        for i in range(1 + n_slices, len(table.columns)):
+            own = table.column(i).combine_chunks()
+            known = own.is_valid().to_numpy(zero_copy_only=False)
+            values.append((own.fill_null(0).to_numpy(zero_copy_only=False), None if known.all() else known))
+        out: list[tuple[np.ndarray, np.ndarray | None]] = [(keys[starts], None)]
+        with np.errstate(all="ignore"):
+            for i in range(n_slices):
+                inside = table.column(1 + i).to_numpy()
+                size = np.add.reduceat(inside, starts, dtype=np.int64)
+                for (value, known), stats in zip(values, spec.values()):
+                    used = inside if known is None else inside & known
+                    out += [_folded(value, used, stat, starts, lengths, size) for stat in stats]
+                for value, _ in values[len(columns) :]:
+                    out.append((np.add.reduceat(np.where(inside, value, 0.0), starts) / size, size == 0))
+        arrays = [pa.array(v, mask=missing).cast(kind) for (v, missing), kind in zip(out, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            if waiting and waiting[-1].column(0)[0].as_py() == last:
+                waiting.append(batch)
+                continue
+            first = int(np.argmax(batch.column(0).to_numpy(zero_copy_only=False) == last))
+            whole = [b for b in (*waiting, batch.slice(0, first)) if b.num_rows]
+            if whole:
+                yield folded(pa.Table.from_batches(whole))
+            waiting = [batch.slice(first)]
+        if waiting:
+            yield folded(pa.Table.from_batches(waiting))
+
+    cells = [f"`{c}`" for c in (key, *flags, *columns, *shares)]
+    return marked.selectExpr(*cells).mapInArrow(run, schema)
+
+
+def pa_type(kind: T.DataType) -> pa.DataType:
+    return {T.DoubleType: pa.float64(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}[type(kind)]
+
+
+def _folded(value: np.ndarray, used: np.ndarray, stat: str, starts: np.ndarray, lengths: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """One statistic per key, and where it is missing. NaN is the largest value, as in SQL."""
+    if stat == "size":
+        return size, size == 0
+    n = np.add.reduceat(used, starts, dtype=np.int64)
+    if stat == "count":
+        return n, size == 0
+    if stat in ("min", "max"):
+        if value.dtype.kind == "f":
+            low = stat == "min"
+            fold = np.fmin if low else np.maximum
+            return fold.reduceat(np.where(used, value, np.nan if low else -np.inf), starts), n == 0
+        ends, fold = np.iinfo(value.dtype), np.minimum if stat == "min" else np.maximum
+        return fold.reduceat(np.where(used, value, ends.max if stat == "min" else ends.min), starts), n == 0
+    if stat == "sum":
+        near = np.add.reduceat(np.where(used, value, 0).astype(np.float64, copy=False), starts)
+        if value.dtype.kind == "f":
+            return near, size == 0
+        if (np.abs(near) >= 2.0**63).any():
+            raise OverflowError("a sum of whole numbers is beyond 64 bits")
+        return np.add.reduceat(np.where(used, value, 0).astype(np.int64, copy=False), starts), size == 0
+    mean = np.add.reduceat(np.where(used, value, 0).astype(np.float64, copy=False), starts) / n
+    if stat == "mean":
+        return mean, n == 0
+    off = np.where(used, value - np.repeat(mean, lengths), 0.0)
+    return np.add.reduceat(off * off, starts) / (n - 1), n < 2
+
+
 # Statistics of overlapping subsets that follow from those of disjoint cells, from the merged parts of column i.
 MERGED = {
     "min": "__low{i}",

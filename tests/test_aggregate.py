@@ -311,3 +311,38 @@ def test_group_totals_of_missing_and_hot_keys(spark, limit):
     rows = got.collect()
     assert got.columns == [*df.columns, "t"] and len(rows) == df.count()
     assert all(r["t"] == (None if r["k"] is None or r["kind"] is None else totals[r["k"], r["kind"]]) for r in rows)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_wide_slices_are_folded_a_column_at_a_time(spark, monkeypatch, batch):
+    """Over odd rows, with keys that lie in several batches; the same as one aggregate per statistic."""
+    rows = []
+    for i in range(240):
+        odd = {0: None, 1: float("nan"), 2: float("inf"), 3: -0.0}.get(i % 29)
+        rows.append((None if i % 31 == 0 else i % 7 if i < 200 else i, "abcd"[i % 4] if i % 5 else None, float(i * 37 % 101) if i % 29 > 3 else odd, None if i % 3 == 0 or i % 7 == 2 else i - 100, i * 2**40))
+    df = spark.createDataFrame(rows, "k LONG, kind STRING, v DOUBLE, n INT, big LONG")
+    slices = {"ALL": F.lit(True), "A": F.col("kind") == "a", "LATE": F.col("n") > 60, "NONE": F.col("kind") == "z"}
+    spec = {"v": ["min", "max", "mean", "sum", "var", "count", "size"], "n": ["min", "max", "mean", "sum", "var"], "big": ["sum", "max", "min"]}
+    vocab = {"kind": ["a", "b"]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = {}
+        for wide in (0, 10_000):
+            monkeypatch.setattr(A, "WIDE", wide)
+            got = A.sliced_stats(df, "k", slices, spec, vocab)
+            assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (wide == 0)
+            found[wide] = got.schema.simpleString(), {r["k"]: r for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (names, mine), (other_names, plain) = found[0], found[10_000]
+    assert names == other_names and mine.keys() == plain.keys() and len(mine) > 40
+    for k, row in plain.items():
+        assert [v is None for v in mine[k]] == [v is None for v in row], k
+        assert [v for v in mine[k] if v is not None] == pytest.approx([v for v in row if v is not None], rel=1e-9, abs=1e-9, nan_ok=True), k
+
+
+def test_whole_numbers_that_sum_too_high_are_an_error():
+    value, starts = np.array([2**62, 2**62, 5]), np.array([0, 2])
+    with pytest.raises(OverflowError):
+        A._folded(value, np.ones(3, bool), "sum", starts, np.array([2, 1]), np.array([2, 1]))
+    assert A._folded(value[1:], np.ones(2, bool), "sum", np.array([0]), np.array([2]), np.array([2]))[0].tolist() == [2**62 + 5]
