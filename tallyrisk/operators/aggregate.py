@@ -332,17 +332,22 @@ def _folded(value: np.ndarray, used: np.ndarray, stat: str, starts: np.ndarray,
         ends, fold = np.iinfo(value.dtype), np.minimum if stat == "min" else np.maximum
         return fold.reduceat(np.where(used, value, ends.max if stat == "min" else ends.min), starts), n == 0
     if stat == "sum":
-        near = np.add.reduceat(np.where(used, value, 0).astype(np.float64, copy=False), starts)
+        near = _in_turn(np.where(used, value, 0), lengths)
         if value.dtype.kind == "f":
             return near, size == 0
         if (np.abs(near) >= 2.0**63).any():
             raise OverflowError("a sum of whole numbers is beyond 64 bits")
         return np.add.reduceat(np.where(used, value, 0).astype(np.int64, copy=False), starts), size == 0
-    mean = np.add.reduceat(np.where(used, value, 0).astype(np.float64, copy=False), starts) / n
+    mean = _in_turn(np.where(used, value, 0), lengths) / n
     if stat == "mean":
         return mean, n == 0
     off = np.where(used, value - np.repeat(mean, lengths), 0.0)
-    return np.add.reduceat(off * off, starts) / (n - 1), n < 2
+    return _in_turn(off * off, lengths) / (n - 1), n < 2
+
+
+def _in_turn(value: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of doubles per key, added in the order of the rows as an aggregate does."""
+    return np.bincount(np.repeat(np.arange(len(lengths)), lengths), value, len(lengths))
 
 
 # Statistics of overlapping subsets that follow from those of disjoint cells, from the merged parts of column i.
